@@ -1,0 +1,3 @@
+"""No stream source, window or state belongs to this engine's scope, so there is
+nothing here. ``operators.kmeans.assign_nearest`` is a stateless row-wise map and
+may be applied to a streaming DataFrame as it is."""
