@@ -140,7 +140,7 @@ def k_tables() -> dict[str, str]:
 @query("lof_parameter_analysis", "Cluster<grp; rule_id<id; k; factor:6", "FROM manyfactors",
        tables=k_tables())
 def _(spark, d):
-    return s.many_factors(spark, d)
+    return s.many_factors(spark, d).withColumn("factor", F.round("factor", 9))
 
 
 @query("score_stats", "Cluster<grp; k; mean:6<avg(-factor); std:5<stddev_pop(-factor); "
@@ -160,15 +160,6 @@ def _(spark, d):
 
 
 # ---- scores, thresholds, flags ----
-@query("score_thresholds", "Cluster; rate:2; threshold:6",
-       sql="""SELECT "Cluster", round(rate, 2) AS rate, round(quantile_cont(score, rate), 6) AS threshold
-FROM (SELECT "Cluster", list(score) AS scores FROM scored GROUP BY 1) x JOIN scored USING ("Cluster")
-, (VALUES (0.01::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE), (0.07::DOUBLE), (0.1::DOUBLE)) r(rate)
-GROUP BY 1, 2, rate""")
-def _(spark, d):
-    return iforest.score_thresholds(s.plain_scores(s.prepared(spark, d)), ct.RATES, score="score")
-
-
 RATE_TABLES = {
     "thresholds": " UNION ALL ".join(
         f'SELECT "Cluster", {r}::DOUBLE AS rate, {i} AS step, quantile_cont(score, {r}) AS threshold '
@@ -179,6 +170,11 @@ RATE_TABLES = {
 }
 
 
+@query("score_thresholds", "Cluster; rate:2; threshold:6", "FROM thresholds", tables=RATE_TABLES)
+def _(spark, d):
+    return iforest.score_thresholds(s.plain_scores(s.prepared(spark, d)), ct.RATES, score="score")
+
+
 def rate_flags(spark, d):
     scored = s.plain_scores(s.prepared(spark, d)).withColumn("score", F.round("score", 9))
     return ct.flags_at_rates(scored, score="score")
@@ -320,7 +316,7 @@ CHOICES = {
  (support_z + confidence_z + lift_z) / 3 AS composite FROM flagged""",
     "best5": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Cluster"
  ORDER BY composite DESC, rule_id) AS place FROM keyed) WHERE place <= 5""",
-    "leading": """SELECT "Cluster", feature, row_number() OVER (PARTITION BY "Cluster"
+    "leadfeatures": """SELECT "Cluster", feature, row_number() OVER (PARTITION BY "Cluster"
  ORDER BY importance DESC, feature) AS place FROM importance""",
     "valued": " UNION ALL ".join(
         f"""SELECT "Cluster", rule_id, '{m}_normalized' AS feature, {z} AS v FROM flagged"""
@@ -328,8 +324,8 @@ CHOICES = {
     ),
     "explained": """SELECT f.*, replace(x.feature, '_normalized', '') AS metric, vx.v AS key_value,
  (vx.v + vy.v) / 2 AS composite
-FROM flagged f JOIN leading x ON x."Cluster" = f."Cluster" AND x.place = 1
-JOIN leading y ON y."Cluster" = f."Cluster" AND y.place = 2
+FROM flagged f JOIN leadfeatures x ON x."Cluster" = f."Cluster" AND x.place = 1
+JOIN leadfeatures y ON y."Cluster" = f."Cluster" AND y.place = 2
 JOIN valued vx ON vx."Cluster" = f."Cluster" AND vx.rule_id = f.rule_id AND vx.feature = x.feature
 JOIN valued vy ON vy."Cluster" = f."Cluster" AND vy.rule_id = f.rule_id AND vy.feature = y.feature
 WHERE iso = 1 OR lof = 1""",
@@ -393,15 +389,15 @@ def _(spark, d):
  WHERE support >= 0.04::DOUBLE AND confidence >= 0.3::DOUBLE
  ORDER BY "Cluster", key_value DESC""".replace(
            "FROM best5", """FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Cluster"
- ORDER BY composite DESC, rule_id) AS n FROM keyed WHERE support >= 0.04::DOUBLE
- AND confidence >= 0.3::DOUBLE) WHERE n <= 5)"""), tables=CHOICES)
+ ORDER BY composite DESC, rule_id) AS place FROM keyed WHERE support >= 0.04::DOUBLE
+ AND confidence >= 0.3::DOUBLE) WHERE place <= 5)"""), tables=CHOICES)
 def _(spark, d):
     return strategy.sort_business_rules(
         strategy.business_rules(s.flagged(spark, d), min_support=0.04, min_confidence=0.3)
     )
 
 
-@query("rank_features", "Cluster; feature; place", "FROM leading WHERE place <= 2", tables=CHOICES)
+@query("rank_features", "Cluster; feature; place", "FROM leadfeatures WHERE place <= 2", tables=CHOICES)
 def _(spark, d):
     from pyspark.sql.window import Window
 
@@ -462,13 +458,10 @@ def _(spark, d):
 
 @query("predict_anomalies")
 def _(spark, d):
-    rates = s.prepared(spark, d).select("Cluster").distinct().withColumn(
-        "contamination", F.lit(0.07)
+    trained = iforest.score_forest(s.prepared(spark, d), s.forest(spark, d), a.FEATURES)
+    offsets = iforest.score_thresholds(trained, [0.07]).select(
+        "Cluster", F.col("threshold").alias("offset")
     )
-    flagged = iforest.flag_forest(s.forest_scores(spark, d), rates)
-    offsets = flagged.groupBy("Cluster").agg(F.max("offset").alias("offset")) if (
-        "offset" in flagged.columns
-    ) else rates
     found = a.predict_anomalies(s.rules(spark, d), s.forest(spark, d), offsets)
     return found.select("Cluster", "rule_id", "isolation_forest_anomaly", "anomaly_score")
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from shelfmark.functions.numeric import divide, infinity, round_half_even
 from shelfmark.functions.rules import ARROW, rule_id, rule_string
 from shelfmark.operators import iforest, lof
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.scaling import apply_scaler, fit_scaler, median_impute
+from shelfmark.session import materialise
 from shelfmark.sources.retail import RULE_METRICS
 
 NORMALIZED = {m: f"{m}_normalized" for m in RULE_METRICS}
@@ -76,13 +78,14 @@ def detect_anomalies(
 
     ``params`` is ``(by, contamination, n_neighbors)``. Groups under ten rules get zeros.
     """
+    rules = materialise(rules)
     features = feature_rows(rules, by)
-    enough = features.join(small_groups(rules, by), by, "left_anti")
+    enough = materialise(join_groups(features, small_groups(rules, by), [by], "left_anti"))
     forest = iforest.fit_forest(enough, FEATURES, by, "rule_id", seed=seed)
-    scored = iforest.score_forest(enough, forest, FEATURES, by).select(
-        by, "rule_id", "iforest_score"
+    scored = materialise(
+        iforest.score_forest(enough, forest, FEATURES, by).select(by, "rule_id", "iforest_score")
     )
-    flagged = iforest.flag_forest(scored, params.select(by, "contamination"), by)
+    flagged = materialise(iforest.flag_forest(scored, params.select(by, "contamination"), by))
     neighbours = params.select(by, F.col("n_neighbors").alias("k"))
     top_k = params.agg(F.max("n_neighbors").alias("k")).first()["k"] or 1
     factors = lof.lof_scores(enough, FEATURES, neighbours, top_k, by, "rule_id").drop("k")
@@ -174,7 +177,7 @@ def item_anomaly_ratio(
         .groupBy(by, "flag", "item")
         .agg(hit.alias("hit"), miss.alias("miss"))
     )
-    shares = items.join(totals, [by, "flag"]).select(
+    shares = join_groups(items, totals, [by, "flag"]).select(
         by, "flag", "item",
         divide(F.col("hit"), F.col("n_hit"), 0.0).alias("anomalous_freq"),
         divide(F.col("miss"), F.col("n_miss"), 0.0).alias("normal_freq"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.rules import min_occurrence
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import top_n
 from shelfmark.session import materialise
 
@@ -59,7 +60,7 @@ def first_invoices(
     cut = sizes.join(last_kept, by)
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(invoice_order())])
     return (
-        lines.join(cut, by)
+        join_groups(lines, cut, by)
         .where((F.col("__invoices") <= above) | (at <= F.col("__last")))
         .drop("__invoices", "__last")
     )
@@ -102,7 +103,7 @@ def frequent_items(
     if minimum is not None:
         return counts.where(F.col("invoices") >= minimum)
     sizes = transaction_counts(items, by, invoice)
-    joined = counts.join(sizes, by) if by else counts.withColumn("transactions", sizes.scalar())
+    joined = join_groups(counts, sizes, by) if by else counts.withColumn("transactions", sizes.scalar())
     return joined.where(F.col("invoices") >= min_occurrence(F.col("transactions"))).drop(
         "transactions"
     )

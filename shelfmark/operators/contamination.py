@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.iforest import score_thresholds
 
 # The rates tried.
@@ -20,7 +21,7 @@ def flags_at_rates(
 ) -> DataFrame:
     """``(by, id, rate, threshold, flag)``: 1 where the score is not above the threshold."""
     thresholds = score_thresholds(scored, rates, by, score)
-    return scored.select(by, row_id, score).join(thresholds, by).select(
+    return join_groups(scored.select(by, row_id, score), thresholds, [by]).select(
         by, row_id, "rate", "threshold",
         (F.col(score) <= F.col("threshold")).cast("int").alias("flag"),
     )

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import quantiles, top_n
 from shelfmark.session import materialise
 
@@ -80,12 +81,12 @@ def tree_samples(
     hashed = f"pmod(xxhash64({seed}L, t, __id), {HASH_RANGE}L)"
     share = f"cast({4 * sample} as double) / __n"
     chosen = f"filter(sequence(0, {trees - 1}), t -> {hashed} < {share} * {HASH_RANGE}L)"
+    vectors = rows.select(
+        by, F.col(row_id).alias("__id"),
+        F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
+    )
     picked = (
-        rows.select(
-            by, F.col(row_id).alias("__id"),
-            F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
-        )
-        .join(sizes, by)
+        join_groups(vectors, sizes, [by])
         .withColumn("t", F.explode(F.expr(chosen)))
         .withColumn("__h", F.expr(hashed))
         .drop("__n")
@@ -113,6 +114,10 @@ def fit_forest(
         return out
 
     samples = tree_samples(rows, features, by, row_id, trees, sample, seed)
+    # the samples are small, so adaptive execution would grow all trees in one task; an
+    # explicit number of partitions is kept, and the grouping reuses it
+    tasks = min(trees, rows.sparkSession.sparkContext.defaultParallelism * 2)
+    samples = samples.repartition(tasks, by, "t")
     return materialise(
         samples.groupBy(by, "t").applyInPandas(grow, f"`{by}` {key_type}, {NODE_COLUMNS}")
     )
@@ -202,7 +207,7 @@ def flag_forest(
 def with_decision(scored: DataFrame, offsets: DataFrame, by: str, score: str) -> DataFrame:
     decision = F.col(score) - F.col("offset")
     return (
-        scored.join(offsets, by, "left")
+        join_groups(scored, offsets, [by], "left")
         .withColumn("anomaly_score", F.coalesce(decision, F.lit(0.0)))
         .withColumn(
             "isolation_forest_anomaly", (F.col("anomaly_score") < 0).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.neighbours import distinct_points, nearest_neighbours
 from shelfmark.operators.ordering import average_rank, quantiles
 from shelfmark.session import materialise
@@ -35,7 +36,7 @@ def lof_scores(
     wanted = clamped.select(by, "kk").distinct()
     neighbours = materialise(nearest_neighbours(points, by, max_k))
     counted = (
-        neighbours.join(wanted, by)
+        join_groups(neighbours, wanted, [by])
         .withColumn("times", F.least(F.col("copies"), F.col("kk") - F.col("before")))
         .where(F.col("times") > 0)
     )

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import top_n
 from shelfmark.operators.silhouette import pairwise
 from shelfmark.session import materialise
@@ -166,7 +167,7 @@ def nearest_neighbours(points: DataFrame, by: str, k: int) -> DataFrame:
 
     chunk = F.pmod(F.xxhash64("point"), F.ceil(F.col("n") / BLOCK_POINTS))
     blocks = (
-        cells.join(per_cell.select(by, "cell", "n"), [by, "cell"])
+        join_groups(cells, per_cell.select(by, "cell", "n"), [by, "cell"])
         .withColumn("chunk", chunk)
         .groupBy(by, "cell", "chunk")
         .agg(F.collect_list(F.struct("point", "x", "copies")).alias("p"))

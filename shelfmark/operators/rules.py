@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from shelfmark.functions import rules as r
 from shelfmark.functions.numeric import is_infinite, round_half_even
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import top_n
 
 MIN_BASKETS = 10
@@ -83,7 +84,7 @@ def cap_conviction(rules: DataFrame, by: list[str]) -> DataFrame:
     capped = F.when(
         is_infinite(F.col("conviction")), F.coalesce(F.col("__largest"), F.lit(1.0))
     ).otherwise(F.col("conviction"))
-    return rules.join(largest, by).withColumn("conviction", capped).drop("__largest")
+    return join_groups(rules, largest, by).withColumn("conviction", capped).drop("__largest")
 
 
 def rule_order() -> list[Column]:
@@ -189,7 +190,7 @@ def best_params(tuning: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def tuned_rules(points: DataFrame, params: DataFrame) -> DataFrame:
     """The rules of each cluster at its own chosen point."""
-    joined = points.join(params, ["Cluster", *POINT])
+    joined = join_groups(points, params, ["Cluster", *POINT])
     return joined.where(F.col("lift") >= F.col("min_lift")).drop(*POINT, "min_lift")
 
 

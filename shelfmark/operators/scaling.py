@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.numeric import infinite_to_null
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import medians
 
 
@@ -41,7 +42,7 @@ def apply_scaler(
     one row and enter as a scalar subquery; with groups they are joined."""
     stats = [f"{c}__{part}" for c in columns for part in ("mean", "std")]
     if by:
-        joined = df.join(scaler.select(*by, *stats), by, "left")
+        joined = join_groups(df, scaler.select(*by, *stats), by, "left")
     else:
         one = scaler.select(F.struct(*stats)).scalar()
         joined = df.withColumn("__scaler", one)
@@ -71,7 +72,7 @@ def median_impute(
     finite = {c: infinite_to_null(F.col(c)) for c in columns}
     middle = medians(df.select(*by, *[finite[c].alias(c) for c in columns]), by, columns)
     middle = middle.select(*by, *[F.col(c).alias(f"{c}__median") for c in columns])
-    filled = df.join(middle, by, "left").withColumns(
+    filled = join_groups(df, middle, by, "left").withColumns(
         {outputs[c]: F.coalesce(finite[c], F.col(f"{c}__median")) for c in columns}
     )
     return filled.drop(*[f"{c}__median" for c in columns])

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024
+MAX_TASKS = 10_000
 
 
 def pairwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def silhouette(
     )
     visits = packed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # a block's own points arrive first, then all others, in the task that sums for it
-    visits = visits.repartition("to").sortWithinPartitions("to", F.col("to") != F.col("block"))
+    visits = visits.repartition(min(blocks, MAX_TASKS), "to").sortWithinPartitions("to", F.col("to") != F.col("block"))
 
     def finish(state) -> list[tuple[int, float, int]]:
         x, own, sums, sizes = state

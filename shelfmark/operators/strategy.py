@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.numeric import largest_name, mean_of
 from shelfmark.functions.rules import rule_string
 from shelfmark.operators.anomalies import FEATURES, either_anomaly, threshold_filter
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import top_n
 from shelfmark.operators.rfm import SEGMENT_NAMES
 
@@ -133,7 +134,7 @@ def _by_importance(rules: DataFrame, importance: DataFrame) -> DataFrame:
     first = F.element_at(values, F.col("__first"))
     second = F.element_at(values, F.col("__second"))
     return (
-        rules.join(names, "Cluster")
+        join_groups(rules, names, ["Cluster"])
         .withColumn("composite_score", mean_of([first, second]))
         .withColumn("key_metric", F.col("__first"))
         .withColumn("key_value", first)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.numeric import round_half_even
 from shelfmark.functions.rules import ARROW, rule_string
+from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import quantiles
 from shelfmark.operators.rfm import RFM
 
@@ -139,7 +140,7 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = BIN
         F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
     )
     return (
-        known.join(limits, keys)
+        join_groups(known, limits, keys)
         .groupBy(*keys, "lo", "hi", "total", place.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators import anomalies as a
 from shelfmark.operators import contamination as c
 from shelfmark.operators import lof, shapley, strategy
+from shelfmark.operators.groups import join_groups
 from shelfmark.session import materialise
 
 # ---- fixed values: settings of the full workflow by cluster ----
@@ -86,7 +87,7 @@ def anomaly_workflow(rules: DataFrame, seed: int = 42) -> Workflow:
         shapley.feature_importance(scored, detected.forest, a.FEATURES)
     )
     features = a.feature_rows(prepared)
-    enough = features.join(a.small_groups(prepared), "Cluster", "left_anti")
+    enough = join_groups(features, a.small_groups(prepared), ["Cluster"], "left_anti")
     largest = max(k for v in WORKFLOW.values() for k in v[2])
     return Workflow(
         rules=scored,
