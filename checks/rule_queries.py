@@ -13,7 +13,7 @@ from shelfmark.operators import rules as r
 from shelfmark.operators.lof import box_stats
 from shelfmark.plans.mine import mine_all, mine_cluster
 from shelfmark.sources import retail, sinks
-from shelfmark.sources.star import table
+from shelfmark.sources.star import spread, table
 
 NUMBERS = "; ".join(f"{m}:6" for m in METRIC.values())
 RULE = f"Cluster; antecedents:a<a; consequents:a<c; {NUMBERS}"
@@ -39,7 +39,8 @@ WORD_TABLES = {
 def words(spark, d):
     """One row per word of a document, as lines of a basket source."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
-    return table(spark, d, "documents").select(
+    documents = spread(table(spark, d, "documents").select("doc_id", "lang", "text"))
+    return documents.select(
         F.col("lang").alias("Cluster"), F.col("doc_id").alias("InvoiceNo"),
         F.posexplode(found).alias("place", "word"),
     )

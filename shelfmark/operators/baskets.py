@@ -80,9 +80,13 @@ def cluster_statistics(lines: DataFrame, sampled: DataFrame) -> DataFrame:
 def distinct_items(
     lines: DataFrame, item: str, by: list[str], order_by: list[str], invoice: str = "InvoiceNo"
 ) -> DataFrame:
-    """Distinct items of each invoice with the place where each is first seen."""
+    """Distinct items of each invoice with the place where each is first seen.
+
+    A single ordering column stays a plain value, which hash aggregation can update in
+    place; only several of them need a struct."""
+    place = F.struct(*order_by) if len(order_by) > 1 else F.col(order_by[0])
     return lines.groupBy(*by, F.col(invoice), F.col(item).alias("item")).agg(
-        F.min(F.struct(*order_by)).alias("first_seen")
+        F.min(place).alias("first_seen")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
-from shelfmark.functions.categories import with_category
+from shelfmark.functions.categories import with_category, with_category_of_texts
 
 
 def drop_missing_description(lines: DataFrame) -> DataFrame:
@@ -123,5 +123,5 @@ __all__ = [
     "cast_types", "customer_frequency", "customer_type", "drop_missing_description",
     "filter_cancelled", "filter_country", "filter_positive", "guest_id", "merge_duplicates",
     "normalise_text", "parse_invoice_date", "row_recency", "time_features", "total_price",
-    "with_category",
+    "with_category", "with_category_of_texts",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from shelfmark.session import materialise
 
 SCALED = {c: f"{c}_scaled" for c in RFM}
 EXACT_ROWS = 200_000
+MAX_ITERATIONS = 300
+FITS_AT_ONCE = 4
 
 
 def nearest(features: Sequence[str], centres: Sequence[Sequence[float]]) -> Column:
@@ -50,8 +53,12 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def fit_centres(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> list[list[float]]:
-    model = KMeans(featuresCol="__vector", k=k, seed=seed).fit(_vectors(df, features))
-    return [list(map(float, c)) for c in model.clusterCenters()]
+    return _fit_vectors(_vectors(df, features), k, seed)
+
+
+def _fit_vectors(vectors: DataFrame, k: int, seed: int) -> list[list[float]]:
+    kmeans = KMeans(featuresCol="__vector", k=k, seed=seed, maxIter=MAX_ITERATIONS)
+    return [list(map(float, c)) for c in kmeans.fit(vectors).clusterCenters()]
 
 
 def find_optimal_clusters(
@@ -64,7 +71,13 @@ def find_optimal_clusters(
     rows; all values of k share its one pass. ``"squaredEuclidean"`` is linear. ``"auto"``
     takes the exact one up to 200,000 rows; the scores name the metric that was used.
     """
-    centres = {k: fit_centres(df, features, k, seed) for k in k_range}
+    # every fit makes many short passes over the same points: keep them in memory, and let
+    # a few fits fill each other's gaps
+    points = _vectors(df, features).select("__vector").persist()
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        fits = pool.map(lambda k: _fit_vectors(points, k, seed), k_range)
+        centres = dict(zip(k_range, fits))
+    points.unpersist()
     labelled = df
     for k, c in centres.items():
         labelled = assign_nearest(labelled, features, c, f"k{k}")

@@ -27,7 +27,7 @@ from shelfmark.operators.ordering import top_n
 from shelfmark.operators.silhouette import pairwise
 from shelfmark.session import materialise
 
-CELL_POINTS = 4096
+CELL_POINTS = 1024
 BLOCK_POINTS = 1024
 MAX_PIVOTS = 20_000
 # distances closer than this count as equal and are ordered by id
@@ -70,11 +70,17 @@ def _top_k(query: np.ndarray, data: np.ndarray, names, limit: np.ndarray, keep:
     """For every query row the ``keep`` nearest data rows not beyond its limit."""
     distance = pairwise(query, data)
     rounded = np.round(distance, DIGITS)
-    order = np.lexsort((np.broadcast_to(names, rounded.shape), rounded), axis=1)[:, :keep]
-    near = np.take_along_axis(distance, order, axis=1)
-    ok = near <= limit[:, None]
-    rows, cols = np.nonzero(ok)
-    return rows, order[rows, cols], near[rows, cols]
+    if keep < len(data):
+        edge = np.partition(rounded, keep - 1, axis=1)[:, keep - 1]
+    else:
+        edge = np.full(len(query), np.inf)
+    rows, cols = np.nonzero((rounded <= edge[:, None]) & (distance <= limit[:, None]))
+    order = np.lexsort((names[cols], rounded[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    # ties at the edge may leave more than wanted: keep the first of each row
+    first = np.searchsorted(rows, np.arange(len(query)))
+    kept = np.arange(len(rows)) - first[rows] < keep
+    return rows[kept], cols[kept], distance[rows[kept], cols[kept]]
 
 
 def _search(queries: DataFrame, blocks: DataFrame, by: str, keep: int) -> DataFrame:

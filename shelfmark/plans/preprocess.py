@@ -13,8 +13,8 @@ OUTPUT = [
 ]
 
 
-def clean_lines(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm",)) -> DataFrame:
-    """Everything that needs no look at other customers: one shuffle, for the merge.
+def merged_lines(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm",)) -> DataFrame:
+    """Merged, typed, filtered lines with normalised texts: one shuffle, for the merge.
 
     The Quantity and Country filters read merged values and stay behind the merge; the
     InvoiceNo and price tests are on its keys, so the optimiser may run them before it.
@@ -22,12 +22,13 @@ def clean_lines(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm"
     lines = c.guest_id(c.drop_missing_description(raw))
     lines = c.parse_invoice_date(c.cast_types(c.merge_duplicates(lines)), date_formats)
     lines = c.filter_positive(c.filter_cancelled(c.filter_country(lines)))
-    lines = c.with_category(c.normalise_text(lines))
-    return c.time_features(c.total_price(lines))
+    return c.normalise_text(lines)
 
 
 def preprocess(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm",)) -> DataFrame:
-    """The cleaned table. The merged lines are written once, since the customer
-    frequency and the latest date are further passes over them."""
-    lines = materialise(clean_lines(raw, date_formats))
-    return c.row_recency(c.customer_frequency(lines)).select(*OUTPUT)
+    """The cleaned table. The merged lines are written once, since the customer frequency,
+    the latest date and the distinct descriptions are further passes over them."""
+    lines = materialise(merged_lines(raw, date_formats))
+    lines = c.row_recency(c.customer_frequency(lines))
+    lines = c.with_category_of_texts(lines)
+    return c.time_features(c.total_price(lines)).select(*OUTPUT)
