@@ -346,8 +346,8 @@ def _(spark, d):
     return scaling.standard_scale(wide, [f"e{i}" for i in DIMS])
 
 
-@query("median_impute", "CustomerID; Monetary:2",
-       sql="""SELECT "CustomerID", round(coalesce(m, median(m) OVER (PARTITION BY "Cluster")), 2)
+@query("median_impute", "CustomerID; Monetary:4",
+       sql="""SELECT "CustomerID", round(coalesce(m, median(m) OVER (PARTITION BY "Cluster")), 4)
  AS "Monetary"
 FROM (SELECT *, CASE WHEN "Recency" % 3 <> 0 THEN "Monetary" END AS m FROM seg)""")
 def _(spark, d):

@@ -192,7 +192,7 @@ CERTAIN = "floor(confidence * 1000)::BIGINT % 7 = 0"
 @query("conviction_cap", f"{KEY}; conviction:6",
        sql=f"""SELECT "Cluster", array_to_string(a, '|') AS antecedents,
  array_to_string(c, '|') AS consequents, round(coalesce(v, max(v) OVER (PARTITION BY "Cluster"), 1.0), 6)
- AS conviction FROM (SELECT *, CASE WHEN NOT ({CERTAIN}) THEN conviction END AS v FROM minedrules)""")
+ AS conviction FROM (SELECT *, CASE WHEN NOT ({CERTAIN}) AND NOT isinf(conviction) THEN conviction END AS v FROM minedrules)""")
 def _(spark, d):
     mined = r.association_rules(s.itemsets(spark, d), 0.3)
     certain = F.floor(F.col("confidence") * 1000) % 7 == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.rules import min_occurrence
-from shelfmark.operators.groups import join_groups
+from shelfmark.operators.groups import join_groups, join_uneven
 from shelfmark.operators.ordering import top_n
 from shelfmark.session import materialise
 
@@ -21,11 +21,11 @@ MAX_ITEMS = 50
 def lines_with_cluster(lines: DataFrame, segments: DataFrame) -> DataFrame:
     """Lines of clustered customers, with the cluster.
 
-    Segments grow with the customers, so the join side is left to the optimiser; a
-    customer with very many lines is split by adaptive skew handling.
+    Segments grow with the customers, so neither side is broadcast by hint; a customer
+    with very many lines is sliced.
     """
     clusters = segments.select("CustomerID", "Cluster").where(F.col("Cluster").isNotNull())
-    return lines.join(clusters, "CustomerID")
+    return join_uneven(lines, clusters, ["CustomerID"])
 
 
 def cluster_subset(df: DataFrame, clusters: int | list[int]) -> DataFrame:
@@ -34,7 +34,7 @@ def cluster_subset(df: DataFrame, clusters: int | list[int]) -> DataFrame:
 
 
 def keep_invoices(lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    return lines.join(invoices.select("InvoiceNo"), "InvoiceNo", "left_semi")
+    return join_uneven(lines, invoices.select("InvoiceNo").distinct(), ["InvoiceNo"], "left_semi")
 
 
 def invoice_order(invoice: str = "InvoiceNo") -> list[Column]:
@@ -114,7 +114,7 @@ def frequent_items(
 
 
 def keep_items(items: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    return items.join(wanted.select(*by, "item"), [*by, "item"], "left_semi")
+    return join_uneven(items, wanted.select(*by, "item"), [*by, "item"], "left_semi")
 
 
 def first_items(

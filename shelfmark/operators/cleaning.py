@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.functions.categories import with_category, with_category_of_texts
+from shelfmark.operators.groups import join_uneven
 
 
 def drop_missing_description(lines: DataFrame) -> DataFrame:
@@ -104,13 +105,13 @@ def time_features(lines: DataFrame) -> DataFrame:
 def customer_frequency(lines: DataFrame) -> DataFrame:
     """Distinct invoices of the line's customer, on every line.
 
-    Counted over (customer, invoice) pairs first, so a customer with a third of all
-    lines is spread over the cluster; adaptive skew handling splits its join partition.
+    Counted over (customer, invoice) pairs first, so a customer with a third of all lines
+    is spread over the cluster; the join back slices such a customer.
     """
     per_customer = lines.groupBy("CustomerID").agg(
         F.count_distinct("InvoiceNo").alias("Frequency")
     )
-    return lines.join(per_customer, "CustomerID", "left")
+    return join_uneven(lines, per_customer, ["CustomerID"], "left")
 
 
 def row_recency(lines: DataFrame) -> DataFrame:

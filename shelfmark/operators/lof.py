@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmark.operators.groups import join_groups
+from shelfmark.operators.groups import join_groups, join_uneven
 from shelfmark.operators.neighbours import distinct_points, nearest_neighbours
 from shelfmark.operators.ordering import average_rank, quantiles
 from shelfmark.session import materialise
@@ -68,8 +68,13 @@ def lof_scores(
             ).alias("factor")
         )
     )
-    return members.join(factors, [by, "point"]).join(clamped, [by, "kk"]).select(
-        by, F.col("id").alias(row_id), "k", "factor"
+    per_k = join_groups(factors, clamped, [by, "kk"]).groupBy(by, "point").agg(
+        F.collect_list(F.struct("k", "factor")).alias("f")
+    )
+    return (
+        join_uneven(members, per_k, [by, "point"])
+        .select(by, F.col("id").alias(row_id), F.explode("f").alias("f"))
+        .select(by, row_id, "f.*")
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shelfmark.operators.groups import join_groups
+from shelfmark.operators.groups import join_groups, join_uneven
 from shelfmark.operators.ordering import top_n
 from shelfmark.operators.silhouette import pairwise
 from shelfmark.session import materialise
@@ -45,7 +45,8 @@ def distinct_points(
     points = materialise(
         vectors.groupBy(by, "x").agg(F.min("id").alias("point"), F.count(F.lit(1)).alias("copies"))
     )
-    members = vectors.join(points.select(by, "x", "point"), [by, "x"]).select(by, "id", "point")
+    members = join_uneven(vectors, points.select(by, "x", "point"), [by, "x"])
+    members = members.select(by, "id", "point")
     return points, members
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from shelfmark.operators.groups import join_uneven
+
 MAX_RANGES = 512
 
 
@@ -70,7 +72,7 @@ def dense_index(df: DataFrame, key: str, output: str) -> DataFrame:
     places = _with_offsets(ranged, ["__all"], key, "__one").select(
         key, F.col("__below").cast("bigint").alias(output)
     )
-    return df.join(places, key, "left")
+    return join_uneven(df, places, [key], "left")
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, output: str) -> DataFrame:
@@ -79,7 +81,7 @@ def average_rank(df: DataFrame, by: list[str], value: str, output: str) -> DataF
     ranks = _with_offsets(_with_ranges(counts, value), by, value, "__n").select(
         *by, value, (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(output)
     )
-    return df.join(ranks, [*by, value])
+    return join_uneven(df, ranks, [*by, value])
 
 
 def quantiles(

@@ -122,26 +122,25 @@ def histogram(df: DataFrame, value: str, by: Sequence[str] = (), bins: int = BIN
     the last bin includes its upper edge. Empty bins have no row."""
     by = list(by)
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
-    one = [] if by else ["__all"]
-    if one:
-        known = known.withColumn("__all", F.lit(0))
-    keys = by + one
-    limits = known.groupBy(*keys).agg(
+    limits = known.groupBy(*by).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total")
     )
     # a constant column is spread half a unit to either side
     flat = F.col("lo") == F.col("hi")
     limits = limits.select(
-        *keys, "total", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
+        *by, "total", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
     )
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.least(
         F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)
     )
+    if by:
+        placed = join_groups(known, limits, by)
+    else:
+        placed = known.withColumn("l", limits.select(F.struct("*")).scalar()).select("v", "l.*")
     return (
-        join_groups(known, limits, keys)
-        .groupBy(*keys, "lo", "hi", "total", place.cast("int").alias("bin"))
+        placed.groupBy(*by, "lo", "hi", "total", place.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("rows"))
         .select(
             *by, "bin", (F.col("lo") + width * F.col("bin")).alias("left_edge"), "rows",
