@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.ctes import with_tables
-from shelfmark.session import ensure_checkpoint_dir, materialise
+from shelfmark.session import ensure_checkpoint_dir, materialise, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,13 +90,17 @@ def query(
 _STAGES: dict[tuple[str, str, str], DataFrame] = {}
 
 
+LARGE = {"clean", "customers", "scaled", "segments", "clustered", "used", "baskets"}
+
+
 def stage(build: Query) -> Query:
     """A job's output table: written once per session and input folder, then read, as the
-    jobs hand their results on."""
+    jobs hand their results on. Tables that grow with the lines are stored by column."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
         if key not in _STAGES:
-            _STAGES[key] = materialise(build(spark, sf_dir))
+            write = stored if build.__name__ in LARGE else materialise
+            _STAGES[key] = write(build(spark, sf_dir))
         return _STAGES[key]
 
     run.__name__ = build.__name__

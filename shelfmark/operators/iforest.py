@@ -23,6 +23,7 @@ from shelfmark.session import materialise
 TREES = 100
 SAMPLE = 256
 HASH_RANGE = 2**53
+MAX_NODES = 5_000_000
 EULER = 0.5772156649015329
 
 NODE_COLUMNS = (
@@ -125,7 +126,9 @@ def fit_forest(
 
 def forest_arrays(forest: DataFrame, by: str = "Cluster") -> dict:
     """The forest on the driver, per group a list of node arrays by tree. A tree has at
-    most 511 nodes, so this is bounded by the number of groups and trees."""
+    most 511 nodes and the number of nodes is checked, so this stays within some 300 MB."""
+    if forest.count() > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes: score the groups in several calls")
     table = forest.toPandas().sort_values([by, "tree", "node"])
     return {
         group: [

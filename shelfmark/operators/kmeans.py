@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from shelfmark.operators.rfm import RFM, cluster_name
 from shelfmark.operators.scaling import apply_scaler, fit_scaler
 from shelfmark.operators.silhouette import silhouette
-from shelfmark.session import materialise
+from shelfmark.session import materialise, stored
 
 SCALED = {c: f"{c}_scaled" for c in RFM}
 EXACT_ROWS = 200_000
@@ -173,7 +173,7 @@ def fit_clustering(
     """Scale, choose k unless given, cluster, name, project. The scaled customers are
     written once: every fit is a further pass over them."""
     features = list(SCALED.values())
-    rfm = materialise(rfm)
+    rfm = stored(rfm)
     scaler = materialise(fit_scaler(rfm, RFM))
     scaled = materialise(apply_scaler(rfm, scaler, RFM, SCALED))
     scores = None

@@ -110,7 +110,7 @@ def _search(queries: DataFrame, blocks: DataFrame, by: str, keep: int) -> DataFr
                     }
                 )
 
-    # a joined row is two blocks, so few of them make an Arrow batch
+    # a joined row is two blocks; Spark closes an Arrow batch at 64 MB
     return pairs.mapInPandas(nearest, schema)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from shelfmark.operators.kmeans import SegmentModel, fit_clustering
 from shelfmark.operators.rfm import rfm, segment_summary
-from shelfmark.session import materialise
+from shelfmark.session import stored
 
 
 @dataclass
@@ -23,5 +23,5 @@ def segment(
     order_by: int | None = None,
 ) -> Segmented:
     customers, model = fit_clustering(rfm(lines), n_clusters, seed, metric, order_by)
-    customers = materialise(customers)
+    customers = stored(customers)
     return Segmented(customers, segment_summary(customers), model)

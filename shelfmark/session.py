@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,10 +42,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the checkpoint folder and read it from there.
+
+    For large frames that several passes read: each pass reads only its columns, and the
+    optimiser knows the table's size.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    folder = df.sparkSession.sparkContext.getCheckpointDir()
+    path = f"{folder}/tables/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and go on from the written copy.
+    """Checkpoint ``df`` and go on from the written copy, partitions as they are.
 
-    For frames that several jobs read: no recomputation, and the copy outlives the
+    For smaller frames that several jobs read: no recomputation, and the copy outlives the
     executors that wrote it.
     """
     ensure_checkpoint_dir(df.sparkSession)
