@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.rules import min_occurrence
 from shelfmark.operators.groups import join_groups, join_uneven
 from shelfmark.operators.ordering import top_n
-from shelfmark.session import materialise
+from shelfmark.session import materialise, stored
 
 SAMPLE_ABOVE = 3000
 SAMPLE_SIZE = 1000
@@ -135,7 +135,8 @@ def prepare_baskets(
     Cleaned lines are grouped by (InvoiceNo, StockCode, UnitPrice), which is therefore
     the default for 'first seen'.
     """
-    items = distinct_items(lines, item, by, order_by, invoice)
+    # counted by item and by invoice, then filtered: written once, read by column
+    items = stored(distinct_items(lines, item, by, order_by, invoice))
     kept = first_items(
         keep_items(items, frequent_items(items, by, minimum, invoice), by), by, max_items, invoice
     )
