@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, quality, token_counts
+from shelfmark.llm import mixing, near_dups, quality, token_counts
 from shelfmark.llm.common import read_table
 from shelfmark.session import stored
 
@@ -53,3 +53,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), PIECES, limit=4096)
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.link(read_table(spark, sf_dir, "documents"), percent=85)
