@@ -8,11 +8,13 @@ coordinate is filled whatever the size of the set, and most texts need one or tw
 coordinates estimate the Jaccard similarity with concentration as strong as t samples give.
 
 Texts with equal sets are one class from the start. Classes that share a band are candidates;
-links are decided on the full sets. Every class is first compared with the smallest class of a
-band it shares (a star instead of all pairs), the links are joined to components, and then every
-pair that shares a band across two components is compared as well, unless the sketches put it
-under the threshold by more than six standard errors. No group is capped. A pair at the threshold
-shares no band with a probability of about 2e-8.
+links are decided on the full sets. First the shingles are counted that a class shares with no
+other candidate: they bound each of its intersections, so a class with many of them has no links
+at all. Every other class is compared with the class of a shared band that has the smallest
+portion of such shingles, the likely original (a star instead of all pairs); the links are joined
+to components, and then every pair that shares a band across two components is compared as well,
+unless it can't be linked by that bound, or the sketches put it under the threshold by more than
+five standard errors. No group is capped. A pair at the threshold shares no band with a probability of about 2e-8.
 
 Defined cases: null and empty texts have no set, are linked with nothing and are their own
 component; repeated rows are documents each; a null id never names a component if the component
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import U64, Rolling, chunks, flat_texts, mix, random_words
@@ -37,10 +39,10 @@ WORDS = 5
 BANDS, ROWS = 24, 4
 
 #: Least estimate, as a share of equal coordinates, at which a pair across components is compared:
-#: the threshold less six standard errors of the estimate.
+#: the threshold less five standard errors of the estimate.
 def least_estimate(percent: int) -> float:
     j = percent / 100
-    return j - 6 * (j * (1 - j) / (BANDS * ROWS)) ** 0.5
+    return j - 5 * (j * (1 - j) / (BANDS * ROWS)) ** 0.5
 
 
 _SPACE = np.zeros(256, bool)
@@ -110,7 +112,7 @@ def band_values(coordinates: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, key, bands, coordinates`` for each row; the last three are null
-    without words. ``coordinates`` holds 16 bits of each, for estimates."""
+    without words. ``coordinates`` holds 15 bits of each, for estimates."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands, values = [], [], [], []
@@ -119,12 +121,12 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 c = sketch(s, BANDS * ROWS) if len(s) else None
                 keys.append(None if c is None else class_key(s))
                 bands.append(None if c is None else band_values(c).view(np.int64))
-                values.append(None if c is None else (c & U64(0xFFFF)).astype(np.uint16).tobytes())
+                values.append(None if c is None else (c & U64(0x7FFF)).astype(np.int16))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.binary())],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.int16()))],
                 names=["doc_id", "n_shingles", "key", "bands", "coordinates"])
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, coordinates binary"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, key binary, bands array<long>, coordinates array<short>"
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
@@ -164,20 +166,25 @@ def link(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col
         rows.where(F.col("key").isNotNull()).groupBy("key").agg(
             F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("size"),
             F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates")))
-    spread = classes.select("key", "size", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1").drop("n")
-    members = stored(spread.join(shared, "band").select("band", "key", "pivot"))
-    star = members.where("key <> pivot").groupBy("key").agg(F.min("pivot").alias("pivot"))
-    star = materialise(star.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-    needed = classes.select("key", "first_id").join(members.select("key").distinct(), "key", "left_semi")
+    spread = classes.select("key", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = stored(spread.join(shared, "band").select("band", "key"))
+    nodes = materialise(members.select("key").distinct())
+    needed = classes.select("key", "first_id").join(nodes, "key", "left_semi")
     texts = _with_keys(docs, id_col, text_col)
     texts = texts.join(
         needed.select(F.col("key").alias("need"), "first_id"),
         (F.col("key") == F.col("need")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     texts = stored(texts.select("key", "text").dropDuplicates(["key"]))
+    info = classes.select("key", "size", "coordinates").join(nodes, "key", "left_semi")
+    info = info.join(_own_shingles(texts), F.xxhash64("key") == F.col("node"), "left")
+    info = info.select("key", "size", "coordinates", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared"))
+    info = stored(info.where(100 * F.col("shared") >= percent * F.col("size")))
+    members = stored(members.join(info, "key").join(classes.select("key", "bands"), "key"))
+    star = materialise(_star(members, info, percent))
     edges = materialise(linked(star, texts, percent))
     roots = components(edges)
-    across = materialise(_pairs_across(members, roots, classes, star, percent))
+    across = materialise(_pairs_across(members, roots, star, percent))
     more = materialise(linked(across, texts, percent))
     edges = edges.union(more)
     roots = components(edges)
@@ -196,30 +203,55 @@ def link(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col
         F.col("doc_id").eqNullSafe(component).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _pairs_across(members: DataFrame, roots: DataFrame, classes: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a band, lie in different components and were not compared."""
-    at = members.select("band", "key").join(roots, F.col("key") == F.col("node"), "left")
-    at = at.select("band", "key", F.coalesce("root", "key").alias("root"))
-    split = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    at = materialise(at.join(split, "band"))
-    info = classes.select(F.col("key").alias("k"), "size", "coordinates")
-    at = at.join(info, F.col("key") == F.col("k")).drop("k")
-    one = at.select("band", *[F.col(c).alias(f"{c}_a") for c in ("key", "root", "size", "coordinates")])
-    two = at.select("band", *[F.col(c).alias(f"{c}_b") for c in ("key", "root", "size", "coordinates")])
-    near = (
-        (F.col("key_a") > F.col("key_b")) & (F.col("root_a") != F.col("root_b"))
-        & (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")))
-    pairs = one.join(two, "band").where(near)
-    least = least_estimate(percent)
-
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """``node, own``: how many shingles of each class no other class of ``texts`` has."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-                yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= least))
+            for name, s in zip(batch.column(0), shingle_sets(*flat_texts(batch.column(1)))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), name.as_py())), pa.array(s.view(np.int64))], names=["node", "shingle"])
+
+    named = texts.select(F.xxhash64("key").alias("node"), "text")
+    counted = named.mapInArrow(run, "node long, shingle long").groupBy("shingle").agg(
+        F.count("*").alias("n"), F.bit_xor("node").alias("node"))
+    return counted.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+
+
+def _may_link(percent: int) -> Column:
+    """A link needs ``(100 + percent) * both >= percent * (size_a + size_b)``, and a class shares
+    at most its size less its own shingles."""
+    return (100 + percent) * F.least("shared_a", "shared_b") >= percent * (F.col("size_a") + F.col("size_b"))
 
-    estimated = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), "coordinates_a", "coordinates_b")
-    return estimated.mapInArrow(run, "a binary, b binary").distinct().join(done, ["a", "b"], "left_anti")
+
+def _star(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: each class and the likely original among those that share a band with it."""
+    portion = (F.col("size") - F.col("shared")) / F.col("size")
+    pivots = members.groupBy("band").agg(F.min(F.struct(portion.alias("p"), "key")).alias("pivot"))
+    best = members.select("band", "key").join(pivots, "band").where(F.col("key") != F.col("pivot.key"))
+    best = best.groupBy("key").agg(F.min("pivot")["key"].alias("pivot"))
+    a = info.select(F.col("key"), F.col("size").alias("size_a"), F.col("shared").alias("shared_a"))
+    b = info.select(F.col("key").alias("pivot"), F.col("size").alias("size_b"), F.col("shared").alias("shared_b"))
+    return best.join(a, "key").join(b, "pivot").where(_may_link(percent)).select(F.col("key").alias("a"), F.col("pivot").alias("b"))
+
+
+def _pairs_across(members: DataFrame, roots: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a band, lie in different components, were not compared and may
+    be linked."""
+    at = members.join(roots, F.col("key") == F.col("node"), "left").drop("node")
+    at = at.withColumn("root", F.coalesce("root", "key"))
+    split = at.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    at = materialise(at.join(split, "band"))
+    columns = ("key", "root", "size", "shared", "coordinates", "bands")
+    one = at.select("band", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = at.select("band", *[F.col(c).alias(f"{c}_b") for c in columns])
+    # one row for a pair: at the smallest band that both have
+    first = F.array_min(F.array_intersect("bands_a", "bands_b"))
+    same = F.zip_with("coordinates_a", "coordinates_b", lambda x, y: F.when(x == y, 1).otherwise(0))
+    agree = F.aggregate(same, F.lit(0), lambda n, x: n + x)
+    pairs = one.join(two, "band").where(
+        (F.col("key_a") > F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may_link(percent)
+        & (agree >= F.lit(least_estimate(percent) * BANDS * ROWS)) & (F.col("band") == first))
+    pairs = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def keep_one_of_each(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
