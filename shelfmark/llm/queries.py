@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, near_dups, quality, token_counts
+from shelfmark.llm import mixing, near_dups, quality, suffix_dups, token_counts
 from shelfmark.llm.common import read_table
 from shelfmark.session import stored
 
@@ -58,3 +58,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.link(read_table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dups.remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
