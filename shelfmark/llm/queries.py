@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import mixing, near_dups, quality, suffix_dups, token_counts
+from shelfmark.llm import main_text, mixing, near_dups, quality, suffix_dups, token_counts
 from shelfmark.llm.common import read_table
 from shelfmark.session import stored
 
@@ -64,3 +64,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dups.remove_repeats(read_table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
