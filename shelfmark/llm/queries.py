@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import main_text, mixing, near_dups, quality, suffix_dups, token_counts
+from shelfmark.llm import captures, main_text, mixing, near_dups, nearest, quality, suffix_dups, token_counts
 from shelfmark.llm.common import read_table
 from shelfmark.session import stored
 
@@ -69,3 +69,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_main_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op1_nearest")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op8_captures", captures.ORACLE)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = captures.archive(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
