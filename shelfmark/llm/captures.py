@@ -1,7 +1,8 @@
 """Web archives: records written by Spark, a two-level capture index, and range reads.
 
 ``write_archives`` writes WARC/1.1 records as text files whose line end is the record end, in any
-store that Spark writes to. Of captures with equal payloads the one with the largest page id is a
+store that Spark writes to. A file is compressed as a whole, so offsets count its uncompressed
+bytes, and holds a bounded number of records. Of captures with equal payloads the one with the largest page id is a
 response, the others are revisits that refer to it and carry headers only. ``build_index`` reads
 the archives back and sorts the captures by reversed-host URL key into compressed blocks; the
 first keys of the blocks form a sparse directory by shard, and the first keys of the shards, at
@@ -9,7 +10,8 @@ most ``SHARDS`` of them, the directory above it. ``look_up`` finds a key by bina
 opens one block, and reads the byte range of the record.
 
 Defined cases: null html is an empty payload (all payloads count, of 0 bytes and more); a null url
-has an empty key; rows that repeat an id and a payload are one capture; a null page id is written
+has an empty key; rows that repeat an id and a payload are written
+each, and each row finds one of them; a null page id is written
 as empty and read as null; payloads of any length are written whole; an empty table writes no
 record; other columns are ignored.
 """
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.session import ensure_checkpoint_dir, stored
 
-#: Payload bytes of an archive file, about; captures of an index block; shards, at most.
-FILE_BYTES = 16 << 20
+#: Records of an archive file, at most; captures of an index block; shards, at most.
+FILE_RECORDS = 5000
 BLOCK_LINES = 1000
 SHARDS = 4096
 
@@ -101,32 +103,35 @@ def record(url: str | None, page_id: int | None, html: str | None, size: int, di
 
 def write_archives(pages: DataFrame, found: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Write a record for each capture; ``found`` is ``captures(pages)``."""
-    one = found.select("page_id", "payload_digest", "payload_bytes").distinct()
+    one = found.select("page_id", "payload_digest", "key").distinct()
     first = one.groupBy("payload_digest").agg(F.max("page_id").alias("response_id"))
-    roles = stored(one.join(first, "payload_digest"))
-    total = roles.agg(F.sum("payload_bytes")).first()[0] or 0
-    files = max(1, -(-int(total) // FILE_BYTES))
+    revisits = one.join(first, "payload_digest").where("page_id <> response_id")
+    revisits = stored(revisits.select(F.col("key").alias("revisit"), "response_id"))
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             payloads = [b"" if x is None else x for x in batch.column(2).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([payload_digest(x) for x in payloads], pa.string())], names=["page_id", "url", "html", "digest"])
+            digests = [payload_digest(x) for x in payloads]
+            keys = [capture_key(u, i, d) for i, u, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), digests)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([len(x) for x in payloads], pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.string())],
+                names=["page_id", "url", "html", "payload_bytes", "digest", "key"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.mapInArrow(digested, "page_id long, url string, html string, digest string")
-    roles = roles.withColumnRenamed("page_id", "role_id")
-    joined = rows.join(roles, (F.col("digest") == F.col("payload_digest")) & F.col("page_id").eqNullSafe(F.col("role_id")))
-    joined = joined.dropDuplicates(["page_id", "digest"]).select("page_id", "url", "html", "payload_bytes", "digest", "response_id")
+    rows = rows.mapInArrow(digested, "page_id long, url string, html string, payload_bytes long, digest string, key string")
+    # few revisits are sent to the pages; many make the optimiser shuffle both by key
+    joined = rows.join(revisits, F.col("key") == F.col("revisit"), "left")
+    joined = joined.select("page_id", "url", "html", "payload_bytes", "digest", "response_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                record(url, page_id, html, size, digest, response, response is not None and page_id != response)
+                record(url, page_id, html, size, digest, response, response is not None)
                 for page_id, url, html, size, digest, response in zip(*[c.to_pylist() for c in batch.columns])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    dealt = joined.repartition(files, "page_id", "digest")
-    dealt.mapInArrow(write, "value string").write.option("lineSep", "\r\n\r\n").text(path)
+    out = joined.mapInArrow(write, "value string").write.option("lineSep", "\r\n\r\n")
+    out.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)")
@@ -165,7 +170,7 @@ def build_index(spark: SparkSession, path: str) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                content = content.as_py()
+                content = zlib.decompress(content.as_py(), 31)
                 places = list(records_of(content))
                 keys = [capture_key(r["url"], r["page_id"], r["digest"]) for r in (parse(content[a : a + n]) for a, n in places)]
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +241,7 @@ def read_ranges(files: DataFrame, places: DataFrame) -> DataFrame:
     def read(content: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if content.num_rows:
-            data = memoryview(content.column("content")[0].as_buffer())
+            data = memoryview(zlib.decompress(content.column("content")[0].as_py(), 31))
             for a, n in zip(asked.column("offset").to_pylist(), asked.column("length").to_pylist()):
                 r = parse(bytes(data[a : a + n]))
                 out.append((r["page_id"], r["url"], r["payload_bytes"], r["digest"], r["type"], r["refers_to"], r["payload"]))

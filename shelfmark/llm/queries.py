@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import captures, main_text, mixing, near_dups, nearest, quality, suffix_dups, token_counts
+from shelfmark.llm import captures, fingerprints, main_text, mixing, near_dups, nearest, quality, suffix_dups, token_counts
 from shelfmark.llm.common import read_table
 from shelfmark.session import stored
 
@@ -80,3 +80,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = captures.archive(read_table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_fingerprints")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
