@@ -255,7 +255,8 @@ def _pairs_across(members: DataFrame, roots: DataFrame, done: DataFrame, percent
 
 
 def keep_one_of_each(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, one row for each id; all columns."""
+    """The rows of ``docs`` whose document is kept, equal rows once; all columns. Rows that repeat
+    an id with different texts stay or go together."""
     kept = link(docs, percent=percent, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("kept_id"))
     kept = materialise(kept.distinct())
-    return docs.join(kept, docs[id_col] == F.col("kept_id"), "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col, text_col])

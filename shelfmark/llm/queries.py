@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import captures, fingerprints, main_text, mixing, near_dups, nearest, quality, suffix_dups, token_counts
+import corpus_pipeline
+from shelfmark.llm import captures, fingerprints, main_text, mixing, near_dups, nearest, quality, segmentations, suffix_dups, token_counts
 from shelfmark.llm.common import read_table
+from shelfmark.llm.settings import KEPT_SCORE, MIX, PIECES, SAMPLES
 from shelfmark.session import stored
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
-
-#: A document is rejected below this score.
-KEPT_SCORE = 0.3
-
-MIX = {"exponent": 0.5, "seed": 7}
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -85,3 +77,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_fingerprints")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_segmentations")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return segmentations.digests(segmentations.sample_segmentations(docs, PIECES, **SAMPLES))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import CHUNK_BYTES, U64, Rolling, flat_texts, mix
@@ -54,38 +54,43 @@ _IN_COVER = np.zeros(PERIOD, bool)
 _IN_COVER[list(COVER)] = True
 
 
-def block_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``block, ids, offsets, data``: documents in order of id, several to a row; ``block`` grows
-    with the order. Stored in buckets of ``block``."""
+def block_table(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """``block, ids, offsets, data, carried``: documents in order of id, several to a row; ``block``
+    grows with the order, ``carried`` holds the string ``carry`` of each. In buckets of ``block``."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
-        ids, sizes, pieces, held = [], [], [], 0
+        ids, sizes, pieces, extra, held = [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([b"".join(pieces)], pa.binary())],
-                names=["block", "ids", "offsets", "data"])
+                [pa.array([(part << 32) + seq]), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([b"".join(pieces)], pa.binary()), pa.array([extra], pa.list_(pa.string()))],
+                names=["block", "ids", "offsets", "data", "carried"])
 
         for batch in batches:
             flat, at = flat_texts(batch.column(1))
+            carried = batch.column(2).to_pylist()
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 size = int(at[i + 1] - at[i])
                 if ids and held + size > block_bytes:
                     yield row()
-                    seq, ids, sizes, pieces, held = seq + 1, [], [], [], 0
+                    seq, ids, sizes, pieces, extra, held = seq + 1, [], [], [], [], 0
                 ids.append(doc_id)
                 sizes.append(size)
                 pieces.append(flat[at[i] : at[i + 1]].tobytes())
+                extra.append(carried[i])
                 held += size
         if ids:
             yield row()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    rows = ordered.mapInArrow(run, "block long, ids array<long>, offsets binary, data binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None) if carry is None else carry).cast("string").alias("carried"))
+    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = ordered.mapInArrow(run, "block long, ids array<long>, offsets binary, data binary, carried array<string>")
     ensure_checkpoint_dir(spark)
     name = f"blocks_{uuid.uuid4().hex}"
     folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{name}"
@@ -213,12 +218,15 @@ def _sent(block: int, lists: list[tuple[int, bytes]]) -> pa.Table:
         "entries": pa.array([x for _, x in lists], pa.binary())})
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans`` for each row: ``kept`` the
-    remaining bytes, ``spans`` the removed runs as (start, end)."""
+def remove_repeats(
+    docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None,
+) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans, carried`` for each row:
+    ``kept`` the remaining bytes, ``spans`` the removed runs as (start, end), ``carried`` the
+    string that ``carry`` gives for the row."""
     if length < PERIOD + 8:
         raise ValueError(f"length must be at least {PERIOD + 8}")
-    blocks = block_table(docs, id_col=id_col, text_col=text_col)
+    blocks = block_table(docs, id_col=id_col, text_col=text_col, carry=carry)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +304,10 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
         gone = _runs(found, found + length, len(data))
         rows = [_cut_document(data[a:b], gone[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
         columns = list(zip(*rows)) if rows else [()] * 6
-        return pa.table([pa.array(ids, pa.int64()), *[pa.array(list(c), t) for c, t in zip(columns, _TYPES)]], names=["doc_id", *_NAMES])
+        carried = left.column("carried")[0].as_py() if left.num_rows else []
+        return pa.table(
+            [pa.array(ids, pa.int64()), *[pa.array(list(c), t) for c, t in zip(columns, _TYPES)], pa.array(carried, pa.string())],
+            names=["doc_id", *_NAMES, "carried"])
 
     lists = "slice int, block long, entries binary"
     replies = "block long, slice int, kind int, bits binary"
@@ -306,7 +317,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_
         sent = by_block.cogroup(answers.groupBy("block")).applyInArrow(send, lists)
         answers = answers.union(stored(sent.groupBy("slice").applyInArrow(answer_strings(kind), replies)))
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>, carried string")
 
 
 def _reply(table: pa.Table, kind: int, found: list[np.ndarray]) -> pa.Table:
@@ -332,3 +343,19 @@ def _cut_document(data: np.ndarray, gone: np.ndarray) -> tuple:
     kept = data[~gone].tobytes()
     spans = [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2])]
     return len(data), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept, spans
+
+
+def without_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the remaining text of each row and its length in ``chars_col``, if there is such
+    a column. Rows of which nothing is left go; bytes of a character that was cut become U+FFFD."""
+    others = [c for c in docs.columns if c != text_col]
+    schema = docs.select(*others).schema
+    found = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col, carry=F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    found = found.where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
+    row = F.from_json("carried", schema)
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    out = found.select(row.alias("row"), text.alias("kept_text"))
+    columns = {c: F.col(f"row.`{c}`") for c in others} | {text_col: F.col("kept_text")}
+    if chars_col in others:
+        columns[chars_col] = F.length("kept_text").cast(schema[chars_col].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
