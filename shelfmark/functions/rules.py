@@ -54,14 +54,19 @@ def kulczynski(support: Column, antecedent: Column, consequent: Column) -> Colum
     return (divide(support, antecedent, 0.0) + divide(support, consequent, 0.0)) / 2
 
 
-def item_list(items: Column) -> Column:
-    """``['a', 'b']``; an item with an apostrophe is put in double quotes."""
-    quoted = F.transform(
+def quoted_items(items: Column) -> Column:
+    """Each item in single quotes; one with an apostrophe is put in double quotes."""
+    return F.transform(
         items,
         lambda x: F.when(
             x.contains("'") & ~x.contains('"'), F.concat(F.lit('"'), x, F.lit('"'))
         ).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("\\'")), F.lit("'"))),
     )
+
+
+def item_list(items: Column) -> Column:
+    """``['a', 'b']``"""
+    quoted = quoted_items(items)
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 

@@ -124,9 +124,12 @@ def top_per_cluster(rules: DataFrame, n: int = 5) -> DataFrame:
 def _by_importance(rules: DataFrame, importance: DataFrame) -> DataFrame:
     """Score by the cluster's two most important features; the first is the key metric."""
     two = top_n(importance, ["Cluster"], [F.desc("importance"), F.asc("feature")], 2)
-    names = two.groupBy("Cluster").agg(
-        F.max_by("feature", "importance").alias("__first"),
-        F.min_by("feature", "importance").alias("__second"),
+    # both places from one order, so equal importances name two features
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("less"), "feature")))
+    names = two.groupBy("Cluster").agg(ordered.alias("__two")).select(
+        "Cluster",
+        F.get("__two", F.lit(0))["feature"].alias("__first"),
+        F.coalesce(F.get("__two", F.lit(1)), F.get("__two", F.lit(0)))["feature"].alias("__second"),
     )
     values = F.map_from_arrays(
         F.array(*map(F.lit, FEATURES)), F.array(*[F.col(f) for f in FEATURES])

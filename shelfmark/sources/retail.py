@@ -84,10 +84,10 @@ def items_from_text(text: Column) -> Column:
 
     Items may be in single or, when they hold an apostrophe, in double quotes.
     """
-    single = F.regexp_extract_all(text, F.lit(r"""'([^']*)'|"([^"]*)\""""), F.lit(0))
-    return F.array_sort(
-        F.array_distinct(F.transform(single, lambda x: F.substring(x, F.lit(2), F.length(x) - 2)))
-    )
+    found = F.regexp_extract_all(text, F.lit(r"""'((?:[^'\\]|\\.)*)'|"([^"]*)\""""), F.lit(0))
+    inner = F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    plain = F.transform(inner, lambda x: F.replace(x, F.lit("\\'"), F.lit("'")))
+    return F.array_sort(F.array_distinct(plain))
 
 
 def scan_rules(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.rules import quoted_items
+
 
 def _write(df: DataFrame, path: str, format: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -34,9 +36,8 @@ def write_segments(
 
 
 def items_as_text(items: str):
-    return F.concat(
-        F.lit("frozenset({'"), F.array_join(F.col(items), "', '"), F.lit("'})")
-    )
+    """``frozenset({'a', "b's"})``, as ``items_from_text`` reads it."""
+    return F.concat(F.lit("frozenset({"), F.array_join(quoted_items(F.col(items)), ", "), F.lit("})"))
 
 
 def write_rules(rules: DataFrame, path: str, format: str = "parquet") -> bool:

@@ -3,7 +3,7 @@
 
 The star tables hold neither missing values nor text defects, so both are derived from
 their keys by plain arithmetic. The same arithmetic is written in SQL in
-``checks/oracles.py``. Each order belongs to one of five themes of nine products, which
+``checks/ctes.py``. Each order belongs to one of five themes of nine products, which
 gives its basket the correlation that rule mining needs.
 """
 
