@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,9 @@ def codes_of(text: str) -> np.ndarray:
 
 _PLACES = random_words(41, 64) | U64(1)
 
+#: Size of the tables that say whether a string may begin a piece; false hits cost time only.
+BEGUN_BITS = 18
+
 
 def fingerprints(codes: np.ndarray, length: int) -> np.ndarray:
     """64-bit values of all substrings of ``length`` characters, by start."""
@@ -70,7 +74,12 @@ class Vocabulary:
         self.byte_p = sharpness * (-math.log(len(ranked) + 3) - total)
         self.byte_id = {b: held.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.longest = max(map(len, ranked))
-        self.out = {held.piece_to_id(p): p.replace(MARK, " ").encode() for p in ranked} | {i: bytes([b]) for b, i in self.byte_id.items()}
+        out = {held.piece_to_id(p): p.replace(MARK, " ").encode() for p in ranked} | {i: bytes([b]) for b, i in self.byte_id.items()}
+        #: bytes of each identifier, end to end, with their starts and sizes
+        spelled = [out.get(i, b"") for i in range(max(out) + 1)]
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.n_bytes = np.array([len(x) for x in spelled], np.int64)
+        self.begin = np.cumsum(self.n_bytes) - self.n_bytes
         #: by length: sorted fingerprints of the pieces, their log probabilities and identifiers
         self.tables = []
         for length in range(1, self.longest + 1):
@@ -79,9 +88,20 @@ class Vocabulary:
             order = np.argsort(hashes)
             self.tables.append((
                 hashes[order], np.array([self.log_p[p] for p in held_pieces])[order], np.array([held.piece_to_id(p) for p in held_pieces], np.int64)[order]))
-
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.out.__getitem__, ids)).decode(errors="replace")
+        #: by length: whether a longer piece may begin with a string, by the low bits of its fingerprint
+        self.begun = []
+        for length in range(1, self.longest + 1):
+            may = np.zeros(1 << BEGUN_BITS, bool)
+            heads = {p[:length] for p in ranked if len(p) > length}
+            may[[int(fingerprints(codes_of(h), length)[0]) & (len(may) - 1) for h in heads]] = True
+            self.begun.append(may)
+
+    def decode(self, ids: np.ndarray) -> str:
+        ids = np.asarray(ids, np.int64)
+        sizes = self.n_bytes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        text = self.bytes[np.repeat(self.begin[ids] - ends + sizes, sizes) + np.arange(total)].tobytes().decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -94,10 +114,10 @@ class Search:
     """The search over a group of texts."""
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: np.ndarray):
-        self.byte_id = vocabulary.byte_id
+        self.byte_id = np.array([vocabulary.byte_id[b] for b in range(256)], np.int64)
         runs = [vocabulary.runs(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        self.run = np.array([number.setdefault(r, len(number)) for rs in runs for r in rs], np.int64)
+        number = {r: i for i, r in enumerate(dict.fromkeys(chain.from_iterable(runs)))}
+        self.run = np.fromiter(map(number.__getitem__, chain.from_iterable(runs)), np.int64)
         self.first = np.concatenate([[0], np.cumsum([len(rs) for rs in runs])]).astype(np.int64)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self._lattices(vocabulary, list(number))
@@ -122,13 +142,22 @@ class Search:
         state = np.arange(len(codes)) + of  # the state before each character
         room = ends[of] - np.arange(len(codes)) if len(runs) else np.zeros(0, np.int64)
         starts, stops, weights, pieces = [], [], [], []
+        # the starts that some piece of this length or more may fit, with the sums of their fingerprints
+        with np.errstate(over="ignore"):
+            held = mix(codes.astype(U64) + U64(1))
+        begun, partial = np.arange(len(codes)), np.zeros(len(codes), U64)
         for length, (hashes, log_p, ids) in enumerate(vocabulary.tables, 1):
-            at = np.flatnonzero(room >= length)
-            if not len(at):
+            if length > 1:
+                go_on = np.flatnonzero((room[begun] >= length) & vocabulary.begun[length - 2][mine & U64((1 << BEGUN_BITS) - 1)])
+                begun, partial = begun[go_on], partial[go_on]
+            if not len(begun):
                 break
+            with np.errstate(over="ignore"):
+                partial = partial + held[begun + (length - 1)] * _PLACES[length - 1]
+            mine = mix(partial)
             if not len(hashes):
                 continue
-            mine = fingerprints(codes, length)[at]
+            at = begun
             slot = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
             known = hashes[slot] == mine
             if length == 1:
@@ -162,12 +191,18 @@ class Search:
             top = np.maximum.reduceat(terms, begin)
             self.sums[here] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), begin))
 
-    def pieces(self, path: np.ndarray) -> list[int]:
+    def pieces(self, path: np.ndarray) -> np.ndarray:
         """Identifiers of a path; characters that are no piece become their byte pieces."""
-        found = self.piece[path].tolist()
-        if min(found, default=0) >= 0:
+        found = self.piece[path]
+        if found.min(initial=0) >= 0:
             return found
-        return [i for p in found for i in ((p,) if p >= 0 else (self.byte_id[b] for b in chr(-p - 1).encode("utf-8", "surrogatepass")))]
+        unknown = np.flatnonzero(found < 0)
+        spelled = [chr(-p - 1).encode("utf-8", "surrogatepass") for p in found[unknown].tolist()]
+        times = np.ones(len(found), np.int64)
+        times[unknown] = [len(x) for x in spelled]
+        out = np.repeat(found, times)
+        out[out < 0] = self.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]
+        return out
 
     def _gumbel(self, text: np.ndarray, place: np.ndarray, inner: np.ndarray, path: int) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -179,11 +214,12 @@ class Search:
         n = len(self.whole)
         return self.whole + self._gumbel(np.arange(n), np.full(n, (1 << 40)), np.zeros(n, np.int64), 0)
 
-    def complete(self, occurrence: np.ndarray, state: np.ndarray, value: np.ndarray, decided: np.ndarray, path: int) -> tuple:
+    def complete(self, occurrence: np.ndarray, state: np.ndarray, value: np.ndarray, decided: np.ndarray, path: int, k: int) -> tuple:
         """Draw the rest of paths. ``occurrence, state``: runs to walk back through and where in
         their lattices; several runs of a text may be given, ``decided`` then counts only the
         weight after the last of them (by text). Returns chosen edges (occurrence, step, edge) and
-        the siblings (occurrence, edge, perturbed value)."""
+        the siblings (occurrence, edge, perturbed value, step) that may be among a text's first
+        ``k + 1``."""
         owner, at = occurrence, state
         inner = np.zeros(len(owner))
         own = np.zeros(len(self.run))
@@ -216,14 +252,31 @@ class Search:
         for owner, number, edges, group, edge, drawn, top, inner in steps:
             chosen.append((owner, np.full(len(owner), number), edges))
             shift = self.before[owner] + after[owner] + decided[self.text[owner]] + inner
-            goal = value[self.text[owner]][group]
-            other = edge != edges[group]
-            g, z, goal, shift = drawn[other], top[group][other], goal[other], shift[group][other]
+            other = np.flatnonzero(edge != edges[group])
+            of = group[other]
+            g, z, goal, shift = drawn[other], top[of], value[self.text[owner]][of], shift[of]
             v = goal - (g + shift) + np.log1p(-np.exp(np.minimum(g - z, -1e-12)))
             conditioned = goal - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-            siblings.append((owner[group][other], edge[other], conditioned, number * np.ones(other.sum(), np.int64), inner[group][other]))
+            siblings.append((owner[of], edge[other], conditioned, np.full(len(other), number)))
         join = lambda parts, n: [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * n
-        return join(chosen, 3), join(siblings, 5)
+        return join(chosen, 3), self._foremost(siblings, k)
+
+    def _foremost(self, siblings: list, k: int) -> tuple:
+        """The siblings of all steps without those that ``k + 1`` others of their text precede for
+        certain: below the ``k + 1``-th of the largest values of the steps."""
+        n = len(self.whole)
+        best = np.full((n, k + 1), -np.inf)
+        for at, _, g, _ in siblings:
+            if len(at):
+                texts = self.text[at]  # in order
+                begin = np.flatnonzero(np.diff(texts, prepend=-1))
+                mine = texts[begin]
+                best[mine] = np.sort(np.column_stack([best[mine], np.maximum.reduceat(g, begin)]), axis=1)[:, 1:]
+        least, kept = best[:, 0], []
+        for at, edge, g, number in siblings:
+            hold = np.flatnonzero(g >= least[self.text[at]])
+            kept.append((at[hold], edge[hold], g[hold], number[hold]))
+        return [np.concatenate(c) for c in zip(*kept)] if kept else [np.zeros(0, np.int64)] * 4
 
     def paths(self, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
         """For each text its paths in order: perturbed value, log weight, edges from the start of
@@ -231,7 +284,7 @@ class Search:
         n = len(self.whole)
         value = self.roots()
         every = np.arange(len(self.run))
-        chosen, siblings = self.complete(every, self.base[self.run + 1] - 1, value, np.zeros(n), 0)
+        chosen, siblings = self.complete(every, self.base[self.run + 1] - 1, value, np.zeros(n), 0, k)
         found: list[list] = [[] for _ in range(n)]
         waiting: list[list] = [[] for _ in range(n)]
         self._settle(found, waiting, chosen, siblings, value, [None] * n, k)
@@ -258,15 +311,20 @@ class Search:
                     state.append(np.append(self.base[self.run[earlier] + 1] - 1, self.start[edge]))
                     decided[t] = self.weight[owner_edges].sum()
             if occurrence:
-                chosen, siblings = self.complete(np.concatenate(occurrence), np.concatenate(state), value, decided, path)
+                chosen, siblings = self.complete(np.concatenate(occurrence), np.concatenate(state), value, decided, path, k)
                 self._settle(found, waiting, chosen, siblings, value, heads, k)
         return found
 
     def _settle(self, found: list, waiting: list, chosen: tuple, siblings: tuple, value: np.ndarray, heads: list, k: int) -> None:
         """Add the drawn paths, and the siblings that may still be among the first ``k + 1``."""
         owner, number, edges = chosen
-        order = np.lexsort((-number, owner))
-        owner, edges = owner[order], edges[order]
+        # an occurrence's steps are 0, 1, ... without gaps: the last drawn comes first
+        drawn_of = np.bincount(owner, minlength=len(self.run))
+        place = np.cumsum(drawn_of)[owner] - 1 - number
+        owner = np.repeat(np.arange(len(self.run)), drawn_of)
+        ordered = np.empty(len(edges), np.int64)
+        ordered[place] = edges
+        edges = ordered
         bounds = np.searchsorted(self.text[owner], np.arange(len(self.whole) + 1)) if len(owner) else np.zeros(len(self.whole) + 1, np.int64)
         path_of: list = [None] * len(self.whole)
         for t in range(len(self.whole)):
@@ -277,7 +335,7 @@ class Search:
             path_of[t] = (owner[bounds[t] : bounds[t + 1]], drawn, tail)
             path = np.concatenate([drawn, tail]).astype(np.int64)
             found[t].append((float(value[t]), float(self.weight[path].sum()), path))
-        at, edge, g, step, _ = siblings
+        at, edge, g, step = siblings
         if not len(at):
             return
         order = np.lexsort((-g, self.text[at]))
@@ -325,9 +383,11 @@ def sample_segmentations(
                 include = 0.0 if last[0] == -math.inf else math.log(-math.expm1(-math.exp(min(weight - last[0], 50.0))) or 5e-324)
                 out.append((name, number, pieces, len(pieces), log_p, include, vocabulary.decode(pieces)))
         columns = list(zip(*out)) if out else [()] * 7
-        types = (id_type, pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.float64(), pa.float64(), pa.string())
+        types = (id_type, pa.int32(), None, pa.int64(), pa.float64(), pa.float64(), pa.string())
+        spans = np.cumsum([0, *map(len, columns[2])]).astype(np.int32)
+        flat = np.concatenate([np.zeros(0, np.int64), *columns[2]]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types)], names=["doc_id", "sample", "ids", "n_pieces", "log_p", "inclusion", "decoded"])
+            [pa.array(list(c), t) if t else pa.ListArray.from_arrays(spans, flat) for c, t in zip(columns, types)], names=["doc_id", "sample", "ids", "n_pieces", "log_p", "inclusion", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema.replace(schema.split(",")[0], "doc_id long"))
 
