@@ -331,7 +331,7 @@ def _(spark, d):
     return scaling.standard_scale(s.customers(spark, d), rf.RFM)
 
 
-DIMS = range(8)
+DIMS = range(64)
 
 
 @query("standard_scale_embeddings", "; ".join(["vec_id", *[f"e{i}_scaled:6" for i in DIMS]]),

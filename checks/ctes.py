@@ -198,7 +198,7 @@ WHERE i.invoices <= 3000 OR i.place <= 1000
 TABLES["items"] = """
 SELECT "Cluster", "InvoiceNo", "CategoryExtraction" AS item,
        min(row("StockCode", "UnitPrice")) AS first_seen
-FROM used GROUP BY 1, 2, 3
+FROM lines GROUP BY 1, 2, 3
 """
 TABLES["frequent"] = """
 SELECT "Cluster", item, count(*) AS invoices FROM items JOIN
@@ -207,9 +207,7 @@ GROUP BY "Cluster", item, n
 HAVING count(*) >= CASE WHEN n < 100 THEN 2 WHEN n < 1000 THEN 3 ELSE 5 END
 """
 TABLES["kept"] = """
-SELECT * FROM (
-  SELECT i.*, row_number() OVER (PARTITION BY "Cluster", "InvoiceNo" ORDER BY first_seen, item) AS place
-  FROM items i SEMI JOIN frequent f USING ("Cluster", item)) WHERE place <= 50
+SELECT i.* FROM items i SEMI JOIN frequent f USING ("Cluster", item)
 """
 TABLES["baskets"] = """
 SELECT "Cluster", "InvoiceNo", list(item ORDER BY item) AS items FROM kept GROUP BY 1, 2
@@ -246,15 +244,11 @@ SELECT * FROM minedrules, (VALUES (0.03::DOUBLE), (0.05::DOUBLE)) s(min_support)
 WHERE cnt >= ceil(min_support * n) AND confidence >= min_confidence
 """
 RULE_ORDER = "lift DESC, confidence DESC, support DESC, a, c"
-TABLES["points"] = f"""
-SELECT * FROM (
-  SELECT *, row_number() OVER (PARTITION BY "Cluster", min_support, min_confidence
-                               ORDER BY {RULE_ORDER}) AS place
-  FROM (SELECT * REPLACE (
-          CASE WHEN isinf(conviction) THEN coalesce(max(conviction) FILTER (NOT isinf(conviction))
-               OVER (PARTITION BY "Cluster", min_support, min_confidence), 1.0)
-               ELSE conviction END AS conviction) FROM points0))
-WHERE place <= 5000
+TABLES["points"] = """
+SELECT * REPLACE (
+  CASE WHEN isinf(conviction) THEN coalesce(max(conviction) FILTER (NOT isinf(conviction))
+       OVER (PARTITION BY "Cluster", min_support, min_confidence), 1.0)
+       ELSE conviction END AS conviction) FROM points0
 """
 TABLES["tuning"] = """
 SELECT "Cluster", min_support, min_confidence, min_lift, count(*) AS num_rules,
@@ -271,7 +265,7 @@ FROM (SELECT DISTINCT "Cluster" FROM itemsets) i LEFT JOIN (
                              min_support, min_confidence, min_lift) = 1) b USING ("Cluster")
 """
 TABLES["rules"] = """
-SELECT p.* EXCLUDE (place, min_support, min_confidence) FROM points p JOIN best b
+SELECT p.* EXCLUDE (min_support, min_confidence) FROM points p JOIN best b
   ON p."Cluster" = b."Cluster" AND p.min_support = b.min_support
  AND p.min_confidence = b.min_confidence WHERE p.lift >= b.min_lift
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import stages as s
-from checks.ctes import METRIC, RULE_ORDER, item_list
+from checks.ctes import CENTRES, METRIC, RULE_ORDER, item_list
 from checks.registry import query, table_folder
 from shelfmark.functions import rules as fr
 from shelfmark.operators import baskets as b
@@ -96,7 +96,7 @@ def _(spark, d):
 @query("distinct_items", "Cluster; InvoiceNo; item", "FROM items")
 def _(spark, d):
     return b.distinct_items(
-        s.used(spark, d), "CategoryExtraction", ["Cluster"], ["StockCode", "UnitPrice"]
+        s.clustered(spark, d), "CategoryExtraction", ["Cluster"], ["StockCode", "UnitPrice"]
     )
 
 
@@ -130,11 +130,12 @@ def _(spark, d):
 
 @query("prepare_baskets", "Cluster; InvoiceNo; items:a", "FROM baskets")
 def _(spark, d):
-    return b.prepare_baskets(s.used(spark, d))
+    return b.prepare_baskets(s.clustered(spark, d))
 
 
 @query("prepare_word_baskets", "Cluster; InvoiceNo; items:a<list(item ORDER BY item)",
-       'FROM wordkept GROUP BY "Cluster", "InvoiceNo"', tables=WORD_TABLES)
+       'FROM worditems SEMI JOIN wordfrequent USING ("Cluster", item) '
+       'GROUP BY "Cluster", "InvoiceNo"', tables=WORD_TABLES)
 def _(spark, d):
     return b.prepare_baskets(words(spark, d), "word", ["Cluster"], ["place"])
 
@@ -234,6 +235,13 @@ def _(spark, d):
 
 @query("cap_rules_5000", RULE,
        f"""FROM (SELECT *, row_number() OVER (PARTITION BY "Cluster" ORDER BY {RULE_ORDER}) AS place
+ FROM minedrules) WHERE place <= 5000""")
+def _(spark, d):
+    return r.cap_rules(r.association_rules(s.itemsets(spark, d), 0.3), ["Cluster"], 5000)
+
+
+@query("cap_rules_25", RULE,
+       f"""FROM (SELECT *, row_number() OVER (PARTITION BY "Cluster" ORDER BY {RULE_ORDER}) AS place
  FROM minedrules) WHERE place <= 25""")
 def _(spark, d):
     return r.cap_rules(r.association_rules(s.itemsets(spark, d), 0.3), ["Cluster"], 25)
@@ -271,18 +279,16 @@ def _(spark, d):
     return mine_all(s.clean(spark, d), s.segments(spark, d)).rules
 
 
-@query("mine_all_unsampled")
+@query("mine_all_unsampled", RULE, "FROM rules")
 def _(spark, d):
-    return mine_all(s.clean(spark, d), s.segments(spark, d), sample=False).rules.select(
-        "Cluster", F.array_join("antecedents", "|").alias("antecedents"),
-        F.array_join("consequents", "|").alias("consequents"), "support", "confidence", "lift",
-    )
+    return mine_all(s.clean(spark, d), s.segments(spark, d), sample=False).rules
 
 
-@query("union_cluster_rules", RULE, 'FROM rules WHERE "Cluster" IN (0, 2, 4)')
+@query("union_cluster_rules", RULE, "FROM rules")
 def _(spark, d):
     rules = s.rules(spark, d)
-    return r.union_cluster_rules([rules.where(F.col("Cluster") == k) for k in (0, 2, 4)])
+    clusters = range(len(CENTRES))
+    return r.union_cluster_rules([rules.where(F.col("Cluster") == k) for k in clusters])
 
 
 @query("scan_rules", RULE, "FROM rules")

@@ -77,7 +77,7 @@ def _(spark, d):
 @query("argmax_k")
 def _(spark, d):
     base = s.scaled(spark, d)
-    best, _, _ = kmeans.find_optimal_clusters(base, s.SCALED, range(2, 5))
+    best, _, _ = kmeans.find_optimal_clusters(base, s.SCALED)
     return base.agg(F.lit(best).alias("k"), F.count("*").alias("customers"))
 
 

@@ -52,12 +52,13 @@ def clustered(spark: SparkSession, d: str) -> DataFrame:
 
 @stage
 def used(spark: SparkSession, d: str) -> DataFrame:
+    """The sample of the large clusters, for the queries on sampling alone."""
     return first_invoices(clustered(spark, d), ["Cluster"])
 
 
 @stage
 def baskets(spark: SparkSession, d: str) -> DataFrame:
-    return prepare_baskets(used(spark, d))
+    return prepare_baskets(clustered(spark, d))
 
 
 @stage

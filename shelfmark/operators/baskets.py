@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions.rules import min_occurrence
 from shelfmark.operators.groups import join_groups, join_uneven
 from shelfmark.operators.ordering import top_n
-from shelfmark.session import materialise, stored
+from shelfmark.session import stored
 
 SAMPLE_ABOVE = 3000
 SAMPLE_SIZE = 1000
@@ -128,18 +128,19 @@ def first_items(
 def prepare_baskets(
     lines: DataFrame, item: str = "CategoryExtraction", by: list[str] = ["Cluster"],
     order_by: list[str] = ["StockCode", "UnitPrice"], minimum: int | None = None,
-    max_items: int = MAX_ITEMS, invoice: str = "InvoiceNo",
+    max_items: int | None = None, invoice: str = "InvoiceNo",
 ) -> DataFrame:
     """One sorted item array per invoice that keeps at least one frequent item.
 
     Cleaned lines are grouped by (InvoiceNo, StockCode, UnitPrice), which is therefore
-    the default for 'first seen'.
+    the default for 'first seen'. ``max_items`` keeps that many items of a basket, by
+    default all.
     """
     # counted by item and by invoice, then filtered: written once, read by column
     items = stored(distinct_items(lines, item, by, order_by, invoice))
-    kept = first_items(
-        keep_items(items, frequent_items(items, by, minimum, invoice), by), by, max_items, invoice
-    )
+    kept = keep_items(items, frequent_items(items, by, minimum, invoice), by)
+    if max_items is not None:
+        kept = first_items(kept, by, max_items, invoice)
     return kept.groupBy(*by, invoice).agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
@@ -158,7 +159,7 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, by: str = "Cluster
     One FP-growth per group: support is relative to the group, and the groups (customer
     segments) are few. ``(by, items, count, baskets)``, items sorted.
     """
-    baskets = materialise(baskets.select(by, "items"))
+    baskets = stored(baskets.select(by, "items"))
     sizes = {r[by]: r["n"] for r in baskets.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
     schema_type = baskets.schema[by].dataType
     found = []

@@ -19,7 +19,6 @@ from shelfmark.operators.silhouette import silhouette
 from shelfmark.session import materialise, stored
 
 SCALED = {c: f"{c}_scaled" for c in RFM}
-EXACT_ROWS = 200_000
 MAX_ITERATIONS = 300
 FITS_AT_ONCE = 4
 
@@ -63,13 +62,13 @@ def _fit_vectors(vectors: DataFrame, k: int, seed: int) -> list[list[float]]:
 
 def find_optimal_clusters(
     df: DataFrame, features: Sequence[str], k_range: Sequence[int] = range(2, 11), seed: int = 42,
-    metric: str = "auto", row_id: str = "CustomerID",
+    metric: str = "euclidean", row_id: str = "CustomerID",
 ) -> tuple[int, DataFrame, dict[int, list[list[float]]]]:
     """Best k by silhouette (first on ties), the score of each k, and each k's centres.
 
     ``metric="euclidean"`` is the exact score, whose work grows with the square of the
-    rows; all values of k share its one pass. ``"squaredEuclidean"`` is linear. ``"auto"``
-    takes the exact one up to 200,000 rows; the scores name the metric that was used.
+    rows; all values of k share its one pass. ``"squaredEuclidean"`` is linear, the one to
+    ask for with many customers. The number of rows never decides.
     """
     # every fit makes many short passes over the same points: keep them in memory, and let
     # a few fits fill each other's gaps
@@ -81,8 +80,6 @@ def find_optimal_clusters(
     labelled = df
     for k, c in centres.items():
         labelled = assign_nearest(labelled, features, c, f"k{k}")
-    if metric == "auto":
-        metric = "euclidean" if df.count() <= EXACT_ROWS else "squaredEuclidean"
     if metric == "euclidean":
         scores = {
             int(r["label"][1:]): r["silhouette"]
@@ -167,7 +164,7 @@ def order_centres(centres: list[list[float]], order_by: int | None) -> list[list
 
 
 def fit_clustering(
-    rfm: DataFrame, n_clusters: int | None = None, seed: int = 42, metric: str = "auto",
+    rfm: DataFrame, n_clusters: int | None = None, seed: int = 42, metric: str = "euclidean",
     order_by: int | None = None,
 ) -> tuple[DataFrame, SegmentModel]:
     """Scale, choose k unless given, cluster, name, project. The scaled customers are

@@ -114,9 +114,12 @@ def lift_filter(rules: DataFrame, min_lift: float | Column) -> DataFrame:
     return rules.where(F.col("lift") >= min_lift)
 
 
-def rules_at_points(rules: DataFrame, supports: list[float], confidences: list[float]) -> DataFrame:
+def rules_at_points(
+    rules: DataFrame, supports: list[float], confidences: list[float], max_rules: int | None = None
+) -> DataFrame:
     """The rule set of each (support, confidence) point, out of rules mined at the lowest
-    of them: conviction capped within the point, then the best 5000 kept."""
+    of them: conviction capped within the point, then the best ``max_rules`` kept, by
+    default all."""
     grid = F.array(
         *[
             F.struct(F.lit(s).alias("min_support"), F.lit(c).alias("min_confidence"))
@@ -135,15 +138,18 @@ def rules_at_points(rules: DataFrame, supports: list[float], confidences: list[f
         )
     )
     by = ["Cluster", *POINT]
-    return cap_rules(cap_conviction(points, by), by)
+    capped = cap_conviction(points, by)
+    return capped if max_rules is None else cap_rules(capped, by, max_rules)
 
 
 def generate_rules(
-    itemsets: DataFrame, min_support: float, min_confidence: float, min_lift: float
+    itemsets: DataFrame, min_support: float, min_confidence: float, min_lift: float,
+    max_rules: int | None = None,
 ) -> DataFrame:
     """The rules of one parameter choice, unordered."""
     rules = association_rules(itemsets, min_confidence)
-    return lift_filter(rules_at_points(rules, [min_support], [min_confidence]), min_lift).drop(*POINT)
+    points = rules_at_points(rules, [min_support], [min_confidence], max_rules)
+    return lift_filter(points, min_lift).drop(*POINT)
 
 
 def tuning_results(points: DataFrame, lifts: list[float] = GRID_LIFT) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from shelfmark.operators import baskets as b
 from shelfmark.operators import rules as r
-from shelfmark.session import materialise
+from shelfmark.session import materialise, stored
 
 
 @dataclass
@@ -23,13 +23,14 @@ class Mined:
 
 
 def mine_all(
-    lines: DataFrame, segments: DataFrame, sample: bool = True,
+    lines: DataFrame, segments: DataFrame, sample: bool = False,
     item: str = "CategoryExtraction", order_by: list[str] = ["StockCode", "UnitPrice"],
 ) -> Mined:
     """Mine once per cluster at the lowest grid support; every grid point and the final
-    rules are filters of that one result. ``sample=False`` mines all invoices of the
-    large clusters as well."""
-    clustered = b.lines_with_cluster(lines, segments)
+    rules are filters of that one result. All invoices are mined; ``sample=True`` mines
+    the first of the large clusters only."""
+    # read by the baskets and the statistics
+    clustered = stored(b.lines_with_cluster(lines, segments))
     used = b.first_invoices(clustered, ["Cluster"]) if sample else clustered
     baskets = b.prepare_baskets(used, item, ["Cluster"], order_by)
     itemsets = materialise(b.frequent_itemsets(baskets, min(r.GRID_SUPPORT)))
@@ -41,5 +42,5 @@ def mine_all(
     return Mined(used, b.cluster_statistics(clustered, used), tuning, params, final)
 
 
-def mine_cluster(lines: DataFrame, segments: DataFrame, cluster: int, sample: bool = True) -> Mined:
+def mine_cluster(lines: DataFrame, segments: DataFrame, cluster: int, sample: bool = False) -> Mined:
     return mine_all(lines, b.cluster_subset(segments, cluster), sample)

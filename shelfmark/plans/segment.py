@@ -19,7 +19,7 @@ class Segmented:
 
 
 def segment(
-    lines: DataFrame, n_clusters: int | None = None, seed: int = 42, metric: str = "auto",
+    lines: DataFrame, n_clusters: int | None = None, seed: int = 42, metric: str = "euclidean",
     order_by: int | None = None,
 ) -> Segmented:
     customers, model = fit_clustering(rfm(lines), n_clusters, seed, metric, order_by)
