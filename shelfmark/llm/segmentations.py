@@ -51,12 +51,11 @@ _PLACES = random_words(41, 64) | U64(1)
 BEGUN_BITS = 18
 
 
-def fingerprints(codes: np.ndarray, length: int) -> np.ndarray:
-    """64-bit values of all substrings of ``length`` characters, by start."""
-    n = len(codes) - length + 1
+def fingerprints_of(strings: list[str], length: int) -> np.ndarray:
+    """64-bit values of strings of ``length`` characters."""
     with np.errstate(over="ignore"):
-        held = mix(codes.astype(U64) + U64(1))
-        return mix(sum((held[j : n + j] * _PLACES[j] for j in range(length)), np.zeros(max(n, 0), U64)))
+        held = mix(codes_of("".join(strings)).astype(U64) + U64(1)).reshape(-1, length)
+        return mix((held * _PLACES[:length]).sum(axis=1, dtype=U64))
 
 
 class Vocabulary:
@@ -84,7 +83,7 @@ class Vocabulary:
         self.tables = []
         for length in range(1, self.longest + 1):
             held_pieces = [p for p in ranked if len(p) == length]
-            hashes = np.array([int(fingerprints(codes_of(p), length)[0]) for p in held_pieces], U64)
+            hashes = fingerprints_of(held_pieces, length)
             order = np.argsort(hashes)
             self.tables.append((
                 hashes[order], np.array([self.log_p[p] for p in held_pieces])[order], np.array([held.piece_to_id(p) for p in held_pieces], np.int64)[order]))
@@ -93,7 +92,7 @@ class Vocabulary:
         for length in range(1, self.longest + 1):
             may = np.zeros(1 << BEGUN_BITS, bool)
             heads = {p[:length] for p in ranked if len(p) > length}
-            may[[int(fingerprints(codes_of(h), length)[0]) & (len(may) - 1) for h in heads]] = True
+            may[fingerprints_of(list(heads), length) & U64(len(may) - 1)] = True
             self.begun.append(may)
 
     def decode(self, ids: np.ndarray) -> str:
