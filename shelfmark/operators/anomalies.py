@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from shelfmark.functions.numeric import divide, infinity, round_half_even
 from shelfmark.functions.rules import ARROW, rule_id, rule_string
 from shelfmark.operators import iforest, lof
-from shelfmark.operators.groups import join_groups
+from shelfmark.operators.groups import join_groups, with_row_key
 from shelfmark.operators.scaling import apply_scaler, fit_scaler, median_impute
 from shelfmark.session import materialise
 from shelfmark.sources.retail import RULE_METRICS
 
 NORMALIZED = {m: f"{m}_normalized" for m in RULE_METRICS}
 FEATURES = list(NORMALIZED.values())
+ROW = "__row"
 FLAGS = ["isolation_forest_anomaly", "lof_anomaly", "combined_anomaly"]
 MIN_RULES = 10
 
@@ -42,9 +43,9 @@ def fit_rule_scaler(rules: DataFrame, by: str = "Cluster") -> DataFrame:
     return fit_scaler(ready, list(filled.values()), [by])
 
 
-def feature_rows(rules: DataFrame, by: str = "Cluster") -> DataFrame:
+def feature_rows(rules: DataFrame, by: str = "Cluster", row_id: str = "rule_id") -> DataFrame:
     """The seven features by rule, gaps filled with the cluster's median."""
-    return median_impute(rules.select(by, "rule_id", *FEATURES), FEATURES, [by])
+    return median_impute(rules.select(by, row_id, *FEATURES), FEATURES, [by])
 
 
 def sort_by_rule_id(rules: DataFrame) -> DataFrame:
@@ -77,20 +78,21 @@ def detect_anomalies(
     """Flag prepared rules by forest and local outlier factor, all groups at once.
 
     ``params`` is ``(by, contamination, n_neighbors)``. Groups under ten rules get zeros.
+    A rule that is given several times counts, and comes back, as often.
     """
-    rules = materialise(rules)
-    features = feature_rows(rules, by)
+    rules = materialise(with_row_key(materialise(rules), [by, "rule_id"], ROW))
+    features = feature_rows(rules, by, ROW)
     enough = materialise(join_groups(features, small_groups(rules, by), [by], "left_anti"))
-    forest = iforest.fit_forest(enough, FEATURES, by, "rule_id", seed=seed)
+    forest = iforest.fit_forest(enough, FEATURES, by, ROW, seed=seed)
     scored = materialise(
-        iforest.score_forest(enough, forest, FEATURES, by).select(by, "rule_id", "iforest_score")
+        iforest.score_forest(enough, forest, FEATURES, by).select(by, ROW, "iforest_score")
     )
     flagged = materialise(iforest.flag_forest(scored, params.select(by, "contamination"), by))
     neighbours = params.select(by, F.col("n_neighbors").alias("k"))
     top_k = params.agg(F.max("n_neighbors").alias("k")).first()["k"] or 1
-    factors = lof.lof_scores(enough, FEATURES, neighbours, top_k, by, "rule_id").drop("k")
-    joined = rules.join(flagged, [by, "rule_id"], "left").drop("offset")
-    joined = lof.flag_lof(joined, factors, by, "rule_id").fillna(
+    factors = lof.lof_scores(enough, FEATURES, neighbours, top_k, by, ROW).drop("k")
+    joined = rules.join(flagged, [by, ROW], "left").drop("offset")
+    joined = lof.flag_lof(joined, factors, by, ROW).drop(ROW).fillna(
         {"isolation_forest_anomaly": 0, "anomaly_score": 0.0}
     )
     offsets = flagged.groupBy(by).agg(F.max("offset").alias("offset"))
@@ -107,13 +109,12 @@ def predict_anomalies(
     unknown = [r[by] for r in missing.limit(10).collect()]
     if unknown:
         raise ValueError(f"no trained forest for cluster {unknown}")
-    prepared = preprocess_rules(rules, scaler, by)
-    features = feature_rows(prepared, by)
-    scored = iforest.score_forest(features, forest, FEATURES, by).select(
-        by, "rule_id", "iforest_score"
-    )
+    prepared = materialise(preprocess_rules(rules, scaler, by))
+    prepared = materialise(with_row_key(prepared, [by, "rule_id"], ROW))
+    features = feature_rows(prepared, by, ROW)
+    scored = iforest.score_forest(features, forest, FEATURES, by).select(by, ROW, "iforest_score")
     decided = iforest.with_decision(scored, offsets, by, "iforest_score").drop("offset")
-    return prepared.join(decided, [by, "rule_id"])
+    return prepared.join(decided, [by, ROW]).drop(ROW)
 
 
 def either_anomaly(rules: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ the rows of such a key are dealt to several slices (``join_uneven``).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,21 @@ def join_groups(
     return rows.join(F.broadcast(known), by, how)
 
 
+def with_row_key(rows: DataFrame, on: list[str], into: str) -> DataFrame:
+    """Add a key that no two rows share: the last column of ``on`` as text, with a number
+    behind it where ``on`` repeats. The number follows the partitions, so write the result
+    before joining on it. Only repeated keys are looked up, after counting in the map tasks."""
+    keys = [F.col(c).alias(f"__on{i}") for i, c in enumerate(on)]
+    repeated = (
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__times")).where(F.col("__times") > 1)
+    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__on{i}")) for i, c in enumerate(on)])
+    own = F.col(on[-1]).cast("string")
+    numbered = F.concat_ws("#", own, F.monotonically_increasing_id().cast("string"))
+    key = F.when(F.col("__times").isNull(), own).otherwise(numbered)
+    return rows.join(repeated, same, "left").select(*[f"`{c}`" for c in rows.columns], key.alias(into))
+
+
 def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
     """Keys with more rows than an average shuffle partition, with the number of slices
     that brings them back to that size; None if there are none. There cannot be more of

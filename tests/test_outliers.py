@@ -246,6 +246,17 @@ def test_predicting_needs_a_trained_cluster(spark):
         a.predict_anomalies(rules_table(spark, 5, 7), found.forest, found.offsets)
 
 
+def test_repeated_rules_come_back_as_often(spark):
+    once = rules_table(spark, 12, 0)
+    twice = a.preprocess_rules(once.unionByName(once))
+    found = a.detect_anomalies(twice, uniform(spark, clusters=(0,)))
+    got = found.rules.select("rule_id", *a.FLAGS, "anomaly_score").collect()
+    assert len(got) == 24 and len({r["rule_id"] for r in got}) == 12
+    assert len({tuple(r) for r in got}) == 12
+    again = a.predict_anomalies(once.unionByName(once), found.forest, found.offsets)
+    assert again.count() == 24 and "__row" not in again.columns + found.rules.columns
+
+
 def test_jaccard_of_flag_sets(spark):
     rows = [(0, str(i), rate, 0.0, int(i in hit)) for rate, hit in
             ((.01, {1}), (.03, {1, 2, 3})) for i in range(5)]
