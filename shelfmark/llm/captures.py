@@ -10,7 +10,8 @@ most ``SHARDS`` of them, the directory above it. ``look_up`` finds a key by bina
 opens one block, and reads the byte range of the record.
 
 Defined cases: null html is an empty payload (all payloads count, of 0 bytes and more); a null url
-has an empty key; rows that repeat an id and a payload are written
+has an empty key; white space around a url, and tabs and line breaks in it, are left out of its
+record and its key; rows that repeat an id and a payload are written
 each, and each row finds one of them; a null page id is written
 as empty and read as null; payloads of any length are written whole; an empty table writes no
 record; other columns are ignored.
@@ -25,7 +26,7 @@ import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -42,15 +43,22 @@ SHARDS = 4096
 _DATE = "2024-01-01T00:00:00Z"
 
 
+def target_uri(url: str | None) -> str:
+    """The url as a record names it: no white space around it, no tabs and line breaks, quoted.
+    What is a target already stays as it is, so that archives and look-ups derive equal keys."""
+    return quote((url or "").translate(dict.fromkeys(b"\t\n\r")).strip(), safe="!#$%&'()*+,/:;=?@[]~")
+
+
 def url_key(url: str | None) -> str:
     """The host reversed by its labels, then port, path and query: ``org,example)/a?b``."""
-    if not url:
+    target = target_uri(url)
+    if not target:
         return ""
     try:
-        parts = urlsplit(url.strip())
-        host, port = (parts.hostname or "").lower(), parts.port
+        parts = urlsplit(target)
+        host, port = unquote(parts.hostname or "").lower(), parts.port
     except ValueError:
-        return quote(url.lower(), safe="/:?&=%)(,")
+        return quote(target.lower(), safe="/:?&=%)(,")
     host = host.removeprefix("www.")
     path = parts.path or "/"
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + path
@@ -90,10 +98,9 @@ def record(url: str | None, page_id: int | None, html: str | None, size: int, di
     """One record up to its last byte; the two line ends after it are the file's line end."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
     body = "" if revisit else html or ""
-    target = quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, digest)}",
-        f"WARC-Date: {_DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Date: {_DATE}", f"WARC-Target-URI: {target_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response"]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(refers_to, digest)}"]
@@ -263,7 +270,10 @@ def archive(pages: DataFrame, path: str | None = None) -> DataFrame:
     found = stored(captures(pages))
     write_archives(pages, found, path)
     index = build_index(spark, path)
-    return read_ranges(read_files(spark, path), look_up(index, found.select("key")))
+    places = stored(look_up(index, found.select("key")))
+    if (held := places.count()) != (asked := found.count()):
+        raise RuntimeError(f"the index holds {held} of {asked} captures")
+    return read_ranges(read_files(spark, path), places)
 
 
 #: DuckDB SQL of the query. Base32 of a digest: eight 5-bit groups of each of four 40-bit parts.

@@ -154,6 +154,19 @@ def test_archives_round_trip(spark):
     assert captures.url_key("http://www.B.example.org:8080/p?q") == "org,example,b:8080)/p?q"
 
 
+def test_archives_find_captures_of_odd_urls(spark):
+    urls = [
+        " http://x.org/a", "http://x.org/a\n", "http://x.o\trg/a", "\xa0http://x.org/", " ", "http://München.de/a b", "http://MÜNCHEN.de/ä#ü",
+        "http://[bad/Ä", "http://Ü.org:bad/", "http://x／y.org/", "http://x.org/%zz?ß=%C3%9F", "http://x.org/\x00\x1f", None, ""]
+    assert captures.url_key(urls[0]) == captures.url_key(urls[1]) == captures.url_key(urls[2]) == "org,x)/a"
+    assert captures.url_key(urls[5]).startswith("de,m%C3%BCnchen)") and captures.url_key(urls[6]).startswith("de,m%C3%BCnchen)")
+    for url in urls:
+        assert captures.url_key(url) == captures.url_key(captures.target_uri(url))
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = captures.archive(pages).collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == [(i, f"page {i}") for i in range(len(urls))]
+
+
 def test_fingerprints_equal_brute_force(docs):
     rows = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     order = sorted(((r["doc_id"], r["text"] or "") for r in rows.collect()), reverse=True)
