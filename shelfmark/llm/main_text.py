@@ -3,11 +3,14 @@
 A page is read as a row of text blocks: block-level tags end a block, other tags do not, and
 scripts, styles, comments and markup are no text. Each block is described by its words and link
 density and those of the blocks before and after it, and by what encloses it: an article, or
-parts that surround one (menus, headers, footers, sidebars, notices, adverts, forms, comments).
+parts that surround one (menus, headers, footers, sidebars, notices, adverts, forms, comments) by
+their element or by a class or id that names them as a whole. What holds the first article of a page
+does not surround it by its name.
 A small decision tree, trained here on the labelled blocks below, says which blocks are main text.
 
 Defined cases: null or empty html, and pages without main text, give an empty text; cut pages
-end where they end (an unfinished tag is markup); pages of any length are read whole; repeated
+end where they end (an unfinished tag is markup); elements that are not ended end with their parent,
+paragraphs at the next block, and buttons, drawings and the like at an article; pages of any length are read whole; repeated
 rows are read each; other columns are ignored.
 """
 
@@ -37,10 +40,22 @@ AROUND_WORDS = frozenset(
     "disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager "
     "pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split())
+#: What may stand beside them in a name: ``comment-list`` names comments, ``no-sidebar`` no sidebar.
+BESIDE_WORDS = frozenset(
+    "area author bar block body box button buttons container entry inner item items link links list message post "
+    "posts section site text top bottom wrap wrapper".split())
 MAIN_WORDS = frozenset(("article", "articlebody", "entry", "post", "story"))
-
+#: Opening tags that end an open paragraph; elements that may stand in a head; elements without
+#: text that can't hold an article, so that one ends them where their own end is missing.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
+    "h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split())
+IN_HEAD = frozenset("base link meta noscript object template".split())
+NO_ARTICLE = frozenset("svg math iframe select button object canvas head".split())
+
+# content of the first elements is no markup; the others without text are open elements
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|textarea|title|select|button|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S | re.I)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -139,16 +154,29 @@ class Block:
 def _names(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
-    return {w for m in NAMED.finditer(attributes) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w}
+    return {w for m in NAMED.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+
+
+@lru_cache(maxsize=4096)
+def _parts(name: str) -> frozenset[str]:
+    return frozenset(w for w in SPLIT.split(name) if w)
+
+
+@lru_cache(maxsize=4096)
+def _names_around(name: str) -> bool:
+    """The name as a whole says surrounding: all its parts are such words or stand beside them."""
+    parts = _parts(name)
+    return bool(parts & AROUND_WORDS) and all(w in AROUND_WORDS or w in BESIDE_WORDS or w.isdigit() for w in parts)
 
 
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page, in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, main, around
+    stack: list[list] = []  # open elements: name, main, around, around unless an article is inside
     text: list[str] = []
     linked = 0
     links = hidden = main = around = 0
+    article = False
 
     def close() -> None:
         nonlocal linked
@@ -167,6 +195,14 @@ def blocks_of(html: str) -> list[Block]:
             if links:
                 linked += len(html[a:b].split())
 
+    def end(depth: int) -> None:
+        """End the open elements from ``depth`` on."""
+        nonlocal links, hidden, main, around
+        while len(stack) > depth:
+            gone, was_main, was_around, _ = stack.pop()
+            main, around = main - was_main, around - was_around
+            links, hidden = links - (gone == "a"), hidden - (gone in NO_TEXT)
+
     at = 0
     for m in TOKEN.finditer(html):
         chunk(at, m.start())
@@ -179,27 +215,38 @@ def blocks_of(html: str) -> list[Block]:
             close()
         elif name == "br":
             text.append(" ")
+        if not closing:
+            if stack and stack[-1][0] == "head" and name not in IN_HEAD:
+                end(len(stack) - 1)
+            if name in ENDS_P:
+                # a paragraph ends where the next block begins, with what is open inside it
+                depth = len(stack) - 1
+                while depth >= 0 and stack[depth][0] not in BLOCK_TAGS and stack[depth][0] not in NO_TEXT:
+                    depth -= 1
+                if depth >= 0 and stack[depth][0] == "p":
+                    end(depth)
+            if name in MAIN_TAGS and hidden:
+                without = [i for i, x in enumerate(stack) if x[0] in NO_TEXT]
+                if all(stack[i][0] in NO_ARTICLE for i in without):
+                    end(without[0])
         if name in VOID_TAGS or attributes.endswith("/"):
             continue
         if not closing:
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-                # a paragraph ends where the next begins; p never counts as main or around by itself
             names = _names(attributes)
-            is_main = name in MAIN_TAGS or bool(names & MAIN_WORDS)
-            is_around = name in AROUND_TAGS and not (name == "header" and main) or bool(names & AROUND_WORDS) and name not in ("html", "body")
-            if name == "p":
-                is_main = False
-            stack.append((name, is_main, is_around))
+            is_main = name != "p" and (name in MAIN_TAGS or any(_parts(x) & MAIN_WORDS for x in names))
+            named = name not in ("html", "body") and any(map(_names_around, names))
+            is_around = named or name in AROUND_TAGS and not (name == "header" and main)
+            if name in MAIN_TAGS and not is_around and not article:
+                # what holds the article is not beside it, whatever its name
+                for x in stack:
+                    if x[3]:
+                        x[2], x[3], around = False, False, around - 1
+                article = around == 0
+            stack.append([name, is_main, is_around, is_around and (name == "form" or name not in AROUND_TAGS)])
             main, around = main + is_main, around + is_around
             links, hidden = links + (name == "a"), hidden + (name in NO_TEXT)
         elif any(x[0] == name for x in stack):
-            while True:
-                gone, was_main, was_around = stack.pop()
-                main, around = main - was_main, around - was_around
-                links, hidden = links - (gone == "a"), hidden - (gone in NO_TEXT)
-                if gone == name:
-                    break
+            end(max(i for i, x in enumerate(stack) if x[0] == name))
     rest = html[at:]
     cut = re.search(r"<(?:[a-zA-Z/!?]|\Z)", rest)
     chunk(at, at + cut.start() if cut else len(html))

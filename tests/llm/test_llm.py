@@ -144,6 +144,39 @@ def test_main_text():
     assert main_text.main_text(page[: page.index("Four") + 2] + "<b") == "Head & line\nOne two three.\nFo"
 
 
+TWO = "\n".join(" ".join([f"{x} sentence that is long enough to be read as a text of its own"] * 4) + "." for x in ("One", "Another"))
+ARTICLE = "<article><p>{}</p><p>{}</p></article>".format(*TWO.split("\n"))
+PLAIN = ARTICLE.replace("article>", "section>")
+
+
+@pytest.mark.parametrize("page", [
+    '<body><p class="notice">We use cookies here.' + PLAIN,
+    '<body><p class="notice">We use <b>cookies here.<p>' + TWO.replace("\n", "<p>"),
+    '<body><p class="notice">We use cookies here.<p>' + TWO.replace("\n", "<p>"),
+    '<article><p class="notice">We use cookies here.<p>' + TWO.replace("\n", "<p>") + "</article>",
+])
+def test_main_text_after_an_unclosed_notice(page):
+    assert main_text.main_text(page).removeprefix("We use cookies here.\n") == TWO
+
+
+@pytest.mark.parametrize("page", [
+    f'<div class="no-sidebar">{ARTICLE}</div>', f'<div class="page has-header">{ARTICLE}</div>', f'<div class="no-sidebar">{PLAIN}</div>',
+    ARTICLE.replace("<article>", '<article class="post ad-free">'), f'<div class="page widget">{ARTICLE}</div>', f"<form id=all>{ARTICLE}</form>",
+    f'<div class="with-sidebar"><div class="sidebar-box"><p>Read these other pages as well.</p></div>{ARTICLE}<ul class="comment-list"><li><article class=comment>I was first to write.</article></ul></div>',
+])
+def test_main_text_inside_wrappers(page):
+    assert main_text.main_text(f"<body>{page}</body>") == TWO
+
+
+@pytest.mark.parametrize("part", [
+    '<svg class="i"/>', "<math/>", "<div><button>Menu</div>", "<div><select><option>One<option>Two</div>", "<div><iframe src=x>No frames.</div>",
+    "<button>Menu", "<select><option>One", "<iframe src=x>", "<svg><title>Logo</title><path d='m0'/>", "<button>Menu</button><svg><text>Logo</text></svg><div><svg/></div>",
+])
+def test_main_text_after_elements_without_text(part):
+    assert main_text.main_text(f"<html><head><title>T</title><body>{part}{ARTICLE}</body></html>") == TWO
+    assert main_text.main_text(f"<body><article><header>{part}</header>{ARTICLE[9:]}") == TWO
+
+
 def test_archives_round_trip(spark):
     rows = [(1, "http://a.org/x?y=1", "same é"), (2, "http://b.a.org/", "same é"), (3, None, None), (4, "::bad", ""), (5, "http://a.org/x?y=1", "line\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
