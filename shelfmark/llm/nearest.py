@@ -5,8 +5,8 @@ indexed) and rotated by a random orthogonal matrix. A query visits its nearest l
 vectors lie in column blocks: after each block of dimensions a hypothesis test compares the
 partial distance, scaled up, with the query's reach, and abandons the candidates that are too far
 with high confidence; the few that are left get the exact distance on the original vectors.
-The reach starts as the distance to the k-th neighbour in a small sample, which bounds the answer
-from above, and shrinks with what the first rows of a list yield. Vectors without clusters put
+The reach starts as the distance to the k-th neighbour in a small sample of distinct ids, which
+bounds the answer from above, and shrinks with what the first rows of a list yield. Vectors without clusters put
 neighbours in many lists, so a large share of the lists is visited and the tests save the work.
 
 Lists and queries are cut to groups of bounded size, so a list that holds a third of all vectors
@@ -31,7 +31,7 @@ from shelfmark.session import stored
 #: Rows that centres and first reaches are fitted on, at most.
 SAMPLE = 20_000
 MOST_LISTS = 2048
-#: Rows that first reaches are taken from: at most so many, and at most this share of all.
+#: Rows, of distinct ids, that first reaches are taken from: at most so many, and at most this share of all.
 REACH_ROWS = 512
 REACH_SHARE = 8
 #: Rows of a list that are scanned before the reach shrinks.
@@ -120,7 +120,10 @@ def nearest(
     sample = _matrix(held.column("v").combine_chunks(), size)
     n_lists = int(np.clip(round(n**0.5 / 2), 1, min(MOST_LISTS, len(sample))))
     few = min(REACH_ROWS, n // REACH_SHARE)
-    index = Index(rotation, _centres(sample, n_lists, rng), held.column("vec_id").to_numpy()[:few], sample[:few], np.zeros(0))
+    # one row for each id: k rows of fewer ids would not bound the distance to the k-th neighbour
+    ids = held.column("vec_id").to_numpy()
+    first = np.sort(np.unique(ids, return_index=True)[1])[:few]
+    index = Index(rotation, _centres(sample, n_lists, rng), ids[first], sample[first], np.zeros(0))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

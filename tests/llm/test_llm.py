@@ -135,6 +135,24 @@ def test_nearest_recall_and_unusable_vectors(spark):
     assert few.count() == 3 and nearest.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 16)).astype(float)
+    ids = spark.range(2000).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(1).collect()
+    hot = ids[0]["id"]  # comes first in the sample
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for more in ([(hot, x[hot].tolist())] * 1000, rows * 9):
+        table = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        got = nearest.nearest(table, F.col("vec_id") % 100 == 0).collect()
+        hits = 0
+        for q in range(0, 2000, 100):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            found = [r["vec_id"] for r in got if r["query_id"] == q]
+            assert len(found) == len(set(found)) == 10
+            hits += len({i for i in np.argsort(d)[:11] if i != q} & set(found))
+        assert hits >= 180
+
+
 def test_main_text():
     page = (
         '<html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><a href=x>Menu</a></nav><div class="ad">Buy now.</div>'
