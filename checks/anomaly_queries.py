@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import functions as F
 
 from checks import stages as s
@@ -397,6 +399,14 @@ def _(spark, d):
     )
 
 
+@query("business_rules_without_anomalies", BUSINESS,
+       """FROM (SELECT * FROM explained5 WHERE "Cluster" <> 0 UNION ALL BY NAME
+ SELECT * FROM best5 WHERE "Cluster" = 0) JOIN choices USING ("Cluster", metric)""",
+       tables=CHOICES)
+def _(spark, d):
+    return strategy.business_rules(s.flagged(spark, d), s.importance(spark, d).where("Cluster <> 0"))
+
+
 @query("rank_features", "Cluster; feature; place", "FROM leadfeatures WHERE place <= 2", tables=CHOICES)
 def _(spark, d):
     from pyspark.sql.window import Window
@@ -468,8 +478,19 @@ def _(spark, d):
 
 @query("anomaly_workflow")
 def _(spark, d):
-    done = jobs.anomaly_workflow(s.rules(spark, d))
-    return done.anomalous_rules.drop("Antecedents", "Consequents")
+    return s.workflow(spark, d).anomalous_rules.drop("Antecedents", "Consequents")
+
+
+def workflow_result(name: str) -> None:
+    @query(f"anomaly_workflow_{name}")
+    def _(spark, d):
+        found = getattr(s.workflow(spark, d), name)
+        return found.drop("Antecedents", "Consequents")
+
+
+for _field in fields(jobs.Workflow):
+    if _field.name != "anomalous_rules":
+        workflow_result(_field.name)
 
 
 @query("dashboard_anomalies")

@@ -87,21 +87,26 @@ def query(
     return register
 
 
-_STAGES: dict[tuple[str, str, str], DataFrame] = {}
+_STAGES: dict[tuple[str, str, str], object] = {}
 
 
 LARGE = {"clean", "customers", "scaled", "segments", "clustered", "used", "baskets"}
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """What ``build`` returns, called once per session and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGES:
+        _STAGES[key] = build()
+    return _STAGES[key]
+
+
 def stage(build: Query) -> Query:
     """A job's output table: written once per session and input folder, then read, as the
     jobs hand their results on. Tables that grow with the lines are stored by column."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
-        if key not in _STAGES:
-            write = stored if build.__name__ in LARGE else materialise
-            _STAGES[key] = write(build(spark, sf_dir))
-        return _STAGES[key]
+        write = stored if build.__name__ in LARGE else materialise
+        return once(spark, sf_dir, build.__name__, lambda: write(build(spark, sf_dir)))
 
     run.__name__ = build.__name__
     return run

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.ctes import CENTRES
-from checks.registry import stage
+from checks.registry import once, stage
 from shelfmark.operators import anomalies as a
 from shelfmark.operators import iforest, kmeans, lof
 from shelfmark.operators import rules as r
@@ -15,6 +15,7 @@ from shelfmark.operators.baskets import (
 )
 from shelfmark.operators.rfm import cluster_name, rfm
 from shelfmark.operators.scaling import apply_scaler, fit_scaler
+from shelfmark.plans import anomalies as jobs
 from shelfmark.plans.preprocess import preprocess
 from shelfmark.sources.star import retail_raw
 
@@ -128,3 +129,8 @@ def forest_scores(spark: SparkSession, d: str) -> DataFrame:
 def many_factors(spark: SparkSession, d: str) -> DataFrame:
     base = prepared(spark, d)
     return lof.lof_scores(base, a.FEATURES, lof.k_table(base, lof.K_VALUES), max(lof.K_VALUES))
+
+
+def workflow(spark: SparkSession, d: str) -> jobs.Workflow:
+    """All results of the whole workflow, planned once per session and input folder."""
+    return once(spark, d, "workflow", lambda: jobs.anomaly_workflow(rules(spark, d)))

@@ -150,13 +150,18 @@ def business_rules(
     min_support: float | None = None, min_confidence: float | None = None,
 ) -> DataFrame:
     """The best rules of each cluster with a recommended strategy. With importances only
-    anomalous rules are considered. Rules whose key metric has no answer are left out."""
+    anomalous rules are considered; a cluster that has none, as none of its rules is flagged by
+    the forest, keeps its general ranking. Rules whose key metric has no answer are left out."""
     if min_support is not None and min_confidence is not None:
         rules = threshold_filter(rules, min_support, min_confidence)
     if importance is None:
         scored = key_metric(composite_score(rules))
     else:
-        scored = _by_importance(either_anomaly(rules), importance)
+        explained = importance.select("Cluster").distinct()
+        general = join_groups(rules, explained, ["Cluster"], "left_anti")
+        scored = _by_importance(either_anomaly(rules), importance).unionByName(
+            key_metric(composite_score(general))
+        )
     best = top_per_cluster(scored, top).withColumn(
         "metric", F.regexp_replace("key_metric", "_normalized$", "")
     )

@@ -75,6 +75,18 @@ def test_importance_decides_metric_and_anomalies_only(spark):
         ("x0", "support_normalized", "wholesale"), ("x2", "support_normalized", "wholesale")}
 
 
+def test_cluster_without_importance_keeps_its_general_ranking(spark):
+    rows = [(3, z(1, 2, 3), 1, 0), (3, z(9, 9, 9), 0, 0), (1, z(1, 0, 5), 0, 1), (1, z(7, 1, 1), 0, 0)]
+    df = rules(spark, rows)
+    importance = spark.createDataFrame(
+        [(3, "support_normalized", .9), (3, "lift_normalized", .5)],
+        "Cluster int, feature string, importance double")
+    general = [tuple(r) for r in strategy.business_rules(df).where("Cluster = 1").collect()]
+    got = [tuple(r) for r in strategy.business_rules(df, importance).collect()]
+    assert len(general) == 2 and sorted(r for r in got if r[0] == 1) == sorted(general)
+    assert [r[2] for r in got if r[0] == 3] == ["['x0'] -> ['y']"]
+
+
 def test_thresholds(spark):
     df = rules(spark, [(0, z(1), 0, 0)])
     assert strategy.business_rules(df, min_support=0.5, min_confidence=0.5).count() == 1
