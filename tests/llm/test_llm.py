@@ -89,6 +89,21 @@ def test_near_duplicates_equal_brute_force(docs, none):
     assert near_dups.link(none).count() == 0
 
 
+def test_near_duplicates_at_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]  # 100 shingles
+    near = words[:93] + [f"x{i}" for i in range(11)]  # 89 in common of 111: 0.802
+    far = [f"v{i}" for i in range(104)]
+    less = far[:92] + [f"y{i}" for i in range(12)]  # 88 in common of 112: 0.786
+    rows = [(i, " ".join(t), "en", "s0", 0, None) for i, t in enumerate((words, near, far, less))]
+    table = spark.createDataFrame(rows, DOCS)
+    assert [len(_shingles(rows[a][1]) & _shingles(rows[a + 1][1])) for a in (0, 2)] == [89, 88]
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, table, "").collect()} == {0, 2, 3}
+    assert {r["doc_id"] for r in near_dups.keep_one_of_each(table).collect()} == {0, 2, 3}
+    assert near_dups.link(table, percent=85).where("kept").count() == 4
+
+
 def test_sketch_estimates():
     a, b = np.arange(1, 1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     a, b = (near_dups.sketch(near_dups.mix(x), 512) for x in (a, b))
