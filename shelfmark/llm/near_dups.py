@@ -13,9 +13,10 @@ other candidate: they bound each of its intersections, so a class with many of t
 at all. Every other class is compared with the class of a shared band that has the smallest
 portion of such shingles, the likely original (a star instead of all pairs); the links are joined
 to components, and then every pair that shares a band across two components is compared as well,
-unless it can't be linked by that bound, or the sketches put it under the threshold by more than
-five standard errors. No group is capped. A pair at the threshold shares no band with a probability
-of 4.7e-8 at 80 percent and 5.5e-11 at 85; the estimate drops it with 1.4e-6 and 2.8e-6.
+unless it can't be linked by that bound, or so few coordinates of the sketches are equal that a
+pair at the threshold has fewer no more often than it shares no band. No group is capped. A pair at
+the threshold shares no band with a probability of 4.7e-8 at 80 percent and 5.5e-11 at 85; the
+estimate drops it with 2.7e-8 and 3.0e-11.
 
 Defined cases: null and empty texts have no set, are linked with nothing and are their own
 component; repeated rows are documents each; a null id never names a component if the component
@@ -26,6 +27,7 @@ by ``keep_one_of_each``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +42,13 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 
 #: Least estimate, as a share of equal coordinates, at which a pair across components is compared:
-#: the threshold less five standard errors of the estimate.
+#: fewer are equal at the threshold no more often than no band is (binomial tail).
 def least_estimate(percent: int) -> float:
-    j = percent / 100
-    return j - 5 * (j * (1 - j) / (BANDS * ROWS)) ** 0.5
+    j, n = percent / 100, BANDS * ROWS
+    missed, least, below = (1 - j**ROWS) ** BANDS, 0, 0.0
+    while least < n and (below := below + comb(n, least) * j**least * (1 - j) ** (n - least)) <= missed:
+        least += 1
+    return least / n
 
 
 _SPACE = np.zeros(256, bool)

@@ -111,6 +111,14 @@ def test_sketch_estimates():
     assert len(near_dups.sketch(np.array([5], np.uint64), 96)) == 96
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95, 100])
+def test_estimates_miss_no_more_than_bands(percent):
+    j, n = percent / 100, near_dups.BANDS * near_dups.ROWS
+    least = math.ceil(near_dups.least_estimate(percent) * n)
+    tail = sum(math.comb(n, i) * j**i * (1 - j) ** (n - i) for i in range(least))
+    assert tail <= (1 - j**near_dups.ROWS) ** near_dups.BANDS <= 1e-7
+
+
 def test_cover_is_perfect():
     assert Counter((a - b) % 73 for a in suffix_dups.COVER for b in suffix_dups.COVER if a != b) == {i: 1 for i in range(1, 73)}
 
