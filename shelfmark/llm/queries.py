@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import captures, fingerprints, main_text, mixing, near_dups, nearest, quality, segmentations, suffix_dups, token_counts
+from shelfmark.llm import captures, fingerprints, main_text, mixing, near_dups, nearest, quality, segmentations, suffix_dups, token_counts, vector_codes
 from shelfmark.llm.common import read_table
 from shelfmark.llm.settings import KEPT_SCORE, MIX, PIECES, SAMPLES
 from shelfmark.session import stored
@@ -85,6 +85,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentations.digests(segmentations.sample_segmentations(docs, PIECES, **SAMPLES))
 
 
+@query("op13_vector_codes", vector_codes.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
