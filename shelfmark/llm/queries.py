@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import captures, fingerprints, main_text, mixing, near_dups, nearest, quality, segmentations, suffix_dups, token_counts, vector_codes
+from shelfmark.llm import captures, collocations, fingerprints, main_text, mixing, near_dups, nearest, quality, segmentations, suffix_dups, token_counts, toxicity, vector_codes
 from shelfmark.llm.common import read_table
-from shelfmark.llm.settings import KEPT_SCORE, MIX, PIECES, SAMPLES
+from shelfmark.llm.settings import KEPT_SCORE, MIX, PIECES, SAMPLES, TOXIC_SCORE
 from shelfmark.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentations.digests(segmentations.sample_segmentations(docs, PIECES, **SAMPLES))
 
 
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return found.withColumn("predicted", F.when(F.col("score") >= TOXIC_SCORE, 1).otherwise(0))
+
+
+@query("op12_collocations", collocations.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"), least=30, most=2000)
+
+
 @query("op13_vector_codes", vector_codes.oracle())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))

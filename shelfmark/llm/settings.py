@@ -11,6 +11,9 @@ PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 #: A document is rejected below this score.
 KEPT_SCORE = 0.3
 
+#: A document counts as toxic from this score.
+TOXIC_SCORE = 0.5
+
 #: Sources weigh the square root of their size; the mixture is as large as the input.
 MIX = {"exponent": 0.5, "seed": 7}
 
