@@ -6,8 +6,10 @@
    n-gram of which both shorter parts (without the last, without the first word) are proposed. For
    single words the border is every other word.
 3. A border phrase that is frequent after all is a failure: its longer neighbours may be missing.
-   Failures are proposed too, and a further pass counts only the border they add, until no border
-   phrase is frequent. The result is then complete whatever the sample held.
+   Failures are proposed too, and an expansion pass counts only the border they add, taking every
+   phrase it adds as proposed as well, whence the border is closed after it: a frequent phrase has
+   frequent parts, each of them proposed, a failure, or added. The result is complete whatever the
+   sample held.
 
 Proposals are sent to the tasks as a filter of fixed size (``FILTER_BITS`` bits for each length). A
 false positive only makes a pass count a phrase more; at sizes that fill the filter all n-grams are
@@ -49,22 +51,34 @@ _TABLE = bytes.maketrans(_BREAKS + b"\t", b"\n" * len(_BREAKS) + b" ")
 COUNTED = "lang string, size int, phrase string, proposed boolean, f bigint"
 
 
-class Words:
-    """Numbers of words, and the sequences of numbers of each language, 0 between pieces."""
+class Numbers(dict):
+    """Numbers of words in the order they appear; nothing has −1, the end of a piece 0."""
 
     def __init__(self) -> None:
-        self.number: dict[bytes, int] = {b"": -1, b"\n": 0}
+        super().__init__({b"": -1, b"\n": 0})
         self.texts: list[bytes] = [b""]
+
+    def __missing__(self, word: bytes) -> int:
+        self.texts.append(word)
+        self[word] = number = len(self.texts) - 1
+        return number
+
+
+class Words:
+    """The sequences of word numbers of each language, 0 between pieces."""
+
+    def __init__(self) -> None:
+        self.numbers = Numbers()
         self.sequences: dict[str, list[np.ndarray]] = {}
         self.held = 0
 
+    @property
+    def texts(self) -> list[bytes]:
+        return self.numbers.texts
+
     def add(self, lang: str, text: bytes) -> None:
         tokens = text.lower().translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-        number, texts = self.number, self.texts
-        for token in set(tokens) - number.keys():
-            number[token] = len(texts)
-            texts.append(token)
-        found = np.fromiter(map(number.__getitem__, tokens), np.int32, len(tokens))
+        found = np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens))
         found = np.append(found[found >= 0], np.int32(0))
         self.sequences.setdefault(lang, []).append(found)
         self.held += len(found)
@@ -132,7 +146,11 @@ class Filters:
 
 def _counted(held: Words, wanted: tuple[int, ...], filters: Filters, before: Filters) -> Iterator[pa.RecordBatch]:
     """Counts of the n-grams held: of single words, all; of longer ones, those whose two parts pass
-    ``filters`` and not both ``before``. With single words comes their total, as size 0."""
+    ``filters`` and not both ``before``. With single words comes their total, as size 0.
+
+    Where a pass expands what was counted ``before``, the n-grams it adds may themselves be parts
+    of longer ones: these are few, and no pass after it can find another."""
+    expands = bool(before.bits)
     words, hashes = pa.array(held.texts, pa.binary()), _word_hashes(held.texts)
     for lang, sequences in held.sequences.items():
         ids = np.concatenate(sequences).astype(np.int64)
@@ -158,7 +176,7 @@ def _counted(held: Words, wanted: tuple[int, ...], filters: Filters, before: Fil
             columns = [ids[starts[first] + i] for i in range(size)]
             marks = _phrase_hashes(lang, [hashes[c] for c in columns]) if len(first) else np.zeros(0, U64)
             passes = filters.has(size, marks)
-            new = passes[part]
+            new = passes[part] | ~known if expands and size > 1 else passes[part]
             old = before.has(size, marks)[part]
             if size in wanted and len(first):
                 chosen = np.nonzero(~known[first])[0]
@@ -210,19 +228,17 @@ def frequent_phrases(
     for size in range(1, longest):
         proposed = count_phrases(sample, (size,), filters).where((F.col("f") >= lowered) & (F.col("size") == size))
         filters = filters.with_phrases(proposed)
-    found, before, wanted = [], Filters(), tuple(range(1, longest + 1))
-    while True:
-        counted = stored(count_phrases(rows, wanted, filters, before).where((F.col("f") >= least) | (F.col("size") == 0)))
-        found.append(counted)
-        failures = counted.where(~F.col("proposed") & F.col("size").between(1, longest - 1))
-        if failures.isEmpty():
-            break
-        before, filters = filters, filters.with_phrases(failures)
-        wanted = tuple(range(2, longest + 1))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.drop("proposed")
+    counted = stored(_frequent(count_phrases(rows, tuple(range(1, longest + 1)), filters), least))
+    failures = counted.where(~F.col("proposed") & F.col("size").between(1, longest - 1))
+    if not failures.isEmpty():
+        wider = filters.with_phrases(failures)
+        added = count_phrases(rows, tuple(range(2, longest + 1)), wider, filters)
+        counted = counted.unionByName(stored(_frequent(added, least)))
+    return counted.drop("proposed")
+
+
+def _frequent(counted: DataFrame, least: int) -> DataFrame:
+    return counted.where((F.col("f") >= least) | (F.col("size") == 0))
 
 
 def score(frequent: DataFrame, cover: int = 80) -> DataFrame:
