@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from functools import reduce
 
-from pyspark.ml.fpm import FPGrowth
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfmark.functions.rules import min_occurrence
 from shelfmark.operators.groups import join_groups, join_uneven
@@ -16,6 +18,8 @@ from shelfmark.session import stored
 SAMPLE_ABOVE = 3000
 SAMPLE_SIZE = 1000
 MAX_ITEMS = 50
+# item numbers of a conditional base that one task grows
+LOCAL_CELLS = 1_000_000
 
 
 def lines_with_cluster(lines: DataFrame, segments: DataFrame) -> DataFrame:
@@ -153,30 +157,113 @@ def distinct_clusters(df: DataFrame) -> DataFrame:
     return df.select("Cluster").distinct().orderBy("Cluster")
 
 
-def frequent_itemsets(baskets: DataFrame, min_support: float, by: str = "Cluster") -> DataFrame:
+def frequent_itemsets(
+    baskets: DataFrame, min_support: float, by: str = "Cluster", local: int = LOCAL_CELLS
+) -> DataFrame:
     """All itemsets with at least ``min_support`` of their group's baskets.
 
-    One FP-growth per group: support is relative to the group, and the groups (customer
-    segments) are few. ``(by, items, count, baskets)``, items sorted.
+    One pattern-growth run for all groups, each with its own least count: items are numbered by
+    falling frequency, a basket becomes its ordered numbers, and equal baskets count together. The
+    conditional base of an item holds what stands before it; bases are keyed by (group, suffix) and
+    so spread over the cluster. A base of at most ``local`` numbers is grown within a task, a larger
+    one is projected by one more item and looked at again, so that no task holds more.
+    ``(by, items, count, baskets)``, items sorted.
     """
-    baskets = stored(baskets.select(by, "items"))
-    sizes = {r[by]: r["n"] for r in baskets.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
-    schema_type = baskets.schema[by].dataType
-    found = []
-    for group in sorted(sizes):
-        mine = baskets.where(F.col(by) == F.lit(group)).select("items")
-        model = FPGrowth(itemsCol="items", minSupport=min_support).fit(mine)
+    equal = baskets.groupBy(by, "items").agg(F.count(F.lit(1)).alias("c"))
+    equal = stored(equal.withColumn("basket", F.monotonically_increasing_id()))
+    sizes = equal.groupBy(by).agg(F.sum("c").alias("baskets")).withColumn(
+        "least", F.ceil(F.lit(min_support) * F.col("baskets"))
+    )
+    cells = equal.select(by, "basket", "c", F.explode("items").alias("item"))
+    counts = cells.groupBy(by, "item").agg(F.sum("c").alias("n"))
+    # few: a group's frequent items are at most its mean basket size over min_support
+    order = Window.partitionBy(by).orderBy(F.desc("n"), "item")
+    items = stored(
+        join_groups(counts, sizes, [by]).where(F.col("n") >= F.col("least"))
+        .withColumn("number", F.row_number().over(order))
+    )
+    numbered = cells.join(items.select(by, "item", "number", "least"), [by, "item"])
+    ordered = numbered.groupBy(by, "basket", "c", "least").agg(
+        F.array_sort(F.collect_list("number")).alias("before")
+    )
+    bases = ordered.select(by, F.array().cast("array<int>").alias("suffix"), "before", "c", "least")
+    found = [items.select(by, F.array("number").alias("numbers"), F.col("n").alias("count"))]
+    frequent = items.select(by, F.col("number").alias("next"), "n")
+    while True:
+        bases = stored(_projected(bases, frequent, by))
+        cells_of = bases.groupBy(by, "suffix").agg(F.sum(F.size("before")).alias("cells"))
+        sized = join_groups(bases, cells_of, [by, "suffix"])
+        found.append(_grown(sized.where(F.col("cells") <= local), by))
+        bases = sized.where(F.col("cells") > local).drop("cells")
+        if bases.isEmpty():
+            break
+        frequent = stored(_conditional_counts(bases, by))
         found.append(
-            model.freqItemsets.select(
-                F.lit(group).cast(schema_type).alias(by),
-                F.array_sort("items").alias("items"),
-                F.col("freq").alias("count"),
-                F.lit(sizes[group]).cast("bigint").alias("baskets"),
-            )
+            frequent.select(by, F.concat("suffix", F.array("next")).alias("numbers"), F.col("n").alias("count"))
         )
-    if not found:
-        return baskets.select(
-            by, "items", F.lit(0).cast("bigint").alias("count"),
-            F.lit(0).cast("bigint").alias("baskets"),
-        ).limit(0)
-    return reduce(DataFrame.unionByName, found)
+    sets = stored(reduce(DataFrame.unionByName, found))
+    named = sets.select(by, "numbers", "count", F.explode("numbers").alias("number")).join(
+        items.select(by, "number", "item"), [by, "number"]
+    )
+    named = named.groupBy(by, "numbers", "count").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return join_groups(named, sizes.select(by, "baskets"), [by]).select(by, "items", "count", "baskets")
+
+
+def _conditional_counts(bases: DataFrame, by: str) -> DataFrame:
+    """Frequent items of each base: ``(by, suffix, next, n)``."""
+    seen = bases.select(by, "suffix", "c", "least", F.explode("before").alias("next"))
+    counted = seen.groupBy(by, "suffix", "least", "next").agg(F.sum("c").alias("n"))
+    return counted.where(F.col("n") >= F.col("least")).drop("least")
+
+
+def _projected(bases: DataFrame, frequent: DataFrame, by: str) -> DataFrame:
+    """The bases with a suffix longer by one frequent item; equal rows count together."""
+    places = bases.select("*", F.posexplode("before").alias("place", "next"))
+    on = [c for c in (by, "suffix", "next") if c in frequent.columns]
+    kept = places.where("place > 0").join(frequent.select(*on), on)
+    rows = kept.select(
+        by, F.concat("suffix", F.array("next")).alias("suffix"),
+        F.slice("before", 1, F.col("place")).alias("before"), "c", "least",
+    )
+    return rows.groupBy(by, "suffix", "before", "least").agg(F.sum("c").alias("c"))
+
+
+def _grown(bases: DataFrame, by: str) -> DataFrame:
+    """The frequent sets of each base, its suffix included: ``(by, numbers, count)``."""
+    kind = bases.schema[by].dataType.simpleString()
+
+    def grow(table: pa.Table) -> pa.Table:
+        group, suffix = table.column(by)[0].as_py(), table.column("suffix")[0].as_py()
+        rows = list(zip(table.column("before").to_pylist(), table.column("c").to_pylist()))
+        sets = list(_growth(rows, table.column("least")[0].as_py()))
+        return pa.table({
+            by: pa.array([group] * len(sets), table.schema.field(by).type),
+            "numbers": pa.array([suffix + list(s) for s, _ in sets], pa.list_(pa.int32())),
+            "count": pa.array([n for _, n in sets], pa.int64()),
+        })
+
+    columns = bases.select(by, "suffix", "before", "c", "least")
+    return columns.groupBy(by, "suffix").applyInArrow(grow, f"`{by}` {kind}, numbers array<int>, count bigint")
+
+
+def _growth(rows: list, least: int, ahead: tuple = ()):
+    """Sets of at least ``least`` in weighted ordered rows, each as (numbers, count)."""
+    counts: Counter = Counter()
+    for numbers, c in rows:
+        for number in numbers:
+            counts[number] += c
+    frequent = {x for x, n in counts.items() if n >= least}
+    kept = [([x for x in numbers if x in frequent], c) for numbers, c in rows]
+    where = defaultdict(list)
+    for row, (numbers, _) in enumerate(kept):
+        for place, number in enumerate(numbers):
+            where[number].append((row, place))
+    for number in sorted(frequent):
+        mine = (*ahead, number)
+        yield mine, counts[number]
+        base: Counter = Counter()
+        for row, place in where[number]:
+            if place:
+                base[tuple(kept[row][0][:place])] += kept[row][1]
+        if base:
+            yield from _growth(list(base.items()), least, mine)

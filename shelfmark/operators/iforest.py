@@ -3,16 +3,18 @@
 A tree is grown from at most 256 rows, so a forest's growth is bounded whatever the size
 of the table: the rows of each tree are those with the smallest hash of (seed, tree, row),
 which no partitioning can change, and only rows below a hash threshold are replicated to
-trees at all. Scoring streams the rows past the broadcast forest.
+trees at all. A forest is a table of nodes; scoring brings slices of a group's rows and the
+group's trees together, so that neither is ever held whole by the driver or a task.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from shelfmark.session import materialise
 TREES = 100
 SAMPLE = 256
 HASH_RANGE = 2**53
-MAX_NODES = 5_000_000
+# rows of a group that are scored together with one copy of its trees
+SLICE_ROWS = 16_384
 EULER = 0.5772156649015329
 
 NODE_COLUMNS = (
@@ -124,19 +127,63 @@ def fit_forest(
     )
 
 
-def forest_arrays(forest: DataFrame, by: str = "Cluster") -> dict:
-    """The forest on the driver, per group a list of node arrays by tree. A tree has at
-    most 511 nodes and the number of nodes is checked, so this stays within some 300 MB."""
-    if forest.count() > MAX_NODES:
-        raise ValueError(f"more than {MAX_NODES} nodes: score the groups in several calls")
-    table = forest.toPandas().sort_values([by, "tree", "node"])
-    return {
-        group: [
-            {c: t[c].to_numpy() for c in ("feature", "threshold", "left", "right", "samples", "path")}
-            for _, t in part.groupby("tree")
-        ]
-        for group, part in table.groupby(by)
+def packed(forest: DataFrame, by: str = "Cluster") -> DataFrame:
+    """One row per tree: ``(by, tree, nodes)``, nodes in order. A tree has at most 511."""
+    columns = ["node", "feature", "threshold", "left", "right", "samples", "path"]
+    return forest.groupBy(by, "tree").agg(
+        F.array_sort(F.collect_list(F.struct(*columns))).alias("nodes")
+    )
+
+
+def trees_of(table: pa.Table) -> list[dict]:
+    """Node arrays of each tree of a ``packed`` table, in order of the trees."""
+    lists = table.sort_by("tree").column("nodes").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0) if lists.num_chunks else pa.array([], lists.type)
+    ends = np.cumsum([len(x) for x in lists])
+    nodes = lists.flatten()
+    fields = {
+        c: nodes.field(c).to_numpy(zero_copy_only=False)
+        for c in ("feature", "threshold", "left", "right", "samples", "path")
     }
+    return [
+        {c: v[end - len(x):end] for c, v in fields.items()} for x, end in zip(lists, ends)
+    ]
+
+
+def with_trees(
+    rows: DataFrame, forest: DataFrame, features: Sequence[str], by: str, slice_rows: int,
+    run: Callable[[pa.Table, np.ndarray, list[dict]], pa.Table], schema,
+) -> DataFrame:
+    """``run(rows, x, trees)`` for slices of about ``slice_rows`` rows of a group and the trees
+    of that group, brought together by (group, slice).
+
+    The forest stays a table: each slice gets a copy of its group's trees, so neither the
+    number of groups nor that of rows is limited, and no task holds more than one slice.
+    """
+    slices = rows.groupBy(by).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(slice_rows)).cast("int").alias("__slices")
+    )
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    # the slice comes from the row and its partition: the same when a lost task runs again
+    dealt = F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]) + F.spark_partition_id(), F.col("__slices"))
+    sliced = (
+        join_groups(rows, slices, [by], "left").withColumn("__x", vector)
+        .withColumn("__slice", F.coalesce(dealt.cast("int"), F.lit(0))).drop("__slices")
+    )
+    copies = F.sequence(F.lit(0), F.col("__slices") - 1)
+    trees = join_groups(packed(forest, by), slices, [by]).withColumn("__slice", F.explode(copies))
+    width = len(features)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        x = left.column("__x").combine_chunks()
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+        return run(left.drop_columns(["__x", "__slice"]), x, trees_of(right) if right.num_rows else [])
+
+    # new names, since both sides may come from the same table
+    trees = trees.select(*[F.col(c).alias(c) for c in (by, "__slice", "tree", "nodes")])
+    left = sliced.groupBy(by, "__slice")
+    return left.cogroup(trees.groupBy(by, "__slice")).applyInArrow(work, schema)
 
 
 def mean_depth(trees: list[dict], x: np.ndarray) -> np.ndarray:
@@ -161,26 +208,18 @@ def score_forest(
 ) -> DataFrame:
     """Add −2^(−E[h]/c(ψ)): near −1 for rows that are easily set apart. Rows of a group
     without a forest get NULL."""
-    model = rows.sparkSession.sparkContext.broadcast(forest_arrays(forest, by))
-    extra = [F.array(*[F.col(f).cast("double") for f in features]).alias("__x")]
-    schema = rows.withColumn(output, F.lit(0.0)).schema
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = np.full(len(batch), np.nan)
-            groups = batch[by].to_numpy()
-            for group in pd.unique(batch[by]):
-                trees = model.value.get(group)
-                if not trees:
-                    continue
-                mine = np.nonzero(groups == group)[0]
-                x = np.array(batch["__x"].iloc[mine].tolist(), dtype=float)
-                unit = float(mean_path(trees[0]["samples"][0]))
-                values[mine] = -np.power(2.0, -mean_depth(trees, x) / unit)
-            yield batch.drop(columns="__x").assign(**{output: pd.Series(values, index=batch.index)})
-
-    scored = rows.select("*", *extra).mapInPandas(score, schema)
-    return scored.withColumn(output, F.when(~F.isnan(output), F.col(output)))
+    schema = rows.withColumn(output, F.lit(0.0).cast("double")).schema
+    schema[output].nullable = True
+
+    def score(mine: pa.Table, x: np.ndarray, trees: list[dict]) -> pa.Table:
+        if trees:
+            unit = float(mean_path(trees[0]["samples"][0]))
+            values = pa.array(-np.power(2.0, -mean_depth(trees, x) / unit), pa.float64())
+        else:
+            values = pa.nulls(len(x), pa.float64())
+        return mine.append_column(output, values)
+
+    return with_trees(rows, forest, features, by, SLICE_ROWS, score, schema)
 
 
 def score_thresholds(

@@ -25,8 +25,9 @@ def lof_scores(
 ) -> DataFrame:
     """Factor of every row for every k: ``(by, row_id, k, factor)``.
 
-    ``ks`` holds ``(by, k)``; neighbours are searched once, at the largest k. A k beyond
+    ``ks`` holds ``(by, k)``. A k beyond
     the group's size is taken as the size less one, and computed once for all such k.
+    Neighbours are searched up to each group's own largest k, at most ``max_k``.
     """
     points, members = distinct_points(rows, by, row_id, features)
     sizes = points.groupBy(by).agg(F.sum("copies").alias("__rows"))
@@ -34,7 +35,8 @@ def lof_scores(
         by, "k", F.least(F.col("k").cast("bigint"), F.col("__rows") - 1).alias("kk")
     )
     wanted = clamped.select(by, "kk").distinct()
-    neighbours = materialise(nearest_neighbours(points, by, max_k))
+    own = wanted.select(by, F.least(F.greatest("kk", F.lit(1)), F.lit(max_k)).alias("k"))
+    neighbours = materialise(nearest_neighbours(points, by, own)).drop("k")
     counted = (
         join_groups(neighbours, wanted, [by])
         .withColumn("times", F.least(F.col("copies"), F.col("kk") - F.col("before")))

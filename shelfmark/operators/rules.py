@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,7 @@ from shelfmark.functions import rules as r
 from shelfmark.functions.numeric import is_infinite, round_half_even
 from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import top_n
+from shelfmark.session import stored
 
 MIN_BASKETS = 10
 MAX_RULES = 5000
@@ -27,33 +30,35 @@ POINT = ["min_support", "min_confidence"]
 def association_rules(itemsets: DataFrame, min_confidence: float, by: str = "Cluster") -> DataFrame:
     """Every split of every itemset into two non-empty sides with enough confidence.
 
-    A split is a bit mask over the sorted items. Rules below the confidence are dropped
-    between the two support look-ups.
+    Consequents grow level by level. The confidence of a set's rule only falls as its consequent
+    grows, so a consequent is tried only where two of one item less hold that share all but their
+    last item; a set with few confident single consequents costs no more than these. Each level is
+    written once and is one pass over the rules of the level before. ``itemsets`` must hold the
+    subsets of its sets, as mining returns them.
     """
     sets = itemsets.withColumn("support", F.col("count") / F.col("baskets"))
-    splits = (
-        sets.where(F.size("items") > 1)
-        .withColumn(
-            "mask", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)"))
-        )
-        .select(
-            by, "count", "baskets", "support",
-            F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 1)").alias("antecedents"),
-            F.expr("filter(items, (x, i) -> (shiftright(mask, i) & 1) = 0)").alias("consequents"),
-        )
-    )
+    columns = [by, "items", "count", "baskets", "support"]
 
     def side(items: str) -> DataFrame:
         return sets.select(
             by, F.col("items").alias(f"{items}s"), F.col("support").alias(f"{items} support")
         )
 
-    confident = (
-        splits.join(side("antecedent"), [by, "antecedents"])
-        .withColumn("confidence", F.col("support") / F.col("antecedent support"))
-        .where(F.col("confidence") >= min_confidence)
-    )
-    joined = confident.join(side("consequent"), [by, "consequents"])
+    def confident(splits: DataFrame) -> DataFrame:
+        rest = F.array_except("items", "consequents")
+        joined = splits.withColumn("antecedents", rest).join(side("antecedent"), [by, "antecedents"])
+        joined = joined.withColumn("confidence", F.col("support") / F.col("antecedent support"))
+        return stored(joined.where(F.col("confidence") >= min_confidence))
+
+    single = sets.where(F.size("items") > 1).withColumn("item", F.explode("items"))
+    levels = [confident(single.withColumn("consequents", F.array("item")).drop("item"))]
+    while True:
+        size = len(levels)
+        larger = levels[-1].where(F.size("items") > size + 1)
+        if larger.isEmpty():
+            break
+        levels.append(confident(_longer_consequents(larger, columns, size)))
+    joined = reduce(DataFrame.unionByName, levels).join(side("consequent"), [by, "consequents"])
     s, a, c = F.col("support"), F.col("antecedent support"), F.col("consequent support")
     return joined.select(
         by, "antecedents", "consequents", a, c, s, "confidence",
@@ -64,6 +69,19 @@ def association_rules(itemsets: DataFrame, min_confidence: float, by: str = "Clu
     )
 
 
+def _longer_consequents(rules: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """Consequents of ``size + 1`` items out of two of ``size`` items with equal beginnings."""
+    last = F.element_at("consequents", -1)
+    alike = rules.groupBy(*columns, F.slice("consequents", 1, size - 1).alias("beginning")).agg(
+        F.array_sort(F.collect_list(last)).alias("lasts")
+    )
+    firsts = alike.where(F.size("lasts") > 1).select("*", F.posexplode("lasts").alias("place", "one"))
+    pairs = firsts.withColumn(
+        "other", F.explode(F.slice("lasts", F.col("place") + 2, F.size("lasts")))
+    )
+    return pairs.select(*columns, F.concat("beginning", F.array("one", "other")).alias("consequents"))
+
+
 def extra_metrics(rules: DataFrame) -> DataFrame:
     s, a, c = F.col("support"), F.col("antecedent support"), F.col("consequent support")
     return rules.withColumns(

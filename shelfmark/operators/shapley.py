@@ -8,18 +8,20 @@ size; no coalition is listed and nothing is sampled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.operators.iforest import forest_arrays
+from shelfmark.operators.iforest import with_trees
 from shelfmark.operators.ordering import top_n
 
 ROWS_AT_ONCE = 16
+# much work per row: few rows share one copy of the trees
+ROWS_EXPLAINED = 128
 
 
 def leaves(tree: dict, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,37 +76,24 @@ def shapley_rows(
     rows: DataFrame, forest: DataFrame, features: Sequence[str], by: str = "Cluster",
     row_id: str = "rule_id",
 ) -> DataFrame:
-    """``(by, id, feature, value)`` for the given rows, spread over the cluster's tasks."""
-    model = rows.sparkSession.sparkContext.broadcast(forest_arrays(forest, by))
+    """``(by, id, feature, value)`` for the given rows; groups without a forest give none."""
     names = list(features)
     key_type = rows.schema[by].dataType.simpleString()
     id_type = rows.schema[row_id].dataType.simpleString()
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for group, part in batch.groupby(by):
-                if group not in model.value:
-                    continue
-                values = shapley_values(
-                    model.value[group], np.array(part["__x"].tolist(), dtype=float)
-                )
-                yield pd.DataFrame(
-                    {
-                        by: np.repeat(part[by].to_numpy(), len(names)),
-                        row_id: np.repeat(part[row_id].to_numpy(), len(names)),
-                        "feature": np.tile(names, len(part)),
-                        "value": values.ravel(),
-                    }
-                )
-
-    wanted = rows.select(
-        by, row_id, F.array(*[F.col(f).cast("double") for f in features]).alias("__x")
-    )
-    # few rows, much work per row: spread them before the Python stage
-    wanted = wanted.repartition(wanted.sparkSession.sparkContext.defaultParallelism, row_id)
-    return wanted.mapInPandas(
-        explain, f"`{by}` {key_type}, `{row_id}` {id_type}, feature string, value double"
-    )
+    def explain(mine: pa.Table, x: np.ndarray, trees: list[dict]) -> pa.Table:
+        if not trees:
+            mine, x = mine.slice(0, 0), x[:0]
+        values = shapley_values(trees, x).ravel() if len(x) else np.zeros(0)
+        each = pa.array(np.repeat(np.arange(len(x)), len(names)))
+        return pa.table({
+            by: mine.column(by).take(each), row_id: mine.column(row_id).take(each),
+            "feature": pa.array(names * len(x), pa.string()), "value": pa.array(values, pa.float64()),
+        })
+
+    schema = f"`{by}` {key_type}, `{row_id}` {id_type}, feature string, value double"
+    needed = rows.select(by, row_id, *[f for f in names if f not in (by, row_id)])
+    return with_trees(needed, forest, features, by, ROWS_EXPLAINED, explain, schema)
 
 
 def feature_importance(

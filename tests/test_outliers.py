@@ -149,7 +149,7 @@ def test_forest_scores_and_flag_share(spark, forest_data):
     scored = iforest.score_forest(df, forest, COLUMNS)
     scores = {r["id"]: r["iforest_score"] for r in scored.collect()}
     assert min(scores, key=scores.get) == 400, "the far point is set apart first"
-    trees = iforest.forest_arrays(forest)[0]
+    trees = iforest.trees_of(iforest.packed(forest).toArrow())
 
     def depth(tree, row):
         node = 0
@@ -173,7 +173,7 @@ def test_mean_path_length():
 
 def test_shapley_values_equal_all_coalitions(spark, forest_data):
     data, df, forest = forest_data
-    trees, rows = iforest.forest_arrays(forest)[0], data[[3, 400]]
+    trees, rows = iforest.trees_of(iforest.packed(forest).toArrow()), data[[3, 400]]
 
     def expected(tree, node, row, known):
         f = tree["feature"][node]

@@ -53,6 +53,52 @@ def test_itemsets_match_enumeration_and_rules_keep_their_identities(spark):
         assert x["leverage"] == pytest.approx(s - sa * sc)
 
 
+def test_a_set_of_25_items_is_not_split_exhaustively(spark):
+    """Only the single consequents are tried: none is confident, so no longer one is."""
+    whole = [f"i{n:02d}" for n in range(25)]
+    rows = [(0, whole, 10, 100)] + [(0, whole[:n] + whole[n + 1:], 90, 100) for n in range(25)]
+    rows += [(0, [x], 90, 100) for x in whole]
+    sets = spark.createDataFrame(rows, "Cluster int, items array<string>, count long, baskets long")
+    assert r.association_rules(sets, 0.3).count() == 0
+    assert r.association_rules(sets, 0.1).count() == 25
+
+
+def test_levels_find_what_all_splits_find(spark):
+    baskets = [set("abcdefg"[: 3 + i % 5]) | {"xyz"[i % 3]} for i in range(90)]
+    sets = itemsets_of(spark, baskets, 0.05).collect()
+    support = {tuple(x["items"]): x["count"] for x in sets}
+    table = spark.createDataFrame(sets)
+    for least in (0.0, 0.55, 0.9):
+        want = {
+            (tuple(x for x in s if x not in c), c)
+            for s in support for n in range(1, len(s)) for c in itertools.combinations(s, n)
+            if support[s] / 90 / (support[tuple(x for x in s if x not in c)] / 90) >= least}
+        got = [(tuple(x["antecedents"]), tuple(x["consequents"])) for x in r.association_rules(table, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("local", [1_000_000, 40, 0])
+def test_groups_are_mined_together_with_their_own_least_count(spark, local):
+    """The same sets whether a base is grown in a task or projected item by item."""
+    groups = {
+        1: [set("abcdef"[: 2 + i % 5]) | {"xyz"[i % 3]} for i in range(60)],
+        2: [set("bcd") for _ in range(500)], None: [set("ab"), set("a"), set("c")], 3: [set()]}
+    rows = [(g, sorted(x)) for g, baskets in groups.items() for x in baskets]
+    df = spark.createDataFrame(rows, "Cluster int, items array<string>")
+    got = {(x["Cluster"], tuple(x["items"])): (x["count"], x["baskets"]) for x in b.frequent_itemsets(df, 0.3, local=local).collect()}
+    want = {}
+    for g, baskets in groups.items():
+        seen = {}
+        for basket in baskets:
+            for n in range(1, len(basket) + 1):
+                for c in itertools.combinations(sorted(basket), n):
+                    seen[c] = seen.get(c, 0) + 1
+        least = -(-len(baskets) * 3 // 10)
+        want |= {(g, c): (n, len(baskets)) for c, n in seen.items() if n >= least}
+    assert {k: v for k, v in got.items() if k[0] is not None} == {k: v for k, v in want.items() if k[0] is not None}
+    assert b.frequent_itemsets(df.limit(0), 0.3).count() == 0
+
+
 def test_conviction_cap(spark):
     df = spark.createDataFrame(
         [(0, 2.5), (0, INF), (0, 2.0), (1, INF), (1, INF)], "Cluster int, conviction double")
@@ -85,9 +131,10 @@ def test_baskets_keep_first_seen_items_of_a_giant_invoice(spark):
         F.col("id").alias("place"))
     more = hot.where("place < 200").withColumn("InvoiceNo", F.lit("2"))
     lines = hot.unionByName(more).withColumn("Cluster", F.lit(0)).repartition(6)
-    got = {x["InvoiceNo"]: x["items"] for x in
-           b.prepare_baskets(lines, "item", order_by=["place"]).collect()}
-    assert got["1"] == got["2"] == sorted(str(i) for i in range(50))
+    for most in (50, None):
+        got = {x["InvoiceNo"]: x["items"] for x in
+               b.prepare_baskets(lines, "item", order_by=["place"], max_items=most).collect()}
+        assert got["1"] == got["2"] == sorted(str(i) for i in range(most or 200))
 
 
 def test_items_below_the_minimum_and_empty_baskets_go(spark):
