@@ -2,18 +2,18 @@
 
 1. A sample of the documents proposes phrases: n-grams that reach a lowered count in it, found level
    by level.
-2. One pass over all documents counts, exactly, the proposed phrases and their negative border: every
-   n-gram of which both shorter parts (without the last, without the first word) are proposed. For
-   single words the border is every other word.
+2. A pass over all documents counts the proposed phrases and their negative border: every n-gram of
+   which both shorter parts (without the last, without the first word) are proposed. For single
+   words the border is every other word. Counts are summed by 64-bit key, so a colliding key can
+   only look too frequent: what stays below the least count is settled.
 3. A border phrase that is frequent after all is a failure: its longer neighbours may be missing.
-   Failures are proposed too, and an expansion pass counts only the border they add, taking every
-   phrase it adds as proposed as well, whence the border is closed after it: a frequent phrase has
-   frequent parts, each of them proposed, a failure, or added. The result is complete whatever the
-   sample held.
+   The expansion pass adds them, taking every phrase it adds as proposed as well, whence the border
+   is closed after it: a frequent phrase has frequent parts, each of them kept or added. The same
+   pass counts what step 2 kept by its text, exactly. The result is complete whatever the sample held.
 
-Proposals are sent to the tasks as a filter of fixed size (``FILTER_BITS`` bits for each length). A
-false positive only makes a pass count a phrase more; at sizes that fill the filter all n-grams are
-counted, still exactly. Counts are keyed by the phrase's text, summed within tasks before the shuffle.
+Proposed and kept phrases go to the tasks as filters of fixed size (``FILTER_BITS`` bits for each
+length). A false positive only makes a pass count a phrase more; at sizes that fill the filters all
+n-grams are counted, still exactly. Tasks sum up before the shuffle.
 
 Defined cases: null and empty texts hold no word; a null language is ``und``; repeated rows count
 each; an empty table gives no rows. Ties are broken by count, then phrase.
@@ -21,7 +21,7 @@ each; an empty table gives no rows. Ties are broken by count, then phrase.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import floor, sqrt
 
 import numpy as np
@@ -36,19 +36,19 @@ from shelfmark.llm.common import U64, flat_texts, mix
 from shelfmark.operators.ordering import top_n
 from shelfmark.session import stored
 
+#: Words of a phrase at most (the keys have room for four).
 LONGEST = 4
 FILTER_BITS = 1 << 25
 #: One of so many documents is sampled.
 SAMPLED = 8
 #: Words that a task holds before it counts and hands on what it has.
-WORDS_AT_ONCE = 3 << 20
+WORDS_AT_ONCE = 2 << 20
 #: Distinct words that a task tells apart before it does so.
-WORDS_APART = 1 << 20
+WORDS_APART = 1 << 19
 
 # Bytes that end a piece become line feeds, tabs become spaces; no other byte of UTF-8 text is one of them.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_BREAKS + b"\t", b"\n" * len(_BREAKS) + b" ")
-COUNTED = "lang string, size int, phrase string, proposed boolean, f bigint"
 
 
 class Numbers(dict):
@@ -87,116 +87,90 @@ class Words:
         return self.held >= WORDS_AT_ONCE or len(self.texts) >= WORDS_APART
 
 
-def _word_hashes(texts: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in texts), U64, len(texts))
-
-
-def _phrase_hashes(lang: str, words: list[np.ndarray]) -> np.ndarray:
-    """Hashes of phrases, given the hashes of their first, second, … words."""
+def _keys(lang: str, words: list[np.ndarray]) -> np.ndarray:
+    """Keys of phrases, given the hashes of their first, second, … words; the last two bits hold the
+    number of words less one."""
     out = np.full(len(words[0]), xxhash.xxh3_64_intdigest(lang.encode()), U64)
     for w in words:
         out = mix(out * U64(0x9E3779B97F4A7C15) + w)
-    return out
-
-
-def _passes(held: np.ndarray | None, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bit of each hash is set in a filter; without a filter, none is."""
-    if held is None:
-        return np.zeros(len(hashes), bool)
-    at = hashes % U64(FILTER_BITS)
-    return (held[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+    return (out & ~U64(3)) | U64(len(words) - 1)
 
 
 class Filters:
-    """Per length a filter of the proposed phrases."""
+    """Per length a filter of phrases: the bits that their keys set."""
 
     def __init__(self, bits: dict[int, np.ndarray] | None = None):
         self.bits = bits or {}
 
-    def has(self, size: int, hashes: np.ndarray) -> np.ndarray:
-        return _passes(self.bits.get(size), hashes)
-
-    def with_phrases(self, phrases: DataFrame) -> Filters:
-        """These filters and the phrases of a table ``lang, size, phrase``. What reaches the driver is
-        one row for each 64 bits that hold any, at most ``FILTER_BITS / 64`` for each length."""
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = np.zeros(batch.num_rows, U64)
-                langs, sizes, texts = (np.array(c.to_pylist(), dtype=object) for c in batch.columns)
-                for lang in set(langs):
-                    for size in set(sizes):
-                        rows = np.nonzero((langs == lang) & (sizes == size))[0]
-                        if len(rows):
-                            split = [t.encode().split(b" ") for t in texts[rows]]
-                            at[rows] = _phrase_hashes(lang, [_word_hashes([s[i] for s in split]) for i in range(size)]) % U64(FILTER_BITS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), pa.array((at >> U64(6)).astype(np.int32)), pa.array((U64(1) << (at & U64(63))).view(np.int64))],
-                    names=["size", "slot", "bits"])
-
-        slots = phrases.select("lang", "size", "phrase").mapInArrow(places, "size int, slot int, bits bigint")
-        found = slots.groupBy("size", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    def has(self, size: int, keys: np.ndarray) -> np.ndarray:
+        held = self.bits.get(size)
+        if held is None:
+            return np.zeros(len(keys), bool)
+        at = (keys >> U64(2)) & U64(FILTER_BITS - 1)
+        return (held[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+    def with_keys(self, phrases: DataFrame) -> Filters:
+        """These filters and the keys of a table. What reaches the driver is one row for each 64 bits
+        that hold any, at most ``FILTER_BITS / 64`` for each length."""
+        at = F.shiftrightunsigned("key", 2).bitwiseAND(FILTER_BITS - 1)
+        places = phrases.select(
+            (F.col("key").bitwiseAND(3) + 1).cast("int").alias("size"), F.shiftright(at, 6).cast("int").alias("slot"),
+            F.expr(f"shiftleft(1L, cast((shiftrightunsigned(key, 2) & {FILTER_BITS - 1}) & 63 as int))").alias("bits"))
+        found = places.groupBy("size", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
         sizes, slot, bits = (found.column(i).to_numpy() for i in range(3))
         out = {k: v.copy() for k, v in self.bits.items()}
         for size in set(sizes.tolist()):
             mine = sizes == size
-            held = out.setdefault(size, np.zeros(FILTER_BITS // 64, U64))
-            held[slot[mine]] |= bits[mine].view(U64)
+            out.setdefault(size, np.zeros(FILTER_BITS // 64, U64))[slot[mine]] |= bits[mine].view(U64)
         return Filters(out)
 
 
-def _counted(held: Words, wanted: tuple[int, ...], filters: Filters, before: Filters) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams held: of single words, all; of longer ones, those whose two parts pass
-    ``filters`` and not both ``before``. With single words comes their total, as size 0.
+def _counted(
+    held: Words, longest: int, proposed: Filters, kept: Filters | None = None,
+) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Counts of the n-grams held: ``(lang, size, keys, times, words)``.
 
-    Where a pass expands what was counted ``before``, the n-grams it adds may themselves be parts
-    of longer ones: these are few, and no pass after it can find another."""
-    expands = bool(before.bits)
-    words, hashes = pa.array(held.texts, pa.binary()), _word_hashes(held.texts)
+    Without ``kept``: of single words, and of n-grams both parts of which are ``proposed``. With it:
+    of what that counts, those ``kept``; and of n-grams that it misses although both parts are kept
+    or themselves missed. Size 0 gives the number of words.
+    """
+    hashes, n_words = np.fromiter(map(xxhash.xxh3_64_intdigest, held.texts), U64, len(held.texts)), len(held.texts)
     for lang, sequences in held.sequences.items():
-        ids = np.concatenate(sequences).astype(np.int64)
-        key, starts = ids, np.nonzero(ids > 0)[0]
-        columns = [ids[starts]]
-        old = new = np.zeros(len(starts), bool)
-        for size in range(1, max(wanted) + 1):
-            if size > 1:
-                # an n-gram starts where its first part and, one place on, its second part may stand
-                ahead = np.zeros(len(ids) + 1, bool)
-                ahead[starts[new]] = True
-                both = new & ahead[starts + 1]
-                ahead_old = np.zeros(len(ids) + 1, bool)
-                ahead_old[starts[old]] = True
+        ids = np.concatenate(sequences)
+        starts = np.nonzero(ids > 0)[0]
+        if kept is not None and len(starts):
+            yield lang, 0, np.zeros(1, U64), np.array([len(starts)]), []
+        live = open_ = part = np.zeros(0, bool)
+        for size in range(1, longest + 1):
+            if size == 1:
+                key, known = ids[starts], np.ones(len(starts), bool)
+            else:
+                # an n-gram stands where its first part and, one place on, its second part stand
+                ahead, ahead_open = np.zeros(len(ids) + 1, bool), np.zeros(len(ids) + 1, bool)
+                ahead[starts[live]] = True
+                ahead_open[starts[open_]] = True
+                both = live & ahead[starts + 1]
                 starts = starts[both]
-                known = old[both] & ahead_old[starts + 1]
+                known = open_[both] & ahead_open[starts + 1]
                 # the number of the first part and the next word name the n-gram exactly
-                key = part[both] * len(held.texts) + ids[starts + size - 1]
-            else:
-                key, known = ids[starts], np.zeros(len(starts), bool)
-            distinct, first, part, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            part = part.reshape(-1)
-            columns = [ids[starts[first] + i] for i in range(size)]
-            marks = _phrase_hashes(lang, [hashes[c] for c in columns]) if len(first) else np.zeros(0, U64)
-            passes = filters.has(size, marks)
-            new = passes[part] | ~known if expands and size > 1 else passes[part]
-            old = before.has(size, marks)[part]
-            if size in wanted and len(first):
-                chosen = np.nonzero(~known[first])[0]
-                texts = [words.take(pa.array(c[chosen])) for c in columns]
-                phrase = pc.binary_join_element_wise(*texts, b" ") if size > 1 else texts[0]
-                n = len(chosen)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), phrase.cast(pa.string()),
-                     pa.array(passes[chosen]), pa.array(times[chosen])],
-                    names=["lang", "size", "phrase", "proposed", "f"])
-            if size == 1 and 1 in wanted and len(starts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([True]), pa.array([len(starts)], pa.int64())],
-                    names=["lang", "size", "phrase", "proposed", "f"])
-            if not new.any():
+                key = part[both].astype(np.int64) * n_words + ids[starts + size - 1]
+            if not len(starts):
                 break
+            _, first, part, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            part = part.reshape(-1)
+            words = [ids[starts[first] + i] for i in range(size)]
+            keys, known = _keys(lang, [hashes[w] for w in words]), known[first]
+            opened = known & proposed.has(size, keys)
+            if kept is None:
+                chosen, lives = np.ones(len(keys), bool), opened
+            else:
+                chosen = lives = ~known | kept.has(size, keys)
+            yield lang, size, keys[chosen], times[chosen], [w[chosen] for w in words]
+            live, open_ = lives[part], opened[part]
 
 
-def count_phrases(texts: DataFrame, wanted: tuple[int, ...], filters: Filters, before: Filters = Filters()) -> DataFrame:
-    """Exact counts over ``texts`` (``lang, text``): ``lang, size, phrase, proposed, f``."""
+def _over(texts: DataFrame, schema: str, records: Callable[[Words], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``records`` of the words of ``texts`` (``lang, text``), as many as a task holds at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words()
         for batch in batches:
@@ -204,12 +178,40 @@ def count_phrases(texts: DataFrame, wanted: tuple[int, ...], filters: Filters, b
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 held.add(lang, flat[offsets[i] : offsets[i + 1]].tobytes())
                 if held.full():
-                    yield from _counted(held, wanted, filters, before)
+                    yield from records(held)
                     held = Words()
-        yield from _counted(held, wanted, filters, before)
+        yield from records(held)
+
+    return texts.mapInArrow(run, schema)
+
+
+def count_keys(texts: DataFrame, longest: int, proposed: Filters, least_size: int = 1) -> DataFrame:
+    """``key, f`` of the n-grams from ``least_size`` to ``longest`` words whose parts are proposed."""
+    def records(held: Words) -> Iterator[pa.RecordBatch]:
+        for _, size, keys, times, _ in _counted(held, longest, proposed):
+            if size >= least_size:
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["key", "f"])
+
+    return _over(texts, "key bigint, f bigint", records).groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def count_phrases(texts: DataFrame, longest: int, proposed: Filters, kept: Filters) -> DataFrame:
+    """``lang, size, phrase, f`` of kept phrases and of those that the proposals miss; size 0 holds the
+    number of words."""
+    def records(held: Words) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(held.texts, pa.binary())
+        for lang, size, _, times, words in _counted(held, longest, proposed, kept):
+            if not len(times):
+                continue
+            parts = [texts.take(pa.array(w)) for w in words] or [pa.array([b""], pa.binary())]
+            phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(times), pa.string()), pa.array(np.full(len(times), size, np.int32)),
+                 phrase.cast(pa.string()), pa.array(times)],
+                names=["lang", "size", "phrase", "f"])
 
-    rows = texts.mapInArrow(run, COUNTED)
-    return rows.groupBy("lang", "size", "phrase").agg(F.bool_or("proposed").alias("proposed"), F.sum("f").alias("f"))
+    rows = _over(texts, "lang string, size int, phrase string, f bigint", records)
+    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(
@@ -224,21 +226,12 @@ def frequent_phrases(
     sample, rows = stored(rows.where("drawn").drop("drawn")), rows.drop("drawn")
     expected = least / sampled
     lowered = max(2, floor(expected - sqrt(expected)))
-    filters = Filters()
+    proposed = Filters()
     for size in range(1, longest):
-        proposed = count_phrases(sample, (size,), filters).where((F.col("f") >= lowered) & (F.col("size") == size))
-        filters = filters.with_phrases(proposed)
-    counted = stored(_frequent(count_phrases(rows, tuple(range(1, longest + 1)), filters), least))
-    failures = counted.where(~F.col("proposed") & F.col("size").between(1, longest - 1))
-    if not failures.isEmpty():
-        wider = filters.with_phrases(failures)
-        added = count_phrases(rows, tuple(range(2, longest + 1)), wider, filters)
-        counted = counted.unionByName(stored(_frequent(added, least)))
-    return counted.drop("proposed")
-
-
-def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    return counted.where((F.col("f") >= least) | (F.col("size") == 0))
+        proposed = proposed.with_keys(count_keys(sample, size, proposed, size).where(F.col("f") >= lowered))
+    kept = Filters().with_keys(count_keys(rows, longest, proposed).where(F.col("f") >= least))
+    counted = count_phrases(rows, longest, proposed, kept)
+    return stored(counted.where((F.col("f") >= least) | (F.col("size") == 0)))
 
 
 def score(frequent: DataFrame, cover: int = 80) -> DataFrame:
