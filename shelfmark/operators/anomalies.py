@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,29 +24,43 @@ MIN_RULES = 10
 
 
 def preprocess_rules(
-    rules: DataFrame, scaler: DataFrame | None = None, by: str = "Cluster"
+    rules: DataFrame, scaler: DataFrame | None = None, by: str = "Cluster",
+    features: Sequence[str] = RULE_METRICS,
 ) -> DataFrame:
-    """Add the seven scaled metrics and the rule id. Infinite and missing metrics count as
-    the cluster's median. Scaling is fitted on the given rules, or taken from ``scaler``."""
-    filled = {m: f"__{m}" for m in RULE_METRICS}
-    ready = median_impute(rules, RULE_METRICS, [by], filled)
+    """Add ``<metric>_normalized`` for each of ``features`` (by default the seven metrics) and
+    the rule id. Infinite and missing metrics count as the cluster's median. Scaling is fitted
+    on the given rules, or taken from ``scaler``."""
+    _check_columns(rules, features)
+    filled = {m: f"__{m}" for m in features}
+    ready = median_impute(rules, list(features), [by], filled)
     columns = list(filled.values())
     if scaler is None:
         scaler = fit_scaler(ready, columns, [by])
-    names = {filled[m]: NORMALIZED[m] for m in RULE_METRICS}
+    names = {filled[m]: f"{m}_normalized" for m in features}
     scaled = apply_scaler(ready, scaler, columns, names, [by]).drop(*columns)
     return scaled.withColumn("rule_id", rule_id(F.col("antecedents"), F.col("consequents")))
 
 
-def fit_rule_scaler(rules: DataFrame, by: str = "Cluster") -> DataFrame:
-    filled = {m: f"__{m}" for m in RULE_METRICS}
-    ready = median_impute(rules, RULE_METRICS, [by], filled)
+def _check_columns(rules: DataFrame, features: Sequence[str]) -> None:
+    missing = [c for c in features if c not in rules.columns]
+    if missing:
+        raise ValueError(f"the rules have no columns {missing}")
+
+
+def fit_rule_scaler(
+    rules: DataFrame, by: str = "Cluster", features: Sequence[str] = RULE_METRICS
+) -> DataFrame:
+    filled = {m: f"__{m}" for m in features}
+    ready = median_impute(rules, list(features), [by], filled)
     return fit_scaler(ready, list(filled.values()), [by])
 
 
-def feature_rows(rules: DataFrame, by: str = "Cluster", row_id: str = "rule_id") -> DataFrame:
-    """The seven features by rule, gaps filled with the cluster's median."""
-    return median_impute(rules.select(by, row_id, *FEATURES), FEATURES, [by])
+def feature_rows(
+    rules: DataFrame, by: str = "Cluster", row_id: str = "rule_id",
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """The scaled features by rule, gaps filled with the cluster's median."""
+    return median_impute(rules.select(by, row_id, *features), list(features), [by])
 
 
 def sort_by_rule_id(rules: DataFrame) -> DataFrame:
@@ -73,24 +88,29 @@ class Detected:
 
 
 def detect_anomalies(
-    rules: DataFrame, params: DataFrame, by: str = "Cluster", seed: int = 42
+    rules: DataFrame, params: DataFrame, by: str = "Cluster", seed: int = 42,
+    features: Sequence[str] = FEATURES, forest: DataFrame | None = None,
 ) -> Detected:
     """Flag prepared rules by forest and local outlier factor, all groups at once.
 
+    ``features`` are the scaled columns to look at; a stored ``forest`` is used instead of a
+    new one where given.
+
     ``params`` is ``(by, contamination, n_neighbors)``. Groups under ten rules get zeros.
     A rule that is given several times counts, and comes back, as often.
     """
     rules = materialise(with_row_key(materialise(rules), [by, "rule_id"], ROW))
-    features = feature_rows(rules, by, ROW)
-    enough = materialise(join_groups(features, small_groups(rules, by), [by], "left_anti"))
-    forest = iforest.fit_forest(enough, FEATURES, by, ROW, seed=seed)
+    found = feature_rows(rules, by, ROW, features)
+    enough = materialise(join_groups(found, small_groups(rules, by), [by], "left_anti"))
+    if forest is None:
+        forest = iforest.fit_forest(enough, features, by, ROW, seed=seed)
     scored = materialise(
-        iforest.score_forest(enough, forest, FEATURES, by).select(by, ROW, "iforest_score")
+        iforest.score_forest(enough, forest, features, by).select(by, ROW, "iforest_score")
     )
     flagged = materialise(iforest.flag_forest(scored, params.select(by, "contamination"), by))
     neighbours = params.select(by, F.col("n_neighbors").alias("k"))
     top_k = params.agg(F.max("n_neighbors").alias("k")).first()["k"] or 1
-    factors = lof.lof_scores(enough, FEATURES, neighbours, top_k, by, ROW).drop("k")
+    factors = lof.lof_scores(enough, features, neighbours, top_k, by, ROW).drop("k")
     joined = rules.join(flagged, [by, ROW], "left").drop("offset")
     joined = lof.flag_lof(joined, factors, by, ROW).drop(ROW).fillna(
         {"isolation_forest_anomaly": 0, "anomaly_score": 0.0}
@@ -101,18 +121,19 @@ def detect_anomalies(
 
 def predict_anomalies(
     rules: DataFrame, forest: DataFrame, offsets: DataFrame, scaler: DataFrame | None = None,
-    by: str = "Cluster",
+    by: str = "Cluster", metrics: Sequence[str] = RULE_METRICS,
 ) -> DataFrame:
-    """Score new rules with a stored forest. Scaling is refitted on the new rules unless a
+    """Score new rules with a stored forest, grown from the scaled ``metrics`` in this order. Scaling is refitted on the new rules unless a
     fitted ``scaler`` is given. A cluster without a forest is an error."""
     missing = rules.select(by).distinct().join(forest.select(by).distinct(), by, "left_anti")
     unknown = [r[by] for r in missing.limit(10).collect()]
     if unknown:
         raise ValueError(f"no trained forest for cluster {unknown}")
-    prepared = materialise(preprocess_rules(rules, scaler, by))
+    prepared = materialise(preprocess_rules(rules, scaler, by, metrics))
     prepared = materialise(with_row_key(prepared, [by, "rule_id"], ROW))
-    features = feature_rows(prepared, by, ROW)
-    scored = iforest.score_forest(features, forest, FEATURES, by).select(by, ROW, "iforest_score")
+    scaled = [f"{m}_normalized" for m in metrics]
+    found = feature_rows(prepared, by, ROW, scaled)
+    scored = iforest.score_forest(found, forest, scaled, by).select(by, ROW, "iforest_score")
     decided = iforest.with_decision(scored, offsets, by, "iforest_score").drop("offset")
     return prepared.join(decided, [by, ROW]).drop(ROW)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.functions.rules import min_occurrence
-from shelfmark.operators.groups import join_groups, join_uneven
+from shelfmark.operators.groups import HeavyKeys, join_groups, join_uneven, stored_with_heavy
 from shelfmark.operators.ordering import top_n
 from shelfmark.session import stored
 
@@ -22,14 +22,16 @@ MAX_ITEMS = 50
 LOCAL_CELLS = 1_000_000
 
 
-def lines_with_cluster(lines: DataFrame, segments: DataFrame) -> DataFrame:
+def lines_with_cluster(
+    lines: DataFrame, segments: DataFrame, heavy: HeavyKeys | None = None
+) -> DataFrame:
     """Lines of clustered customers, with the cluster.
 
     Segments grow with the customers, so neither side is broadcast by hint; a customer
     with very many lines is sliced.
     """
     clusters = segments.select("CustomerID", "Cluster").where(F.col("Cluster").isNotNull())
-    return join_uneven(lines, clusters, ["CustomerID"])
+    return join_uneven(lines, clusters, ["CustomerID"], heavy=heavy)
 
 
 def cluster_subset(df: DataFrame, clusters: int | list[int]) -> DataFrame:
@@ -37,8 +39,11 @@ def cluster_subset(df: DataFrame, clusters: int | list[int]) -> DataFrame:
     return df.where(F.col("Cluster").isin(wanted))
 
 
-def keep_invoices(lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    return join_uneven(lines, invoices.select("InvoiceNo").distinct(), ["InvoiceNo"], "left_semi")
+def keep_invoices(
+    lines: DataFrame, invoices: DataFrame, heavy: HeavyKeys | None = None
+) -> DataFrame:
+    wanted = invoices.select("InvoiceNo").distinct()
+    return join_uneven(lines, wanted, ["InvoiceNo"], "left_semi", heavy)
 
 
 def invoice_order(invoice: str = "InvoiceNo") -> list[Column]:
@@ -117,8 +122,10 @@ def frequent_items(
     )
 
 
-def keep_items(items: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    return join_uneven(items, wanted.select(*by, "item"), [*by, "item"], "left_semi")
+def keep_items(
+    items: DataFrame, wanted: DataFrame, by: list[str], heavy: HeavyKeys | None = None
+) -> DataFrame:
+    return join_uneven(items, wanted.select(*by, "item"), [*by, "item"], "left_semi", heavy)
 
 
 def first_items(
@@ -141,8 +148,10 @@ def prepare_baskets(
     default all.
     """
     # counted by item and by invoice, then filtered: written once, read by column
-    items = stored(distinct_items(lines, item, by, order_by, invoice))
-    kept = keep_items(items, frequent_items(items, by, minimum, invoice), by)
+    items, (heavy,) = stored_with_heavy(
+        distinct_items(lines, item, by, order_by, invoice), [*by, "item"]
+    )
+    kept = keep_items(items, frequent_items(items, by, minimum, invoice), by, heavy)
     if max_items is not None:
         kept = first_items(kept, by, max_items, invoice)
     return kept.groupBy(*by, invoice).agg(F.array_sort(F.collect_list("item")).alias("items"))

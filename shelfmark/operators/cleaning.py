@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.functions.categories import with_category, with_category_of_texts
-from shelfmark.operators.groups import join_uneven
+from shelfmark.operators.groups import HeavyKeys, join_uneven
 
 
 def drop_missing_description(lines: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def time_features(lines: DataFrame) -> DataFrame:
     )
 
 
-def customer_frequency(lines: DataFrame) -> DataFrame:
+def customer_frequency(lines: DataFrame, heavy: HeavyKeys | None = None) -> DataFrame:
     """Distinct invoices of the line's customer, on every line.
 
     Counted over (customer, invoice) pairs first, so a customer with a third of all lines
@@ -111,7 +111,7 @@ def customer_frequency(lines: DataFrame) -> DataFrame:
     per_customer = lines.groupBy("CustomerID").agg(
         F.count_distinct("InvoiceNo").alias("Frequency")
     )
-    return join_uneven(lines, per_customer, ["CustomerID"], "left")
+    return join_uneven(lines, per_customer, ["CustomerID"], "left", heavy)
 
 
 def row_recency(lines: DataFrame) -> DataFrame:

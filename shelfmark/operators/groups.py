@@ -2,18 +2,29 @@
 
 Groups such as customer segments are few: their rows go to the data (``join_groups``).
 Keys such as customers or items are many, and one of them may hold a third of the table:
-the rows of such a key are dealt to several slices (``join_uneven``).
+the rows of such a key are dealt to several slices (``join_uneven``). Which keys those are
+comes from a frequent-items sketch that rides on the pass writing the table
+(``stored_with_heavy``), or from a count inside the join's own plan. Building a join runs
+nothing over its input.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DateType, IntegralType, StringType
 
-MAX_GROUPS = 10_000
+from shelfmark.session import stored
+
+# a table of groups is broadcast up to this size, beyond it joined as the optimiser chooses
+MAX_GROUPS, MAX_GROUP_BYTES = 10_000, 8 << 20
+# items a sketch tells apart; counts are wrong by less than 2 / SKETCH_ITEMS of the rows
+SKETCH_ITEMS = 16_384
+MOST_HEAVY = 1_000
 
 
 def join_groups(
@@ -21,12 +32,12 @@ def join_groups(
 ) -> DataFrame:
     """Join ``rows`` with a table of one (or a few) rows per group.
 
-    The table is read up to ``MAX_GROUPS`` rows. If that is all of it, it is broadcast with
-    its size known. A larger one is joined as the optimiser chooses; adaptive skew
-    handling then splits an uneven group.
+    The table is read up to ``MAX_GROUPS`` rows. If that is all of it and its bytes are few,
+    it is broadcast with its size known. A larger one is joined as the optimiser chooses;
+    adaptive skew handling then splits an uneven group.
     """
     found = per_group.limit(MAX_GROUPS + 1).toArrow()
-    if found.num_rows > MAX_GROUPS:
+    if found.num_rows > MAX_GROUPS or found.nbytes > MAX_GROUP_BYTES:
         return rows.join(per_group, by, how)
     known = rows.sparkSession.createDataFrame(found, schema=per_group.schema)
     return rows.join(F.broadcast(known), by, how)
@@ -47,44 +58,98 @@ def with_row_key(rows: DataFrame, on: list[str], into: str) -> DataFrame:
     return rows.join(repeated, same, "left").select(*[f"`{c}`" for c in rows.columns], key.alias(into))
 
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame | None:
-    """Keys with more rows than an average shuffle partition, with the number of slices
-    that brings them back to that size; None if there are none. There cannot be more of
-    them than partitions, so the list is bounded whatever the data."""
-    spark = rows.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def _slices(n: Column, total: Column, partitions: int) -> Column:
+    return F.ceil(n * F.lit(float(partitions)) / total).cast("int")
+
+
+def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+    """Keys with more rows than an average shuffle partition, with the number of slices that
+    brings them back to that size. There cannot be more of them than partitions, so the table
+    may be broadcast whatever the data. Nothing runs until a plan that holds it does."""
+    partitions = _partitions(rows)
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
-    slices = F.ceil(F.col("__n") * F.lit(float(partitions)) / total).cast("int")
-    hot = counts.where(F.col("__n") * F.lit(partitions) > total).select(
-        *on, slices.alias("__slices")
+    slices = _slices(F.col("__n"), total, partitions).alias("__slices")
+    return counts.where(F.col("__n") * F.lit(partitions) > total).select(*on, slices)
+
+
+@dataclass(frozen=True)
+class HeavyKeys:
+    """Keys of a written table with more rows than an average partition: hashes and slices,
+    at most ``MOST_HEAVY``."""
+
+    on: tuple[str, ...]
+    slices: tuple[tuple[int, int], ...]
+
+
+def stored_with_heavy(df: DataFrame, *keys: list[str]) -> tuple[DataFrame, list[HeavyKeys | None]]:
+    """``stored(df)``, and the heavy keys of each list of columns in ``keys``.
+
+    The counts come from mergeable frequent-items sketches filled while the table is written:
+    no pass of its own. Sketches tell hashes of keys, so they serve texts, whole numbers and
+    dates; other keys give None, and a join on them counts for itself.
+    """
+    plain = (StringType, IntegralType, DateType, BinaryType)
+    partitions = _partitions(df)
+    sketches = [
+        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{c}`' for c in on)}), {MOST_HEAVY}, {SKETCH_ITEMS})")
+        if all(isinstance(df.schema[c].dataType, plain) for c in on) else F.count(F.lit(None))
+        for on in keys
+    ]
+    seen = Observation()
+    watched = df.observe(
+        seen, F.count(F.lit(1)).alias("rows"), *[s.alias(f"top{i}") for i, s in enumerate(sketches)]
     )
-    found = hot.toArrow()
-    return spark.createDataFrame(found, schema=hot.schema) if found.num_rows else None
+    out = stored(watched)
+    counted = seen.get
+    found = []
+    for i, on in enumerate(keys):
+        if counted[f"top{i}"] == 0:
+            found.append(None)
+            continue
+        heavy = [
+            (x["item"], -(-x["count"] * partitions // counted["rows"]))
+            for x in counted[f"top{i}"] or [] if x["count"] * partitions > counted["rows"]
+        ]
+        found.append(HeavyKeys(tuple(on), tuple(heavy)))
+    return out, found
 
 
 def join_uneven(
-    rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner"
+    rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner",
+    heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """Equi-join of ``rows`` with at most one row per key, hot keys sliced.
 
     Adaptive skew handling does not reach a side that is itself an aggregate on the key,
-    which is the usual case here. The slice comes from the row and its input partition:
+    which is the usual case here. ``heavy`` names the hot keys of ``rows`` (or of the table it
+    was cut from); without it they are counted within the plan. Rows with a NULL in the key
+    match nothing and are dealt freely. The slice comes from the row and its input partition:
     it is the same when a lost task is run again.
     """
-    hot = hot_keys(rows, on)
-    if hot is None:
-        return rows.join(per_key, on, how)
-    dealt = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.col("__slices"))
-    left = (
-        rows.join(F.broadcast(hot), on, "left")
-        .withColumn("__slice", F.coalesce(dealt.cast("int"), F.lit(0)))
-        .drop("__slices")
+    # a hash sees the value's type, a join does not: hashes are taken of equal types only
+    same_types = all(rows.schema[c].dataType == per_key.schema[c].dataType for c in on)
+    if heavy is not None and same_types:
+        key, link = [F.xxhash64(*[f"`{c}`" for c in on]).alias("__key")], ["__key"]
+        known = [(h, n) for h, n in heavy.slices] or [(0, 1)]
+        hot = rows.sparkSession.createDataFrame(known, "__key bigint, __slices int")
+    else:
+        key, link, hot = [], list(on), hot_keys(rows, on)
+    row = F.xxhash64(*[f"`{c}`" for c in rows.columns]) + F.spark_partition_id()
+    unmatched = reduce(or_, [F.col(c).isNull() for c in on])
+    slices = F.when(unmatched, F.lit(_partitions(rows))).otherwise(F.coalesce("__slices", F.lit(1)))
+    left = rows.select("*", *key, row.alias("__row")).join(F.broadcast(hot), link, "left").withColumn(
+        "__slice", F.pmod("__row", slices).cast("int")
     )
     copies = F.sequence(F.lit(0), F.coalesce(F.col("__slices"), F.lit(1)) - 1)
-    right = (
-        per_key.join(F.broadcast(hot), on, "left")
-        .withColumn("__slice", F.explode(copies))
-        .drop("__slices")
+    right = per_key.select("*", *key).join(F.broadcast(hot), link, "left").withColumn(
+        "__slice", F.explode(copies)
+    )
+    joined = left.drop("__key", "__row", "__slices").join(
+        right.drop("__key", "__slices"), [*on, "__slice"], how
     )
-    return left.join(right, [*on, "__slice"], how).drop("__slice")
+    return joined.drop("__slice")

@@ -1,22 +1,26 @@
 """Exact Euclidean silhouette.
 
 Every point needs its distance to every other, so the work is quadratic; what is kept
-small is everything else. Points are packed into blocks of about a thousand, each block is
-sent to every other block's task, the task streams over them holding one block's sums, and
-one number per block leaves it. No pair of points is ever a row.
+small is everything else. Points are packed into blocks of about a thousand and the blocks
+dealt to ``g`` bands. A tile is a pair of bands, and each pair of blocks is computed once,
+in its tile, for both sides: a block is sent to g tiles, where g² / 2 of them keep the
+cluster busy. From a tile come the distance sums of its blocks by label; added up by block
+they give the scores. No pair of points is ever a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 1024
-MAX_TASKS = 10_000
+# points of one band, two of which a task holds
+MOST_BAND_ROWS = 250_000
+TILES_PER_TASK = 4
 
 
 def pairwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -53,6 +57,10 @@ def silhouette(
     ).first()
     blocks = max(1, -(-size["n"] // BLOCK_ROWS))
     widths = [int(size[f"__{i}"] or 0) + 1 for i in range(n_labels)]
+    starts = np.concatenate([[0], np.cumsum(widths)])
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    bands = int(np.ceil(max(np.sqrt(2 * TILES_PER_TASK * tasks), size["n"] / MOST_BAND_ROWS)))
+    bands = min(blocks, bands)
 
     packed = (
         points.select(
@@ -62,49 +70,67 @@ def silhouette(
         )
         .groupBy("block")
         .agg(F.collect_list(F.struct("x", "l")).alias("p"))
-        .select("block", F.flatten("p.x").alias("x"), F.flatten("p.l").alias("l"))
+        .select(
+            "block", (F.col("block") % bands).alias("band"),
+            F.flatten("p.x").alias("x"), F.flatten("p.l").alias("l"),
+        )
     )
-    visits = packed.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    # a block's own points arrive first, then all others, in the task that sums for it
-    visits = visits.repartition(min(blocks, MAX_TASKS), "to").sortWithinPartitions("to", F.col("to") != F.col("block"))
-
-    def finish(state) -> list[tuple[int, float, int]]:
-        x, own, sums, sizes = state
-        return [
-            (i, _scores(own[:, i], sums[i], sizes[i]), len(x)) for i in range(n_labels)
-        ]
+    other = F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("other")
+    tiles = packed.select("*", other).withColumns(
+        {"low": F.least("band", "other"), "high": F.greatest("band", "other")}
+    )
+    # little data and much work: an explicit number of partitions is not coalesced
+    tiles = tiles.repartition(tasks, "low", "high")
 
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            out = []
-            for to, block, x, l in zip(batch["to"], batch["block"], batch["x"], batch["l"]):
-                x = np.asarray(x, dtype=float).reshape(-1, d)
-                l = np.asarray(l, dtype=int).reshape(-1, n_labels)
-                if to != current:
-                    if state is not None:
-                        out += finish(state)
-                    current = to
-                    own = l if to == block else l[:0]
-                    mine = x if to == block else x[:0]
-                    state = (
-                        mine, own, [np.zeros((len(mine), w)) for w in widths],
-                        [np.zeros(w) for w in widths],
-                    )
-                if len(state[0]) == 0:
+    def sums(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+        held = []
+        for r in rows:
+            l = np.asarray(r["l"], dtype=int).reshape(-1, n_labels)
+            onehot = np.zeros((len(l), starts[-1]))
+            for i in range(n_labels):
+                onehot[np.arange(len(l)), starts[i] + l[:, i]] = 1
+            held.append((r["block"], r["band"], np.asarray(r["x"], dtype=float).reshape(-1, d), onehot))
+        total = [np.zeros(h[3].shape) for h in held]
+        diagonal = rows[0]["low"] == rows[0]["high"]
+        for i, (_, band, x, onehot) in enumerate(held):
+            for j in range(i, len(held)):
+                if not diagonal and held[j][1] == band:
                     continue
-                distance = pairwise(state[0], x)
-                for i, w in enumerate(widths):
-                    onehot = np.eye(w)[l[:, i]]
-                    state[2][i] += distance @ onehot
-                    state[3][i] += onehot.sum(axis=0)
-            yield pd.DataFrame(out, columns=["i", "total", "n"])
-        if state is not None:
-            yield pd.DataFrame(finish(state), columns=["i", "total", "n"])
+                distance = pairwise(x, held[j][2])
+                total[i] += distance @ held[j][3]
+                if j != i:
+                    total[j] += distance.T @ onehot
+        return pa.table({
+            "block": pa.array([h[0] for h in held], pa.int32()),
+            "tile": pa.array([rows[0]["low"] * bands + rows[0]["high"]] * len(held), pa.int64()),
+            "sums": pa.array([t.ravel() for t in total], pa.list_(pa.float64())),
+            "l": pa.array([r["l"] if diagonal else None for r in rows], pa.list_(pa.int32())),
+        })
+
+    schema = "block int, tile bigint, sums array<double>, l array<int>"
+    by_tile = tiles.groupBy("low", "high").applyInArrow(sums, schema)
+    # rows by label, a few numbers
+    sizes = [np.zeros(w) for w in widths]
+    labelled = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("int").alias("l")) for i, c in enumerate(labels)]))
+    for r in points.select(labelled.alias("c")).groupBy("c.i", "c.l").count().collect():
+        sizes[r["i"]][r["l"]] = r["count"]
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["tile"])
+        own = np.asarray(next(r["l"] for r in rows if r["l"] is not None), dtype=int).reshape(-1, n_labels)
+        total = sum(np.asarray(r["sums"]).reshape(len(own), -1) for r in rows)
+        scores = [
+            _scores(own[:, i], total[:, starts[i]:starts[i + 1]], sizes[i]) for i in range(n_labels)
+        ]
+        return pa.table({
+            "i": pa.array(range(n_labels), pa.int32()), "total": pa.array(scores, pa.float64()),
+            "n": pa.array([len(own)] * n_labels, pa.int64()),
+        })
 
     names = F.array(*map(F.lit, labels))
     return (
-        visits.mapInPandas(stream, "i int, total double, n bigint")
+        by_tile.groupBy("block").applyInArrow(finish, "i int, total double, n bigint")
         .groupBy("i")
         .agg((F.sum("total") / F.sum("n")).alias("silhouette"))
         .select(F.element_at(names, F.col("i") + 1).alias("label"), "silhouette")

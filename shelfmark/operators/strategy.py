@@ -11,6 +11,7 @@ from shelfmark.operators.anomalies import FEATURES, either_anomaly, threshold_fi
 from shelfmark.operators.groups import join_groups
 from shelfmark.operators.ordering import top_n
 from shelfmark.operators.rfm import SEGMENT_NAMES
+from shelfmark.sources.retail import RULE_METRICS
 
 # ---- fixed values: strategies by cluster, in order of preference ----
 PRIMARY = {
@@ -63,7 +64,10 @@ ANSWERS = {
 }
 # ---- end of fixed values ----
 
-DEFAULT_METRICS = ["support_normalized", "confidence_normalized", "lift_normalized"]
+# ranking metrics in order of preference; the first three there are count
+DEFAULT_METRICS = [
+    "support_normalized", "confidence_normalized", "lift_normalized", "support", "confidence", "lift",
+]
 KINDS = {"primary": PRIMARY, "fallback": FALLBACK}
 
 
@@ -105,12 +109,22 @@ def strategy_lookup(spark: SparkSession) -> DataFrame:
     )
 
 
-def composite_score(rules: DataFrame, metrics: list[str] = DEFAULT_METRICS) -> DataFrame:
+def default_metrics(rules: DataFrame) -> list[str]:
+    """Scaled metrics, or the plain ones where they were not scaled."""
+    found = [m for m in DEFAULT_METRICS if m in rules.columns][:3]
+    if not found:
+        raise ValueError("the rules have none of the metrics " + ", ".join(DEFAULT_METRICS))
+    return found
+
+
+def composite_score(rules: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    metrics = metrics or default_metrics(rules)
     return rules.withColumn("composite_score", mean_of([F.col(m) for m in metrics]))
 
 
-def key_metric(rules: DataFrame, metrics: list[str] = DEFAULT_METRICS) -> DataFrame:
+def key_metric(rules: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """Name and value of each rule's largest metric."""
+    metrics = metrics or default_metrics(rules)
     columns = {m: F.col(m) for m in metrics}
     return rules.withColumn("key_metric", largest_name(columns)).withColumn(
         "key_value", F.greatest(*columns.values())
@@ -122,7 +136,13 @@ def top_per_cluster(rules: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _by_importance(rules: DataFrame, importance: DataFrame) -> DataFrame:
-    """Score by the cluster's two most important features; the first is the key metric."""
+    """Score by the cluster's two most important features; the first is the key metric. A
+    feature named without ``_normalized`` is taken scaled where the rules hold it so."""
+    scaled = F.concat("feature", F.lit("_normalized"))
+    there = [c for c in rules.columns if c in FEATURES or c in RULE_METRICS]
+    importance = importance.withColumn(
+        "feature", F.when(scaled.isin(there), scaled).otherwise(F.col("feature"))
+    )
     two = top_n(importance, ["Cluster"], [F.desc("importance"), F.asc("feature")], 2)
     # both places from one order, so equal importances name two features
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("less"), "feature")))
@@ -132,7 +152,7 @@ def _by_importance(rules: DataFrame, importance: DataFrame) -> DataFrame:
         F.coalesce(F.get("__two", F.lit(1)), F.get("__two", F.lit(0)))["feature"].alias("__second"),
     )
     values = F.map_from_arrays(
-        F.array(*map(F.lit, FEATURES)), F.array(*[F.col(f) for f in FEATURES])
+        F.array(*map(F.lit, there)), F.array(*[F.col(f"`{f}`") for f in there])
     )
     first = F.element_at(values, F.col("__first"))
     second = F.element_at(values, F.col("__second"))
@@ -151,7 +171,8 @@ def business_rules(
 ) -> DataFrame:
     """The best rules of each cluster with a recommended strategy. With importances only
     anomalous rules are considered; a cluster that has none, as none of its rules is flagged by
-    the forest, keeps its general ranking. Rules whose key metric has no answer are left out."""
+    the forest, keeps its general ranking. Metrics that were not scaled count as they are; rules
+    never scored have no anomaly score. Rules whose key metric has no answer are left out."""
     if min_support is not None and min_confidence is not None:
         rules = threshold_filter(rules, min_support, min_confidence)
     if importance is None:
@@ -175,7 +196,8 @@ def business_rules(
         F.col("lift").alias("Lift"), F.col("leverage").alias("Leverage"),
         F.col("conviction").alias("Conviction"), F.col("key_metric").alias("Key_Metric"),
         F.col("key_value").alias("Key_Metric_Value"),
-        F.col("anomaly_score").alias("Anomaly_Score"),
+        (F.col("anomaly_score") if "anomaly_score" in chosen.columns else F.lit(None).cast("double"))
+        .alias("Anomaly_Score"),
         "Recommended_Strategy", "Strategy_Description",
     )
 

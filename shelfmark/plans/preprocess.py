@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from shelfmark.operators import cleaning as c
-from shelfmark.session import stored
+from shelfmark.operators.groups import stored_with_heavy
 
 OUTPUT = [
     "InvoiceNo", "StockCode", "UnitPrice", "Quantity", "InvoiceDate", "CustomerID", "Country",
@@ -28,7 +28,7 @@ def merged_lines(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm
 def preprocess(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm",)) -> DataFrame:
     """The cleaned table. The merged lines are written once, since the customer frequency,
     the latest date and the distinct descriptions are further passes over them."""
-    lines = stored(merged_lines(raw, date_formats))
-    lines = c.row_recency(c.customer_frequency(lines))
+    lines, (heavy,) = stored_with_heavy(merged_lines(raw, date_formats), ["CustomerID"])
+    lines = c.row_recency(c.customer_frequency(lines, heavy))
     lines = c.with_category_of_texts(lines)
     return c.time_features(c.total_price(lines)).select(*OUTPUT)

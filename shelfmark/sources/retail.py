@@ -46,14 +46,18 @@ def _read(spark: SparkSession, path: str, schema: str | T.StructType, format: st
     return spark.read.schema(schema).format(format).load(path)
 
 
-def scan_raw(spark: SparkSession, path: str) -> DataFrame:
+def scan_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Invoice lines from CSV, all text, missing-value texts as NULL.
 
+    ``multi_line=True`` takes quoted texts with line breaks inside; a file is then read by one
+    task, so leave it off where no text holds any.
+
     ``seq`` is the line's place in the input: file, block, then the running number
     inside the scan, so that 'first line' means the same however the scan is split.
     """
     lines = (
-        spark.read.schema(RAW_SCHEMA).option("header", True).option("escape", '"').csv(path)
+        spark.read.schema(RAW_SCHEMA).option("header", True).option("escape", '"')
+        .option("multiLine", multi_line).csv(path)
     )
     return lines.select(
         *[blank_to_null(F.col(name)).alias(name) for name in RAW_COLUMNS if name != "Quantity"],

@@ -8,7 +8,7 @@ from shelfmark.operators import cleaning as c
 from shelfmark.operators import rfm as rf
 from shelfmark.operators import rules as r
 from shelfmark.operators import summaries as su
-from shelfmark.operators.groups import hot_keys, join_uneven
+from shelfmark.operators.groups import hot_keys, join_uneven, stored_with_heavy
 from shelfmark.session import ensure_checkpoint_dir
 
 
@@ -48,12 +48,16 @@ def test_no_cross_join_in_the_plans(spark, lines):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_hot_keys_are_sliced(spark, lines, how):
+@pytest.mark.parametrize("sketch", [False, True])
+def test_hot_keys_are_sliced(spark, lines, how, sketch):
     """No task of the join sees more than a fair share of the hot customer's lines."""
     per_key = lines.select("CustomerID").distinct().where("CustomerID <> 'c1'")
     if how != "left_semi":
         per_key = per_key.withColumn("name", F.concat(F.lit("n_"), F.col("CustomerID")))
-    joined = join_uneven(lines, per_key, ["CustomerID"], how)
+    lines = lines.withColumn("CustomerID", F.when(F.col("StockCode") != "7", F.col("CustomerID")))
+    lines, (heavy,) = stored_with_heavy(lines, ["CustomerID"])
+    assert [n for _, n in heavy.slices] == [3], "a third of the lines against an eighth per partition"
+    joined = join_uneven(lines, per_key, ["CustomerID"], how, heavy if sketch else None)
     want = lines.join(per_key, ["CustomerID"], how)
     assert sorted(map(str, joined.select(sorted(want.columns)).collect())) == sorted(
         map(str, want.select(sorted(want.columns)).collect()))
@@ -63,8 +67,31 @@ def test_hot_keys_are_sliced(spark, lines, how):
 
 def test_even_keys_are_joined_plainly(spark, lines):
     even = lines.where("CustomerID <> 'hot'")
-    assert hot_keys(even, ["CustomerID"]) is None
-
+    assert hot_keys(even, ["CustomerID"]).count() == 0
+
+
+def test_building_a_join_runs_nothing(spark, lines):
+    """Jobs are counted by their group: none starts before the result is asked for."""
+    spark.sparkContext.setJobGroup("building", "joins")
+    per_key = lines.select("CustomerID").distinct()
+    for how in ("inner", "left", "left_semi"):
+        join_uneven(lines, per_key, ["CustomerID"], how)
+    c.customer_frequency(lines)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_null_keys_are_dealt_and_types_may_differ(spark):
+    rows = spark.range(8000).select(
+        F.when(F.col("id") % 4 == 0, F.col("id").cast("int") % 5).alias("k"), "id")
+    per_key = spark.createDataFrame([(0, "a"), (3, "b")], "k long, name string")
+    stored, (heavy,) = stored_with_heavy(rows, ["k"])
+    for known in (None, heavy):
+        got = join_uneven(stored, per_key, ["k"], "left", known)
+        assert got.count() == 8000 and got.where("name is not null").count() == 800
+    keyed = join_uneven(stored, per_key.withColumn("k", F.col("k").cast("int")), ["k"], "left", heavy)
+    spread = keyed.where("k is null").groupBy(F.spark_partition_id()).count()
+    assert keyed.where("name = 'a'").count() == 400 and spread.count() >= 1
 
 def test_results_do_not_depend_on_partitions(spark, lines):
     def outcome(df):
