@@ -5,7 +5,7 @@ each of three parts of a table, and a cell holds a count, the XOR of its digests
 their checks. Subtracting the tables of two versions leaves the digests that differ, and peeling
 recovers them: a cell of count 1 or -1 whose check fits names a digest, which is taken out of its
 other cells, until all are empty. If that fails, it is repeated larger: the digests are dealt to
-as many tables as their number asks for, so the work stays in proportion to it, and a table that
+as many tables as their number asks for, by halving, so the work stays close to it, and a table that
 fails again is repeated with more cells; should even that fail, the few digests of that table are
 compared directly. The number of recovered digests and the sizes give the likeness: shared over
 all distinct paragraphs.
@@ -120,18 +120,22 @@ _TAKEN = "array<struct<k:bigint,h:bigint,s:int,i0:int,i1:int,i2:int>>"
 def likeness(keys_a: Column, keys_b: Column, table_a: Column, table_b: Column) -> Column:
     """Shared over all distinct paragraphs, from peeling, the given tables first."""
     both = F.size(keys_a) + F.size(keys_b)
-    tables = F.greatest(F.ceil(both / DEALT), F.lit(1)).cast("int")
+    # halved again and again by a bit of the digest, until a table holds about DEALT of them
+    halvings = F.greatest(F.ceil(F.log2(both / DEALT)), F.lit(1)).cast("int")
 
-    def dealt(keys: Column, t: Column) -> Column:
-        return F.filter(keys, lambda k: F.pmod(F.xxhash64(k, F.lit(77)), tables) == t)
+    def dealt(keys: Column) -> Column:
+        def halved(tables: Column, bit: Column) -> Column:
+            return F.flatten(F.transform(tables, lambda x: F.array(
+                F.filter(x, lambda k: F.getbit(k, bit) == 0), F.filter(x, lambda k: F.getbit(k, bit) == 1))))
+
+        return F.aggregate(F.sequence(F.lit(1), halvings), F.array(keys), halved)
 
     def differing(x: Column, y: Column) -> Column:
         tried = [F.array_size(peel(subtract(table(x, F.lit(n)), table(y, F.lit(n))), F.lit(n))) for n in LARGER]
         return F.coalesce(*tried, F.size(F.array_except(x, y)) + F.size(F.array_except(y, x)))
 
-    retried = F.aggregate(
-        F.sequence(F.lit(0), tables - 1), F.lit(0),
-        lambda n, t: n + bound(dealt(keys_a, t), lambda x: bound(dealt(keys_b, t), lambda y: differing(x, y))))
+    each = F.zip_with(dealt(keys_a), dealt(keys_b), differing)
+    retried = F.aggregate(each, F.lit(0), lambda n, x: n + x)
     differ = F.coalesce(F.array_size(peel(subtract(table_a, table_b), F.lit(CELLS))), retried)
     return F.when(both == 0, F.lit(1.0)).otherwise((both - differ) / (both + differ))
 

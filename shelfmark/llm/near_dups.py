@@ -265,4 +265,5 @@ def keep_one_of_each(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_i
     an id with different texts stay or go together."""
     kept = link(docs, percent=percent, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("kept_id"))
     kept = materialise(kept.distinct())
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([id_col, text_col])
+    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.kept_id"))  # the rows may have columns of these names
+    return docs.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates([id_col, text_col])

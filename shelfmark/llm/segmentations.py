@@ -19,7 +19,7 @@ the text back, but for U+2581, which stands for a space.
 
 Defined cases: null and empty texts have one segmentation, without pieces; a text with fewer than
 ``k`` segmentations gives them all, with inclusion 0 (certain); rows that repeat a key and a text
-draw alike; a null key draws as key 0; an empty table gives none; other columns are ignored.
+draw alike; a null key draws as key 0, a key that is no whole number as its hash; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +27,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from shelfmark.llm.common import U64, mix, random_words
 from shelfmark.llm.token_counts import MARK, pieces_of, run_pattern
 
 #: Characters of the texts that are searched at once, about; a longer text goes alone.
 GROUP_CHARS = 1 << 19
+#: A task that has made lattices of more states than this begins them anew.
+MOST_STATES = 1 << 20
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -109,34 +112,42 @@ def vocabulary_for(model: str, sharpness: float) -> Vocabulary:
     return Vocabulary(model, sharpness)
 
 
-class Search:
-    """The search over a group of texts."""
+class Numbers(dict):
+    """Numbers of runs in the order they appear."""
 
-    def __init__(self, vocabulary: Vocabulary, texts: list[str], keys: np.ndarray):
-        self.byte_id = np.array([vocabulary.byte_id[b] for b in range(256)], np.int64)
-        runs = [vocabulary.runs(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        number = {r: i for i, r in enumerate(dict.fromkeys(chain.from_iterable(runs)))}
-        self.run = np.fromiter(map(number.__getitem__, chain.from_iterable(runs)), np.int64)
-        self.first = np.concatenate([[0], np.cumsum([len(rs) for rs in runs])]).astype(np.int64)
-        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self._lattices(vocabulary, list(number))
-        self.total = self.sums[self.base[self.run + 1] - 1] if len(self.run) else np.zeros(0)
-        #: log sum of all runs of the text before this one
-        before = np.cumsum(self.total) - self.total
-        self.before = before - (before[self.first[self.text]] if len(before) else 0)
-        self.whole = np.bincount(self.text, self.total, len(texts))
-        self.place = np.arange(len(self.run)) - self.first[self.text]
-        with np.errstate(over="ignore"):
-            self.key = mix(keys.astype(np.int64).view(U64) + U64(0x51ED27))
+    def __missing__(self, run: str) -> int:
+        self[run] = number = len(self)
+        return number
+
+
+class Lattices:
+    """The lattices of the runs seen so far, each made once: a state for each place of a run, edges
+    ordered by the state they end in (``low`` to ``high``), with start, log weight, the log sum of
+    the paths through them, their number within the run, and their piece (a character that is no
+    piece: its code, negative); and the log sums of the paths to each state."""
 
-    def _lattices(self, vocabulary: Vocabulary, runs: list[str]) -> None:
-        """The lattices of all distinct runs: a state for each place of a run, edges ordered by the
-        state they end in (``low`` to ``high``), with start, log weight and piece (a character
-        that is no piece: its code, negative), and the log sums of the paths to each state."""
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.numbers = Numbers()
+        self.room: dict[str, np.ndarray] = {}
+        self.base = np.zeros(1, np.int64)
+        self.low = self.high = self.start = self.piece = self.inner = np.zeros(0, np.int64)
+        self.weight = self.through = self.sums = np.zeros(0)
+
+    def numbered(self, runs: list[list[str]]) -> np.ndarray:
+        """The numbers of all runs, whose lattices are then held."""
+        known = len(self.numbers)
+        found = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(runs)), np.int64)
+        if len(self.numbers) > known:
+            self._add(list(islice(self.numbers, known, None)))
+        return found
+
+    def _add(self, runs: list[str]) -> None:
+        vocabulary = self.vocabulary
         codes = codes_of("".join(runs))
         sizes = np.array([len(r) for r in runs], np.int64)
         ends = np.cumsum(sizes)
-        self.base = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
+        base = np.concatenate([[0], np.cumsum(sizes + 1)]).astype(np.int64)
         of = np.repeat(np.arange(len(runs)), sizes)
         state = np.arange(len(codes)) + of  # the state before each character
         room = ends[of] - np.arange(len(codes)) if len(runs) else np.zeros(0, np.int64)
@@ -173,22 +184,61 @@ class Search:
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         stop = join(stops, np.int64)
         order = np.argsort(stop, kind="stable")
-        self.start, self.weight, self.piece = join(starts, np.int64)[order], join(weights, float)[order], join(pieces, np.int64)[order]
-        n = int(self.base[-1])
+        start, weight, piece = join(starts, np.int64)[order], join(weights, float)[order], join(pieces, np.int64)[order]
+        n = int(base[-1])
         bounds = np.searchsorted(stop[order], np.arange(n + 1))
-        self.low, self.high = bounds[:-1], bounds[1:]
-        self.sums = np.zeros(n)
+        low, high = bounds[:-1], bounds[1:]
+        sums = np.zeros(n)
         longest_first = np.argsort(-sizes, kind="stable")
         held = sizes[longest_first]
         for place in range(1, int(sizes.max(initial=0)) + 1):
-            here = self.base[longest_first[: np.searchsorted(-held, -place, "right")]] + place
-            counts = self.high[here] - self.low[here]
+            here = base[longest_first[: np.searchsorted(-held, -place, "right")]] + place
+            counts = high[here] - low[here]
             begin = np.cumsum(counts) - counts
             group = np.repeat(np.arange(len(here)), counts)
-            edge = self.low[here][group] + np.arange(len(group)) - begin[group]
-            terms = self.sums[self.start[edge]] + self.weight[edge]
+            edge = low[here][group] + np.arange(len(group)) - begin[group]
+            terms = sums[start[edge]] + weight[edge]
             top = np.maximum.reduceat(terms, begin)
-            self.sums[here] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), begin))
+            sums[here] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), begin))
+        states, edges = self.base[-1], len(self.start)
+        inner = np.arange(len(start)) - np.repeat(low[base[:-1]], high[base[1:] - 1] - low[base[:-1]])
+        for name, more in (
+            ("base", base[1:] + states), ("low", low + edges), ("high", high + edges), ("start", start + states), ("piece", piece),
+            ("inner", inner), ("weight", weight), ("through", sums[start] + weight), ("sums", sums),
+        ):
+            self._append(name, more)
+
+    def _append(self, name: str, more: np.ndarray) -> None:
+        """Add to an array in place; its room doubles when it is used up."""
+        held, room = getattr(self, name), self.room.get(name)
+        size = len(held) + len(more)
+        if room is None or size > len(room):
+            self.room[name] = room = np.empty(max(size, 2 * len(held)), held.dtype)
+            room[: len(held)] = held
+        room[len(held) : size] = more
+        setattr(self, name, room[:size])
+
+
+class Search:
+    """The search over a group of texts."""
+
+    def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
+        vocabulary = lattices.vocabulary
+        self.byte_id = np.array([vocabulary.byte_id[b] for b in range(256)], np.int64)
+        runs = [vocabulary.runs(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.run = lattices.numbered(runs)
+        for name in ("base", "low", "high", "start", "piece", "inner", "weight", "through", "sums"):
+            setattr(self, name, getattr(lattices, name))
+        self.first = np.concatenate([[0], np.cumsum([len(rs) for rs in runs])]).astype(np.int64)
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        self.total = self.sums[self.base[self.run + 1] - 1] if len(self.run) else np.zeros(0)
+        #: log sum of all runs of the text before this one
+        before = np.cumsum(self.total) - self.total
+        self.before = before - (before[self.first[self.text]] if len(before) else 0)
+        self.whole = np.bincount(self.text, self.total, len(texts))
+        self.place = np.arange(len(self.run)) - self.first[self.text]
+        with np.errstate(over="ignore"):
+            self.key = mix(keys.astype(np.int64).view(U64) + U64(0x51ED27))
 
     def pieces(self, path: np.ndarray) -> np.ndarray:
         """Identifiers of a path; characters that are no piece become their byte pieces."""
@@ -203,15 +253,20 @@ class Search:
         out[out < 0] = self.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]
         return out
 
-    def _gumbel(self, text: np.ndarray, place: np.ndarray, inner: np.ndarray, path: int) -> np.ndarray:
+    def _seeds(self, text: np.ndarray, place: np.ndarray, path: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix(self.key[text] + mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(path + 1)))
+
+    @staticmethod
+    def _gumbel(seeds: np.ndarray, inner: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            h = mix(self.key[text] + mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + inner.astype(U64) * U64(0xD1B54A32D192ED03) + U64(path + 1)))
+            h = mix(seeds + inner.astype(U64) * U64(0xD1B54A32D192ED03))
         return -np.log(-np.log(((h >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)))
 
     def roots(self) -> np.ndarray:
         """The perturbed value of each whole text: that of its first path."""
         n = len(self.whole)
-        return self.whole + self._gumbel(np.arange(n), np.full(n, (1 << 40)), np.zeros(n, np.int64), 0)
+        return self.whole + self._gumbel(self._seeds(np.arange(n), np.full(n, 1 << 40), 0), np.zeros(n, np.int64))
 
     def complete(self, occurrence: np.ndarray, state: np.ndarray, value: np.ndarray, decided: np.ndarray, path: int, k: int) -> tuple:
         """Draw the rest of paths. ``occurrence, state``: runs to walk back through and where in
@@ -222,60 +277,67 @@ class Search:
         owner, at = occurrence, state
         inner = np.zeros(len(owner))
         own = np.zeros(len(self.run))
+        seeds, bottom = self._seeds(self.text[owner], self.place[owner], path), self.base[self.run[owner]]
         steps, step = [], 0
         while len(owner):
-            more = at > self.base[self.run[owner]]
-            owner, at, inner = owner[more], at[more], inner[more]
+            more = np.flatnonzero(at > bottom)
+            if len(more) < len(owner):
+                owner, at, inner, seeds, bottom = owner[more], at[more], inner[more], seeds[more], bottom[more]
             if not len(owner):
                 break
-            counts = self.high[at] - self.low[at]
+            low = self.low[at]
+            counts = self.high[at] - low
             group = np.repeat(np.arange(len(owner)), counts)
             begin = np.cumsum(counts) - counts
-            edge = self.low[at][group] + np.arange(len(group)) - begin[group]
-            local = self.sums[self.start[edge]] + self.weight[edge]
-            drawn = local + self._gumbel(self.text[owner][group], self.place[owner][group], edge - self.low[self.base[self.run[owner]]][group], path)
+            edge = (low - begin)[group] + np.arange(len(group))
+            drawn = self.through[edge] + self._gumbel(seeds[group], self.inner[edge])
             top = np.maximum.reduceat(drawn, begin)
             best = np.flatnonzero(drawn == top[group])
-            best = best[np.unique(group[best], return_index=True)[1]]
-            steps.append((owner, step, edge[best], group, edge, drawn, top, inner))
-            own[owner] += self.weight[edge[best]]
-            inner = inner + self.weight[edge[best]]
-            at = self.start[edge[best]]
+            if len(best) > len(owner):
+                best = best[np.unique(group[best], return_index=True)[1]]
+            taken = edge[best]
+            weight = self.weight[taken]
+            other = np.ones(len(edge), bool)
+            other[best] = False
+            other = np.flatnonzero(other)
+            steps.append((owner, step, taken, group[other], edge[other], drawn[other], top, inner))
+            own[owner] += weight
+            inner = inner + weight
+            at = self.start[taken]
             step += 1
         # weight decided after each run: what is drawn for the later runs of the same text
         walked = np.zeros(len(self.run))
         walked[occurrence] = own[occurrence]
         running = np.cumsum(walked)
         after = running[self.first[1:][self.text] - 1] - running if len(running) else running
-        chosen, siblings = [], []
-        for owner, number, edges, group, edge, drawn, top, inner in steps:
-            chosen.append((owner, np.full(len(owner), number), edges))
-            shift = self.before[owner] + after[owner] + decided[self.text[owner]] + inner
-            other = np.flatnonzero(edge != edges[group])
-            of = group[other]
-            g, z, goal, shift = drawn[other], top[of], value[self.text[owner]][of], shift[of]
-            v = goal - (g + shift) + np.log1p(-np.exp(np.minimum(g - z, -1e-12)))
-            conditioned = goal - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-            siblings.append((owner[of], edge[other], conditioned, np.full(len(other), number)))
-        join = lambda parts, n: [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * n
-        return join(chosen, 3), self._foremost(siblings, k)
-
-    def _foremost(self, siblings: list, k: int) -> tuple:
-        """The siblings of all steps without those that ``k + 1`` others of their text precede for
-        certain: below the ``k + 1``-th of the largest values of the steps."""
-        n = len(self.whole)
-        best = np.full((n, k + 1), -np.inf)
-        for at, _, g, _ in siblings:
-            if len(at):
-                texts = self.text[at]  # in order
+        # A sibling drawn at g takes -log(e^-goal + e^-g - e^-top), all shifted alike: the smaller the
+        # difference e^-g - e^-top (here in units of e^-goal), the earlier it comes.
+        chosen, waiting = [], []
+        for owner, number, taken, group, edge, drawn, top, inner in steps:
+            chosen.append((owner, np.full(len(owner), number), taken))
+            text = self.text[owner]
+            least = value[text] - (self.before[owner] + after[owner] + decided[text] + inner)
+            with np.errstate(over="ignore", invalid="ignore"):
+                behind = np.exp(least[group] - drawn) - np.exp(least - top)[group]
+            waiting.append((owner, number, group, edge, drawn, top, least, np.nan_to_num(behind, nan=np.inf), text))
+        nearest = np.full((len(self.whole), k + 1), np.inf)
+        for _, _, group, _, _, _, _, behind, text in waiting:
+            if len(group):
+                texts = text[group]  # in order
                 begin = np.flatnonzero(np.diff(texts, prepend=-1))
                 mine = texts[begin]
-                best[mine] = np.sort(np.column_stack([best[mine], np.maximum.reduceat(g, begin)]), axis=1)[:, 1:]
-        least, kept = best[:, 0], []
-        for at, edge, g, number in siblings:
-            hold = np.flatnonzero(g >= least[self.text[at]])
-            kept.append((at[hold], edge[hold], g[hold], number[hold]))
-        return [np.concatenate(c) for c in zip(*kept)] if kept else [np.zeros(0, np.int64)] * 4
+                nearest[mine] = np.sort(np.column_stack([nearest[mine], np.minimum.reduceat(behind, begin)]), axis=1)[:, : k + 1]
+        # those that k + 1 others of their text precede for certain are left out, with room for rounding
+        reach = nearest[:, k] * (1 + 1e-6) + 1e-9
+        siblings = []
+        for owner, number, group, edge, drawn, top, least, behind, text in waiting:
+            hold = np.flatnonzero(behind <= reach[text][group])
+            of = group[hold]
+            goal, g, z = value[text[of]], drawn[hold], top[of]
+            v = least[of] - g + np.log1p(-np.exp(np.minimum(g - z, -1e-12)))
+            siblings.append((owner[of], edge[hold], goal - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v))), np.full(len(hold), number)))
+        join = lambda parts, n: [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * n
+        return join(chosen, 3), join(siblings, 4)
 
     def paths(self, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
         """For each text its paths in order: perturbed value, log weight, edges from the start of
@@ -357,38 +419,45 @@ def sample_segmentations(
     """``doc_id, sample, ids, n_pieces, log_p, inclusion, decoded`` for each text and sample (from 1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_for(model, sharpness)
+        lattices = Lattices(vocabulary)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            keys = batch.column(0).fill_null(0).to_numpy() if pa.types.is_integer(batch.column(0).type) else np.zeros(len(texts), np.int64)
-            ids = batch.column(0).to_pylist()
+            texts = [x or "" for x in batch.column(2).to_pylist()]
+            keys = batch.column(1).fill_null(0).to_numpy()
+            ids = batch.column(0)
             ends = np.cumsum([len(t) for t in texts])
             a = 0
             while a < len(texts):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GROUP_CHARS, "right")))
-                yield _group(vocabulary, ids[a:b], keys[a:b] * 1_000_003 + seed, texts[a:b], k)
+                if lattices.base[-1] > MOST_STATES:
+                    lattices = Lattices(vocabulary)
+                yield _group(lattices, ids[a:b], keys[a:b] * 1_000_003 + seed, texts[a:b], k)
                 a = b
 
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, sample int, ids array<int>, n_pieces long, log_p double, inclusion double, decoded string"
-    id_type = pa.int64() if docs.schema[id_col].dataType.simpleString() == "bigint" else None
+    id_type = docs.schema[id_col].dataType
+    schema = f"doc_id {id_type.simpleString()}, sample int, ids array<int>, n_pieces long, log_p double, inclusion double, decoded string"
+    # a number is its own key, any other id is hashed to one
+    key = F.col(id_col).cast("long") if isinstance(id_type, IntegralType) else F.xxhash64(id_col)
 
-    def _group(vocabulary: Vocabulary, names: list, keys: np.ndarray, texts: list[str], k: int) -> pa.RecordBatch:
-        search = Search(vocabulary, texts, keys)
+    def _group(lattices: Lattices, names: pa.Array, keys: np.ndarray, texts: list[str], k: int) -> pa.RecordBatch:
+        search = Search(lattices, texts, keys)
         out = []
-        for name, found, whole in zip(names, search.paths(k), search.whole):
+        for row, (found, whole) in enumerate(zip(search.paths(k), search.whole)):
             *paths, last = found if len(found) > 1 or found[0][2] is None else [*found, (-math.inf, 0.0, None)]
             for number, (_, weight, path) in enumerate([p for p in paths if p[2] is not None], 1):
                 pieces = search.pieces(path)
                 log_p = weight - float(whole)
                 include = 0.0 if last[0] == -math.inf else math.log(-math.expm1(-math.exp(min(weight - last[0], 50.0))) or 5e-324)
-                out.append((name, number, pieces, len(pieces), log_p, include, vocabulary.decode(pieces)))
+                out.append((row, number, pieces, len(pieces), log_p, include, lattices.vocabulary.decode(pieces)))
         columns = list(zip(*out)) if out else [()] * 7
-        types = (id_type, pa.int32(), None, pa.int64(), pa.float64(), pa.float64(), pa.string())
+        types = (pa.int32(), None, pa.int64(), pa.float64(), pa.float64(), pa.string())
         spans = np.cumsum([0, *map(len, columns[2])]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *columns[2]]).astype(np.int32)
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) if t else pa.ListArray.from_arrays(spans, flat) for c, t in zip(columns, types)], names=["doc_id", "sample", "ids", "n_pieces", "log_p", "inclusion", "decoded"])
+            [names.take(pa.array(columns[0], pa.int64())),
+             *(pa.array(list(c), t) if t else pa.ListArray.from_arrays(spans, flat) for c, t in zip(columns[1:], types))], names=["doc_id", "sample", "ids", "n_pieces", "log_p", "inclusion", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, schema.replace(schema.split(",")[0], "doc_id long"))
+    key = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(key)
+    return docs.select(F.col(id_col), key.alias("__key"), F.col(text_col)).mapInArrow(run, schema)
 
 
 def digests(samples: DataFrame) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import public_tokenizers
 
-#: Folder of the public vocabulary files.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The vocabulary file of the token counts and segmentations, where the machine keeps it.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: A document is rejected below this score.
 KEPT_SCORE = 0.3

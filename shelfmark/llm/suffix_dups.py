@@ -345,14 +345,18 @@ def _cut_document(data: np.ndarray, gone: np.ndarray) -> tuple:
     return len(data), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), kept, spans
 
 
+#: Without these formats timestamps travel as milliseconds.
+_MICROSECONDS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def without_repeats(docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with the remaining text of each row and its length in ``chars_col``, if there is such
     a column. Rows of which nothing is left go; bytes of a character that was cut become U+FFFD."""
     others = [c for c in docs.columns if c != text_col]
     schema = docs.select(*others).schema
-    found = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col, carry=F.to_json(F.struct(*others), {"ignoreNullFields": "false"}))
+    found = remove_repeats(docs, length=length, id_col=id_col, text_col=text_col, carry=F.to_json(F.struct(*others), {"ignoreNullFields": "false"} | _MICROSECONDS))
     found = found.where((F.octet_length("kept") > 0) | (F.col("n_bytes") == 0))
-    row = F.from_json("carried", schema)
+    row = F.from_json("carried", schema, _MICROSECONDS)
     text = F.make_valid_utf8(F.col("kept").cast("string"))
     out = found.select(row.alias("row"), text.alias("kept_text"))
     columns = {c: F.col(f"row.`{c}`") for c in others} | {text_col: F.col("kept_text")}

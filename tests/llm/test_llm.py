@@ -254,10 +254,27 @@ def test_fingerprints_equal_brute_force(docs):
     assert got[0]["fingerprint"] == got[1]["fingerprint"] != got[2]["fingerprint"]
 
 
+def test_fingerprints_of_texts_with_very_many_lines(spark):
+    """Every third line differs; a text of 60,000 lines takes little more than its share."""
+    import time
+
+    took = {}
+    for n in (6_000, 60_000):
+        own = "\n".join(f"line {i} of the text" for i in range(n))
+        other = "\n".join(f"line {i} of the text" if i % 3 else f"other {i}" for i in range(n))
+        pair = spark.createDataFrame([(1, own), (2, other)], "doc_id long, text string")
+        start = time.time()
+        got = {r["doc_id"]: r["near_next"] for r in fingerprints.fingerprints(pair).collect()}
+        took[n] = time.time() - start
+        kept = n - -(-n // 3)
+        assert got[1] == got[2] == pytest.approx(kept / (2 * n - kept))
+    assert took[60_000] < 60 + 12 * took[6_000]
+
+
 def test_segmentations_are_a_sample_without_replacement(docs, none):
     vocabulary = segmentations.vocabulary_for(PIECES, 0.3)
     n, text = 4000, "abc d"
-    search = segmentations.Search(vocabulary, [text] * n, np.arange(n))
+    search = segmentations.Search(segmentations.Lattices(vocabulary), [text] * n, np.arange(n))
     found = search.paths(2)
     p, first, second = {}, Counter(), Counter()
     for paths in found:
@@ -274,6 +291,30 @@ def test_segmentations_are_a_sample_without_replacement(docs, none):
     assert segmentations.sample_segmentations(none, PIECES).count() == 0
 
 
+def test_segmentations_of_ids_that_are_no_numbers(spark):
+    rows = [("a", "one text"), ("b", "one text"), ("a", "one text"), (None, "one text"), ("c", None)]
+    got = segmentations.sample_segmentations(spark.createDataFrame(rows, "doc_id string, text string"), PIECES).collect()
+    assert {r["doc_id"] for r in got} == {"a", "b", "c", None} and all(r["decoded"] in ("one text", "") for r in got)
+    of = lambda i: sorted((r["sample"], tuple(r["ids"])) for r in got if r["doc_id"] == i)
+    assert len(of("a")) == 4 and len(set(of("a"))) == 2
+
+
+def test_stages_keep_clashing_columns_and_microseconds(spark):
+    rows = [(i, f"document {i} " + " ".join(f"w{i * 31 + j}" for j in range(40)), i, "x") for i in range(12)]
+    docs = spark.createDataFrame(rows + [(50, *rows[3][1:])], "doc_id long, text string, kept_id long, carried string")
+    docs = docs.withColumns({
+        "at": F.timestamp_micros(F.lit(1_700_000_000_123_456) + F.col("doc_id")), "plain": F.lit("2024-01-02 03:04:05.678901").cast("timestamp_ntz"),
+        "kept": F.lit(True), "n_bytes": F.lit(0.1), "blob": F.lit(b"\x00\xff")})
+    kept = near_dups.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
+    cut = suffix_dups.without_repeats(docs)
+    assert cut.columns == docs.columns
+    want = {r["doc_id"]: r for r in docs.collect()}
+    got = cut.collect()
+    assert {r["doc_id"] for r in got} == set(range(12)) and all(
+        r[c] == want[r["doc_id"]][c] for r in got for c in docs.columns if c != "text")
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
