@@ -21,8 +21,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents whose score reaches ``KEPT_SCORE``; the labels of the data set teach the scores."""
     stats = stored(quality.document_statistics(docs))
     model = quality.fit(stats, read_table(spark, sf_dir, "labels"))
-    scored = quality.score_texts(docs, model, into="quality_score")
-    return scored.where(F.col("quality_score") >= KEPT_SCORE).select(*docs.columns)
+    score = "__quality_score"  # a name that the documents may not have
+    return quality.score_texts(docs, model, into=score).where(F.col(score) >= KEPT_SCORE).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
