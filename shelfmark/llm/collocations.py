@@ -4,8 +4,8 @@
    by level.
 2. A pass over all documents counts the proposed phrases and their negative border: every n-gram of
    which both shorter parts (without the last, without the first word) are proposed. For single
-   words the border is every other word. Counts are summed by 64-bit key, so a colliding key can
-   only look too frequent: what stays below the least count is settled.
+   words the border is every other word. Counts are summed by a short key, so that little moves;
+   a colliding key can only look too frequent, and what stays below the least count is settled.
 3. A border phrase that is frequent after all is a failure: its longer neighbours may be missing.
    The expansion pass adds them, taking every phrase it adds as proposed as well, whence the border
    is closed after it: a frequent phrase has frequent parts, each of them kept or added. The same
@@ -39,6 +39,8 @@ from shelfmark.session import stored
 #: Words of a phrase at most (the keys have room for four).
 LONGEST = 4
 FILTER_BITS = 1 << 25
+#: Bits of the keys that the first pass counts by.
+KEY_BITS = 40
 #: One of so many documents is sampled.
 SAMPLED = 8
 #: Words that a task holds before it counts and hands on what it has.
@@ -93,7 +95,7 @@ def _keys(lang: str, words: list[np.ndarray]) -> np.ndarray:
     out = np.full(len(words[0]), xxhash.xxh3_64_intdigest(lang.encode()), U64)
     for w in words:
         out = mix(out * U64(0x9E3779B97F4A7C15) + w)
-    return (out & ~U64(3)) | U64(len(words) - 1)
+    return ((out >> U64(64 - KEY_BITS)) & ~U64(3)) | U64(len(words) - 1)
 
 
 class Filters:
