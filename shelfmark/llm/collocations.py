@@ -43,8 +43,8 @@ FILTER_BITS = 1 << 25
 KEY_BITS = 40
 #: One of so many documents is sampled.
 SAMPLED = 8
-#: Words that a task holds before it counts and hands on what it has.
-WORDS_AT_ONCE = 2 << 20
+#: Words that a task holds before it counts and hands on what it has, by key and by text.
+KEYED_AT_ONCE, TEXT_AT_ONCE = 2 << 20, 1 << 19
 #: Distinct words that a task tells apart before it does so.
 WORDS_APART = 1 << 19
 
@@ -85,8 +85,8 @@ class Words:
         self.sequences.setdefault(lang, []).append(found)
         self.held += len(found)
 
-    def full(self) -> bool:
-        return self.held >= WORDS_AT_ONCE or len(self.texts) >= WORDS_APART
+    def full(self, at_once: int) -> bool:
+        return self.held >= at_once or len(self.texts) >= WORDS_APART
 
 
 def _keys(lang: str, words: list[np.ndarray]) -> np.ndarray:
@@ -171,15 +171,15 @@ def _counted(
             live, open_ = lives[part], opened[part]
 
 
-def _over(texts: DataFrame, schema: str, records: Callable[[Words], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``records`` of the words of ``texts`` (``lang, text``), as many as a task holds at a time."""
+def _over(texts: DataFrame, schema: str, at_once: int, records: Callable[[Words], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``records`` of the words of ``texts`` (``lang, text``), about ``at_once`` words at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Words()
         for batch in batches:
             flat, offsets = flat_texts(batch.column(1))
             for i, lang in enumerate(batch.column(0).to_pylist()):
                 held.add(lang, flat[offsets[i] : offsets[i + 1]].tobytes())
-                if held.full():
+                if held.full(at_once):
                     yield from records(held)
                     held = Words()
         yield from records(held)
@@ -194,7 +194,7 @@ def count_keys(texts: DataFrame, longest: int, proposed: Filters, least_size: in
             if size >= least_size:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], names=["key", "f"])
 
-    return _over(texts, "key bigint, f bigint", records).groupBy("key").agg(F.sum("f").alias("f"))
+    return _over(texts, "key bigint, f bigint", KEYED_AT_ONCE, records).groupBy("key").agg(F.sum("f").alias("f"))
 
 
 def count_phrases(texts: DataFrame, longest: int, proposed: Filters, kept: Filters) -> DataFrame:
@@ -212,7 +212,7 @@ def count_phrases(texts: DataFrame, longest: int, proposed: Filters, kept: Filte
                  phrase.cast(pa.string()), pa.array(times)],
                 names=["lang", "size", "phrase", "f"])
 
-    rows = _over(texts, "lang string, size int, phrase string, f bigint", records)
+    rows = _over(texts, "lang string, size int, phrase string, f bigint", TEXT_AT_ONCE, records)
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
 
 
