@@ -2,7 +2,8 @@
 
 A page is read as a row of text blocks: block-level tags end a block, other tags do not, and
 scripts, styles, comments and markup are no text. Each block is described by its words and link
-density and those of the blocks before and after it, and by what encloses it: an article, or
+density and those of the blocks before and after it, and by what encloses it: an article (an
+element or a name like ``post-body``, or where a page has neither, one like ``main`` or ``content``), or
 parts that surround one (menus, headers, footers, sidebars, notices, adverts, forms, comments) by
 their element or by a class or id that names them as a whole. What holds the first article of a page
 does not surround it by its name.
@@ -21,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ NO_TEXT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "
 MAIN_TAGS = frozenset(("article", "main"))
 AROUND_TAGS = frozenset("nav header footer aside form menu dialog".split())
 AROUND_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright "
+    "ad ads adsense adslot adunit advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright "
     "disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager "
     "pagination popup promo promoted related reply replies respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar widget".split())
@@ -45,6 +47,9 @@ BESIDE_WORDS = frozenset(
     "area author bar block body box button buttons container entry inner item items link links list message post "
     "posts section site text top bottom wrap wrapper".split())
 MAIN_WORDS = frozenset(("article", "articlebody", "entry", "post", "story"))
+#: Names that mark the article where nothing above does: ``id=main``, ``class="main-content"``.
+WEAK_WORDS = frozenset(("main", "content", "maincontent", "primary", "bodytext"))
+FOREIGN = frozenset(("svg", "math"))
 #: Opening tags that end an open paragraph; elements that may stand in a head; elements without
 #: text that can't hold an article, so that one ends them where their own end is missing.
 ENDS_P = frozenset(
@@ -57,13 +62,14 @@ NO_ARTICLE = frozenset("svg math iframe select button object canvas head".split(
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S | re.I)
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Features of a block, in the order of the labelled table.
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "around", "page_has_main", "points")
 
-#: Labelled blocks: words, link density of the block, of the one before, of the one after (words and
+#: Labelled blocks (a bounded table, written by hand): words, link density of the block, of the one before, of the one after (words and
 #: density each); inside an article; inside surrounding parts; page marks its article; ends in a
 #: full stop; main text or not.
 LABELLED = np.array([
@@ -85,7 +91,21 @@ LABELLED = np.array([
     # short crumbs of pages that mark no article
     (2, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (5, 0.2, 3, 0.6, 4, 1.0, 0, 0, 0, 0, 0),
     (7, 0.0, 5, 0.9, 0, 0.0, 0, 0, 0, 1, 0), (6, 0.0, 8, 0.7, 1, 1.0, 0, 0, 0, 0, 0),
-    # headings and paragraphs of marked articles
+    # menus, footers, notices and reader comments of pages that mark no article, long ones too
+    (90, 0.0, 3, 1.0, 60, 0.0, 0, 1, 0, 1, 0), (95, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (70, 0.1, 40, 0.0, 55, 0.0, 0, 1, 0, 1, 0),
+    (120, 0.0, 90, 0.0, 80, 0.0, 0, 1, 0, 1, 0), (30, 0.0, 20, 0.0, 25, 0.0, 0, 1, 0, 0, 0), (16, 0.2, 50, 0.0, 18, 0.1, 0, 1, 0, 1, 0),
+    (9, 0.0, 60, 0.0, 12, 0.0, 0, 1, 0, 0, 0), (40, 0.0, 35, 0.0, 30, 0.0, 0, 1, 0, 1, 0),
+    # long lists of links where no article is marked
+    (90, 1.0, 0, 0.0, 60, 0.0, 0, 0, 0, 1, 0), (60, 0.9, 70, 0.0, 0, 0.0, 0, 0, 0, 0, 0), (45, 0.75, 20, 1.0, 80, 0.0, 0, 0, 0, 1, 0),
+    (120, 0.95, 90, 0.0, 50, 0.0, 0, 0, 0, 0, 0), (25, 1.0, 60, 0.0, 30, 1.0, 0, 0, 0, 0, 0),
+    # lists of links inside a marked article: long, or beside other linked blocks
+    (90, 1.0, 60, 0.0, 40, 0.0, 1, 0, 1, 0, 0), (60, 0.95, 80, 0.0, 0, 0.0, 1, 0, 1, 1, 0), (40, 0.9, 30, 0.0, 50, 0.0, 1, 0, 1, 0, 0),
+    (12, 1.0, 10, 1.0, 15, 1.0, 1, 0, 1, 0, 0), (6, 1.0, 12, 1.0, 8, 1.0, 1, 0, 1, 0, 0), (9, 1.0, 7, 1.0, 30, 0.0, 1, 0, 1, 0, 0),
+    (5, 1.0, 50, 0.0, 6, 1.0, 1, 0, 1, 0, 0), (8, 0.9, 9, 1.0, 5, 0.9, 1, 0, 1, 1, 0), (30, 1.0, 25, 1.0, 20, 1.0, 1, 0, 1, 0, 0),
+    # headings and paragraphs of marked articles; a heading or a short line may be one link
+    (6, 1.0, 0, 0.0, 60, 0.0, 1, 0, 1, 0, 1), (9, 1.0, 5, 0.0, 80, 0.0, 1, 0, 1, 0, 1), (12, 1.0, 4, 0.0, 35, 0.0, 1, 0, 1, 0, 1),
+    (4, 1.0, 40, 0.0, 50, 0.0, 1, 0, 1, 1, 1), (35, 0.5, 60, 0.0, 40, 0.0, 1, 0, 1, 1, 1), (80, 0.3, 70, 0.0, 60, 0.1, 1, 0, 1, 1, 1),
+    (50, 0.0, 9, 1.0, 70, 0.0, 1, 0, 1, 1, 1), (28, 0.0, 40, 0.0, 12, 1.0, 1, 0, 1, 1, 1), (14, 0.0, 6, 1.0, 8, 1.0, 1, 0, 1, 1, 1),
     (8, 0.0, 12, 0.0, 40, 0.0, 1, 0, 1, 0, 1), (10, 0.0, 6, 0.0, 20, 0.0, 1, 0, 1, 0, 1), (1, 0.0, 10, 0.0, 60, 0.0, 1, 0, 1, 1, 1),
     (3, 0.0, 80, 0.0, 11, 0.0, 1, 0, 1, 1, 1), (40, 0.0, 10, 0.0, 90, 0.0, 1, 0, 1, 1, 1), (120, 0.05, 40, 0.0, 80, 0.1, 1, 0, 1, 1, 1),
     (200, 0.0, 120, 0.0, 12, 0.0, 1, 0, 1, 1, 1), (15, 0.4, 90, 0.0, 40, 0.0, 1, 0, 1, 1, 1), (2, 1.0, 60, 0.0, 30, 0.0, 1, 0, 1, 1, 1),
@@ -99,6 +119,34 @@ LABELLED = np.array([
 ])
 
 
+def combinations() -> np.ndarray:
+    """Further labelled blocks, by rule: the same kinds at many lengths and beside many neighbours."""
+    rows = []
+    for words, before, after in product((1, 6, 18, 40, 90, 160), (0, 9, 30, 80), (0, 9, 30, 80)):
+        point = words > 10
+        for in_main, marks in ((0, 0), (0, 1), (1, 1)):
+            # surrounding parts, whatever their length and their links
+            rows += [(words, links, before, 0.0, after, 0.0, in_main, 1, marks, point, 0) for links in (0.0, 0.3, 1.0)]
+        # beside a marked article, and in it: text, lists of links
+        rows.append((words, 0.0, before, 0.0, after, 0.0, 0, 0, 1, point, 0))
+        rows.append((words, 0.1, before, 0.0, after, 0.0, 1, 0, 1, point, 1))
+        if before and after:
+            rows.append((words, 1.0, before, 1.0, after, 1.0, 1, 0, 1, 0, 0))
+            rows.append((words, 1.0, before, 1.0, after, 1.0, 0, 0, 0, 0, 0))
+        if words > 30:
+            rows += [(words, 1.0, before, 0.0, after, 0.0, x, 0, x, point, 0) for x in (0, 1)]
+        else:
+            # the first and the last of such a list; a single link is text of an article only
+            rows += [(words, 1.0, before, x, after, 1.0 - x, 1, 0, 1, 0, 0) for x in (0.0, 1.0) if before and after]
+            rows.append((words, 1.0, before, 0.0, after, 0.0, 0, 0, 0, 0, 0))
+            if 2 < words < 10 and after:
+                rows.append((words, 1.0, before, 0.0, after, 0.0, 1, 0, 1, 0, 1))
+        # sentences where no article is marked
+        if point:
+            rows += [(words, x, before, y, after, 0.0, 0, 0, 0, 1, 1) for x in (0.0, 0.15) for y in (0.0, 1.0)]
+    return np.array(rows, dtype=float)
+
+
 @dataclass
 class Node:
     """A leaf has no feature; ``value`` is its share of main text."""
@@ -110,7 +158,7 @@ class Node:
     high: "Node | None" = None
 
 
-def grow(rows: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(rows: np.ndarray, depth: int = 8, least: int = 2) -> Node:
     """A classification tree by Gini impurity; rows hold features and, last, the label."""
     y = rows[:, -1]
     node = Node(float(y.mean()))
@@ -139,7 +187,7 @@ def decide(node: Node, row: tuple) -> float:
 
 @lru_cache(maxsize=1)
 def default_tree() -> Node:
-    return grow(LABELLED)
+    return grow(np.vstack([LABELLED, combinations()]))
 
 
 @dataclass
@@ -148,6 +196,7 @@ class Block:
     words: int
     links: float
     in_main: bool
+    in_weak: bool
     around: bool
 
 
@@ -169,13 +218,20 @@ def _names_around(name: str) -> bool:
     return bool(parts & AROUND_WORDS) and all(w in AROUND_WORDS or w in BESIDE_WORDS or w.isdigit() for w in parts)
 
 
+@lru_cache(maxsize=4096)
+def _names_weakly(name: str) -> bool:
+    """The name as a whole says main part, as ``main``, ``content`` and ``main-content`` do."""
+    parts = _parts(name)
+    return bool(parts & WEAK_WORDS) and all(w in WEAK_WORDS or w in BESIDE_WORDS or w == "page" or w.isdigit() for w in parts)
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page, in order."""
     found: list[Block] = []
-    stack: list[list] = []  # open elements: name, main, around, around unless an article is inside
+    stack: list[list] = []  # open elements: name, main, around, around unless an article is inside, weakly main
     text: list[str] = []
     linked = 0
-    links = hidden = main = around = 0
+    links = hidden = main = weak = around = 0
     article = False
 
     def close() -> None:
@@ -184,7 +240,7 @@ def blocks_of(html: str) -> list[Block]:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
                 words = joined.count(" ") + 1
-                found.append(Block(joined, words, min(1.0, linked / words), main > 0, around > 0))
+                found.append(Block(joined, words, min(1.0, linked / words), main > 0, weak > 0, around > 0))
             text.clear()
         linked = 0
 
@@ -197,10 +253,10 @@ def blocks_of(html: str) -> list[Block]:
 
     def end(depth: int) -> None:
         """End the open elements from ``depth`` on."""
-        nonlocal links, hidden, main, around
+        nonlocal links, hidden, main, weak, around
         while len(stack) > depth:
-            gone, was_main, was_around, _ = stack.pop()
-            main, around = main - was_main, around - was_around
+            gone, was_main, was_around, _, was_weak = stack.pop()
+            main, weak, around = main - was_main, weak - was_weak, around - was_around
             links, hidden = links - (gone == "a"), hidden - (gone in NO_TEXT)
 
     at = 0
@@ -229,7 +285,8 @@ def blocks_of(html: str) -> list[Block]:
                 without = [i for i, x in enumerate(stack) if x[0] in NO_TEXT]
                 if all(stack[i][0] in NO_ARTICLE for i in without):
                     end(without[0])
-        if name in VOID_TAGS or attributes.endswith("/"):
+        # a slash ends drawings and formulas only, and not as the end of an unquoted value
+        if name in VOID_TAGS or CLOSED.search(attributes) and (name in FOREIGN or hidden and any(x[0] in FOREIGN for x in stack)):
             continue
         if not closing:
             names = _names(attributes)
@@ -242,8 +299,9 @@ def blocks_of(html: str) -> list[Block]:
                     if x[3]:
                         x[2], x[3], around = False, False, around - 1
                 article = around == 0
-            stack.append([name, is_main, is_around, is_around and (name == "form" or name not in AROUND_TAGS)])
-            main, around = main + is_main, around + is_around
+            is_weak = not is_around and name not in ("html", "body", "p") and any(map(_names_weakly, names))
+            stack.append([name, is_main, is_around, is_around and (name == "form" or name not in AROUND_TAGS), is_weak])
+            main, weak, around = main + is_main, weak + is_weak, around + is_around
             links, hidden = links + (name == "a"), hidden + (name in NO_TEXT)
         elif any(x[0] == name for x in stack):
             end(max(i for i, x in enumerate(stack) if x[0] == name))
@@ -260,14 +318,15 @@ def main_text(html: str | None, tree: Node | None = None) -> str:
         return ""
     tree = tree or default_tree()
     blocks = blocks_of(html)
-    has_main = any(b.in_main for b in blocks)
+    marked = any(b.in_main for b in blocks)
+    has_main = marked or any(b.in_weak for b in blocks)
     kept = []
     for i, b in enumerate(blocks):
         before = blocks[i - 1] if i else None
         after = blocks[i + 1] if i + 1 < len(blocks) else None
         row = (
             b.words, b.links, before.words if before else 0, before.links if before else 0.0,
-            after.words if after else 0, after.links if after else 0.0, b.in_main, b.around, has_main, b.text[-1] in ".!?")
+            after.words if after else 0, after.links if after else 0.0, b.in_main if marked else b.in_weak, b.around, has_main, b.text[-1] in ".!?")
         if decide(tree, row) >= 0.5:
             kept.append(b.text)
     return "\n".join(kept)
