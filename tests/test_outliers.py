@@ -47,6 +47,58 @@ def test_lof_equals_brute_force(spark, monkeypatch, cell):
             np.testing.assert_allclose([got[i] for i in mine], want, rtol=1e-9)
 
 
+def test_neighbours_in_one_dense_cell_and_in_many_groups(spark, monkeypatch):
+    """Nearly all points lie in one cell of many blocks; 60 other groups have a k of their own."""
+    monkeypatch.setattr(neighbours, "CELL_POINTS", 400)
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 16)
+    monkeypatch.setattr(neighbours, "SLICE_POINTS", 64)
+    rng = np.random.default_rng(11)
+    dense = np.vstack([rng.normal(size=(300, 3)) * 1e-3, rng.normal(size=(20, 3)) * 50])
+    data, groups, ks = [*dense], [0] * len(dense), [(0, 7)]
+    for g in range(1, 61):
+        n = int(rng.integers(1, 9))
+        data += [*rng.normal(size=(n, 3))]
+        groups += [g] * n
+        ks.append((g, 1 + g % 4))
+    data, groups = np.array(data), np.array(groups)
+    spread, _ = neighbours.distinct_points(points(spark, data, groups), "Cluster", "id", COLUMNS)
+    wanted = spark.createDataFrame(ks, "Cluster int, k int")
+    got = {}
+    for r in neighbours.nearest_neighbours(spread, "Cluster", wanted).collect():
+        got.setdefault(r["point"], []).append((round(r["d"], 9), r["near"]))
+    k_of = dict(ks)
+    for i in range(len(data)):
+        mine = [j for j in np.nonzero(groups == groups[i])[0] if j != i]
+        want = sorted((round(float(np.sqrt(((data[i] - data[j]) ** 2).sum())), 9), int(j)) for j in mine)[: k_of[groups[i]]]
+        assert sorted(got.get(i, [])) == want
+
+
+def test_nothing_of_pivots_or_trees_is_limited():
+    assert not hasattr(neighbours, "MAX_PIVOTS") and not hasattr(iforest, "MAX_NODES")
+
+
+def test_forests_of_many_groups_are_scored_by_slices(spark, monkeypatch):
+    """300 groups, one of them in many slices, one without a forest, one NULL."""
+    monkeypatch.setattr(iforest, "SLICE_ROWS", 50)
+    nodes = [(g, t, 0, t % 3, 0.1 * g, 1, 2, 4, 0.0) for g in range(300) for t in (0, 1)]
+    nodes += [(g, t, n, -1, 0.0, -1, -1, 2, float(n)) for g in range(300) for t in (0, 1) for n in (1, 2)]
+    forest = spark.createDataFrame(nodes, f"Cluster int, {iforest.NODE_COLUMNS}")
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(1200, 3)) * 20
+    groups = [7] * 600 + [int(x) for x in rng.integers(0, 300, 598)] + [999, None]
+    rows = [(i, g, *map(float, x), ["list"]) for i, (g, x) in enumerate(zip(groups, data))]
+    df = spark.createDataFrame(rows, "id int, Cluster int, x double, y double, z double, extra array<string>")
+    got = {r["id"]: r for r in iforest.score_forest(df, forest, COLUMNS).collect()}
+    assert len(got) == 1200 and got[0]["extra"] == ["list"]
+    unit = float(iforest.mean_path(4))
+    for i, (g, x) in enumerate(zip(groups, data)):
+        if g is None or g == 999:
+            assert got[i]["iforest_score"] is None
+        else:
+            depth = np.mean([1.0 if x[t] <= 0.1 * g else 2.0 for t in (0, 1)])
+            assert got[i]["iforest_score"] == pytest.approx(-2 ** (-depth / unit))
+
+
 def test_copies_cost_one_point_and_count_as_many(spark, monkeypatch):
     """A third of all rows are copies of one vector."""
     monkeypatch.setattr(neighbours, "CELL_POINTS", 50)
@@ -235,6 +287,20 @@ def test_all_infinite_conviction_and_constant_metric(spark):
     assert len({r["rule_id"] for r in got}) == 12
 
 
+def test_any_metrics_may_be_scaled(spark):
+    rules = rules_table(spark, 40).withColumn("jaccard", F.col("lift") / 2)
+    got = a.preprocess_rules(rules, features=["lift", "jaccard"])
+    assert {"lift_normalized", "jaccard_normalized"} <= set(got.columns) and "support_normalized" not in got.columns
+    one = got.agg(F.avg("jaccard_normalized"), F.stddev_pop("jaccard_normalized")).first()
+    assert one[0] == pytest.approx(0, abs=1e-9) and one[1] == pytest.approx(1)
+    found = a.detect_anomalies(got, uniform(spark), features=["lift_normalized", "jaccard_normalized"])
+    assert found.rules.count() == 40 and found.rules.where("isolation_forest_anomaly = 1").count() == 4
+    again = a.predict_anomalies(rules, found.forest, found.offsets, metrics=["lift", "jaccard"])
+    assert again.where("isolation_forest_anomaly = 1").count() == 4
+    with pytest.raises(ValueError, match="no columns"):
+        a.preprocess_rules(rules, features=["lift", "nothing"])
+
+
 def test_predicting_needs_a_trained_cluster(spark):
     prepared = a.preprocess_rules(rules_table(spark, 30, 0))
     found = a.detect_anomalies(prepared, uniform(spark, clusters=(0,)))
