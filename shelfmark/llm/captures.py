@@ -2,7 +2,7 @@
 
 ``write_archives`` writes WARC/1.1 records as text files whose line end is the record end, in any
 store that Spark writes to. A file is compressed as a whole, so offsets count its uncompressed
-bytes, and holds a bounded number of records. Of captures with equal payloads the one with the largest page id is a
+bytes, and holds records of one class of size, as many as ``FILE_BYTES`` have room for. Of captures with equal payloads the one with the largest page id is a
 response, the others are revisits that refer to it and carry headers only. ``build_index`` reads
 the archives back and sorts the captures by reversed-host URL key into compressed blocks; the
 first keys of the blocks form a sparse directory by shard, and the first keys of the shards, at
@@ -30,13 +30,15 @@ from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.session import ensure_checkpoint_dir, stored
 
-#: Records of an archive file, at most; captures of an index block; shards, at most.
-FILE_RECORDS = 5000
+#: Payload bytes of an archive file, about (a larger payload is alone in its file), and its records,
+#: at most, by class of size; captures of an index block; shards, at most.
+FILE_BYTES = 64 << 20
+FILE_RECORDS = (5000, 512, 64, 8, 1)
 BLOCK_LINES = 1000
 SHARDS = 4096
 
@@ -125,10 +127,12 @@ def write_archives(pages: DataFrame, found: DataFrame, path: str, *, id_col: str
                 names=["page_id", "url", "html", "payload_bytes", "digest", "key"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.mapInArrow(digested, "page_id long, url string, html string, payload_bytes long, digest string, key string")
-    # few revisits are sent to the pages; many make the optimiser shuffle both by key
-    joined = rows.join(revisits, F.col("key") == F.col("revisit"), "left")
-    joined = joined.select("page_id", "url", "html", "payload_bytes", "digest", "response_id")
+
+    def pages_of(wanted: Column) -> DataFrame:
+        keyed = rows.where(wanted).mapInArrow(digested, "page_id long, url string, html string, payload_bytes long, digest string, key string")
+        # few revisits are sent to the pages; many make the optimiser shuffle both by key
+        joined = keyed.join(revisits, F.col("key") == F.col("revisit"), "left")
+        return joined.select("page_id", "url", "html", "payload_bytes", "digest", "response_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,8 +141,14 @@ def write_archives(pages: DataFrame, found: DataFrame, path: str, *, id_col: str
                 for page_id, url, html, size, digest, response in zip(*[c.to_pylist() for c in batch.columns])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    out = joined.mapInArrow(write, "value string").write.option("lineSep", "\r\n\r\n")
-    out.option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    def size_class(size: Column) -> Column:
+        return sum((F.when(size > FILE_BYTES // most, 1).otherwise(0) for most in FILE_RECORDS[:-1]), F.lit(0))
+
+    # usually one class holds all pages
+    used = found.select(size_class(F.col("payload_bytes")).alias("c")).distinct().collect()
+    for c in sorted(r["c"] for r in used) or [0]:
+        records = pages_of(size_class(F.coalesce(F.octet_length("html"), F.lit(0))) == c).mapInArrow(write, "value string")
+        records.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS[c]).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d+)")

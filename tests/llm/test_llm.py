@@ -228,6 +228,28 @@ def test_archives_round_trip(spark):
     assert captures.url_key("http://www.B.example.org:8080/p?q") == "org,example,b:8080)/p?q"
 
 
+def test_archive_files_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    """Pages of 1 MB fill a file by bytes, not by records; small ones share files; none is lost."""
+    import gzip
+
+    monkeypatch.setattr(captures, "FILE_BYTES", 8 << 20)
+    monkeypatch.setattr(captures, "FILE_RECORDS", (64, 8, 1))
+    sizes = [1_000_000] * 20 + [9_000_000] + [200] * 300 + [0]
+    pages = spark.createDataFrame([(i, f"http://x.org/{i}") for i in range(len(sizes))], "page_id long, url string").withColumn(
+        "html", F.concat(F.lpad(F.col("page_id").cast("string"), 6, "0"), F.repeat(F.lit("é"), F.when(F.col("page_id") < 20, 499_997).when(F.col("page_id") == 20, 4_499_997).when(
+            F.col("page_id") < 321, 97).otherwise(0)))).coalesce(2)
+    path = str(tmp_path / "archives")
+    got = {r["page_id"]: r for r in captures.archive(pages, path).collect()}
+    assert {i: len(r["payload"]) for i, r in got.items()} == {i: max(n, 6) for i, n in enumerate(sizes)}
+    found = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "archives").glob("part-*")]
+    assert max(x.count(b"WARC/1.1\r\n") for x in found if len(x) > 8 << 20) in (1, 8) and sum(len(x) > 9_500_000 for x in found) == 0
+    assert max(x.count(b"WARC/1.1\r\n") for x in found) == 64
+
+
+def test_archives_of_no_pages(spark):
+    assert captures.archive(spark.createDataFrame([], "page_id long, url string, html string, key string")).collect() == []
+
+
 def test_archives_find_captures_of_odd_urls(spark):
     urls = [
         " http://x.org/a", "http://x.org/a\n", "http://x.o\trg/a", "\xa0http://x.org/", " ", "http://München.de/a b", "http://MÜNCHEN.de/ä#ü",
