@@ -44,9 +44,9 @@ KEY_BITS = 40
 #: One of so many documents is sampled.
 SAMPLED = 8
 #: Words that a task holds before it counts and hands on what it has, by key and by text.
-KEYED_AT_ONCE, TEXT_AT_ONCE = 2 << 20, 1 << 19
+KEYED_AT_ONCE, TEXT_AT_ONCE = 1 << 20, 1 << 19
 #: Distinct words that a task tells apart before it does so.
-WORDS_APART = 1 << 19
+WORDS_APART = 1 << 18
 
 # Bytes that end a piece become line feeds, tabs become spaces; no other byte of UTF-8 text is one of them.
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
