@@ -187,26 +187,3 @@ def with_category(
         .withColumn(output, null_to_unknown(F.expr(category_sql(text, padded))))
         .drop(text, padded)
     )
-
-
-def with_category_of_texts(
-    df: DataFrame, description: str = "Description", output: str = "CategoryExtraction",
-    limit: int = 100_000,
-) -> DataFrame:
-    """The same column, worked out once per distinct description and broadcast.
-
-    Products are far fewer than lines, but not by a known bound: with more than ``limit``
-    distinct texts every line is worked out on its own, which needs no shuffle either. The
-    distinct texts are a pass over ``df``, which should be a written table.
-    """
-    texts = df.select(F.col(description).alias("__text")).distinct()
-    texts = texts.where(F.col("__text").isNotNull())
-    if texts.limit(limit + 1).count() > limit:
-        return with_category(df, description, output)
-    found = with_category(texts, "__text", output).toArrow()
-    known = df.sparkSession.createDataFrame(found, schema=f"__text string, {output} string")
-    return (
-        df.join(F.broadcast(known), F.col(description) == F.col("__text"), "left")
-        .withColumn(output, null_to_unknown(F.col(output)))
-        .drop("__text")
-    )

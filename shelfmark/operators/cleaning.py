@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
-from shelfmark.functions.categories import with_category, with_category_of_texts
+from shelfmark.functions.categories import with_category
 from shelfmark.operators.groups import HeavyKeys, join_uneven
 
 
@@ -114,6 +114,20 @@ def customer_frequency(lines: DataFrame, heavy: HeavyKeys | None = None) -> Data
     return join_uneven(lines, per_customer, ["CustomerID"], "left", heavy)
 
 
+def with_category_of_texts(
+    lines: DataFrame, description: str = "Description", output: str = "CategoryExtraction",
+    heavy: HeavyKeys | None = None,
+) -> DataFrame:
+    """The category column, worked out once per distinct description and joined back, however
+    many there are: a frequent description is dealt to slices, and where the descriptions turn
+    out few the join becomes a broadcast by itself. ``lines`` should be a written table, whose
+    distinct texts are a pass of their own."""
+    texts = lines.select(description).where(F.col(description).isNotNull()).distinct()
+    known = with_category(texts, description, output)
+    joined = join_uneven(lines, known, [description], "left", heavy)
+    return joined.withColumn(output, text.null_to_unknown(F.col(output)))
+
+
 def row_recency(lines: DataFrame) -> DataFrame:
     """Completed days from the line's date to the latest date of the whole table."""
     latest = lines.agg(F.max("InvoiceDate")).scalar()

@@ -66,12 +66,14 @@ def _slices(n: Column, total: Column, partitions: int) -> Column:
     return F.ceil(n * F.lit(float(partitions)) / total).cast("int")
 
 
-def hot_keys(rows: DataFrame, on: list[str]) -> DataFrame:
+def hot_keys(rows: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
     """Keys with more rows than an average shuffle partition, with the number of slices that
     brings them back to that size. There cannot be more of them than partitions, so the table
-    may be broadcast whatever the data. Nothing runs until a plan that holds it does."""
+    may be broadcast whatever the data. Nothing runs until a plan that holds it does.
+    ``counts`` ``(*on, __n)`` are the rows by key where they are known already."""
     partitions = _partitions(rows)
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
+    if counts is None:
+        counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n")).scalar()
     slices = _slices(F.col("__n"), total, partitions).alias("__slices")
     return counts.where(F.col("__n") * F.lit(partitions) > total).select(*on, slices)
@@ -121,13 +123,14 @@ def stored_with_heavy(df: DataFrame, *keys: list[str]) -> tuple[DataFrame, list[
 
 def join_uneven(
     rows: DataFrame, per_key: DataFrame, on: list[str], how: str = "inner",
-    heavy: HeavyKeys | None = None,
+    heavy: HeavyKeys | None = None, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of ``rows`` with at most one row per key, hot keys sliced.
 
     Adaptive skew handling does not reach a side that is itself an aggregate on the key,
     which is the usual case here. ``heavy`` names the hot keys of ``rows`` (or of the table it
-    was cut from); without it they are counted within the plan. Rows with a NULL in the key
+    was cut from), ``counts`` their rows by key; without either they are counted within the
+    plan. Rows with a NULL in the key
     match nothing and are dealt freely. The slice comes from the row and its input partition:
     it is the same when a lost task is run again.
     """
@@ -138,7 +141,7 @@ def join_uneven(
         known = [(h, n) for h, n in heavy.slices] or [(0, 1)]
         hot = rows.sparkSession.createDataFrame(known, "__key bigint, __slices int")
     else:
-        key, link, hot = [], list(on), hot_keys(rows, on)
+        key, link, hot = [], list(on), hot_keys(rows, on, counts)
     row = F.xxhash64(*[f"`{c}`" for c in rows.columns]) + F.spark_partition_id()
     unmatched = reduce(or_, [F.col(c).isNull() for c in on])
     slices = F.when(unmatched, F.lit(_partitions(rows))).otherwise(F.coalesce("__slices", F.lit(1)))

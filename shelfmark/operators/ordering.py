@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from shelfmark.operators.groups import join_uneven
+from shelfmark.session import stored
 
 MAX_RANGES = 512
 
@@ -65,23 +66,26 @@ def _with_offsets(ranged: DataFrame, by: list[str], key: str, weight: str) -> Da
 
 
 def dense_index(df: DataFrame, key: str, output: str) -> DataFrame:
-    """0-based place of ``key`` among the distinct keys in order, on every row."""
-    values = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__one", F.lit(1))
+    """0-based place of ``key`` among the distinct keys in order, on every row. The keys are
+    counted and written once: boundaries, offsets and hot keys come from that one column."""
+    counts = stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")))
+    values = counts.select(key, F.lit(1).alias("__one")).where(F.col(key).isNotNull())
     # the window of offsets has no group of its own: a constant one holds the ≤ 512 ranges
     ranged = _with_ranges(values, key).withColumn("__all", F.lit(0))
     places = _with_offsets(ranged, ["__all"], key, "__one").select(
         key, F.col("__below").cast("bigint").alias(output)
     )
-    return join_uneven(df, places, [key], "left")
+    return join_uneven(df, places, [key], "left", counts=counts)
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, output: str) -> DataFrame:
-    """1-based rank of ``value`` in its group; equal values share their mean rank."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    """1-based rank of ``value`` in its group; equal values share their mean rank. Rows are
+    counted by value and written once; all further passes read the counts."""
+    counts = stored(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")))
     ranks = _with_offsets(_with_ranges(counts, value), by, value, "__n").select(
         *by, value, (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(output)
     )
-    return join_uneven(df, ranks, [*by, value])
+    return join_uneven(df, ranks, [*by, value], counts=counts)
 
 
 def quantiles(

@@ -28,7 +28,9 @@ def merged_lines(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm
 def preprocess(raw: DataFrame, date_formats: tuple[str, ...] = ("M/d/yyyy H:mm",)) -> DataFrame:
     """The cleaned table. The merged lines are written once, since the customer frequency,
     the latest date and the distinct descriptions are further passes over them."""
-    lines, (heavy,) = stored_with_heavy(merged_lines(raw, date_formats), ["CustomerID"])
-    lines = c.row_recency(c.customer_frequency(lines, heavy))
-    lines = c.with_category_of_texts(lines)
+    lines, (customers, texts) = stored_with_heavy(
+        merged_lines(raw, date_formats), ["CustomerID"], ["Description"]
+    )
+    lines = c.with_category_of_texts(lines, heavy=texts)
+    lines = c.row_recency(c.customer_frequency(lines, customers))
     return c.time_features(c.total_price(lines)).select(*OUTPUT)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,15 +44,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that ``stored`` writes inside, and deletes them at the end. Write what
+    is wanted of a job before leaving: its frames read those tables.
+
+    Checkpoints go by themselves with ``spark.cleaner.referenceTracking.cleanCheckpoints``.
+    """
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it from there.
 
     For large frames that several passes read: each pass reads only its columns, and the
-    optimiser knows the table's size.
+    optimiser knows the table's size. The table stays unless a ``scratch`` owns it.
     """
     ensure_checkpoint_dir(df.sparkSession)
     folder = df.sparkSession.sparkContext.getCheckpointDir()
     path = f"{folder}/tables/stored-{uuid.uuid4().hex}"
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +60,20 @@ def write_rules(rules: DataFrame, path: str, format: str = "parquet") -> bool:
 
 
 def save_table(df: DataFrame, path: str, cluster: str = "Cluster") -> None:
-    """Keep a fitted model's table (forest nodes, thresholds, importances) by cluster."""
-    _write(df, path, "parquet", [cluster])
+    """Keep a fitted model's table (forest nodes, thresholds, importances) by cluster.
+
+    Each save is a folder of its own, and counts from the row that names it in ``commits``,
+    which is added when all of it is written: a reader never sees half a model, and goes on
+    reading the one it began with.
+    """
+    version = uuid.uuid4().hex
+    _write(df, f"{path}/versions/{version}", "parquet", [cluster])
+    done = df.sparkSession.createDataFrame([(version,)], "version string")
+    done.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The table as last saved."""
+    commits = spark.read.schema("version string, at timestamp").parquet(f"{path}/commits")
+    last = commits.orderBy(F.desc("at"), F.desc("version")).first()
+    return spark.read.parquet(f"{path}/versions/{last['version']}")

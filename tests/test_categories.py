@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.functions.categories import with_category, with_category_of_texts
+from shelfmark.functions.categories import with_category
+from shelfmark.operators.cleaning import with_category_of_texts
 
 GOLDEN = [
     (None, "unknown"),
@@ -82,11 +83,10 @@ def test_golden_categories(spark, partitions):
     assert wrong == {}
 
 
-@pytest.mark.parametrize("limit", [1000, 5])
-def test_categories_by_text_equal_categories_by_line(spark, limit):
+def test_categories_by_text_equal_categories_by_line(spark):
     rows = [(i, d) for i, (d, _) in enumerate(GOLDEN * 3)]
     df = spark.createDataFrame(rows, "i int, Description string").repartition(3)
-    got = with_category_of_texts(df, limit=limit).orderBy("i").collect()
+    got = with_category_of_texts(df).orderBy("i").collect()
     assert [r["CategoryExtraction"] for r in got] == [c for _, c in GOLDEN * 3]
     assert got[0].asDict().keys() == {"i", "Description", "CategoryExtraction"}
 

@@ -99,6 +99,14 @@ def test_scan_raw_reads_missing_tokens_and_quotes(spark, tmp_path):
             ] == [None] * 5
 
 
+def test_scan_raw_reads_line_breaks_inside_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        "InvoiceNo,StockCode,Description,Quantity,InvoiceDate,UnitPrice,CustomerID,Country\n"
+        '536365,1,"WHITE\nHANGING, ""BIG""",6,12/1/2010 8:26,2.55,17850,France\n536366,2,MUG,1,12/1/2010 8:27,1,1,France\n')
+    got = {r["InvoiceNo"]: r["Description"] for r in scan_raw(spark, str(tmp_path), multi_line=True).collect()}
+    assert got == {"536365": 'WHITE\nHANGING, "BIG"', "536366": "MUG"}
+
+
 def test_guest_ids_count_from_zero_over_all_invoices(spark):
     df = spark.createDataFrame(
         [("b", None), ("a", "7"), ("c", None), ("b", None)], "InvoiceNo string, CustomerID string")

@@ -9,7 +9,8 @@ from shelfmark.operators import rfm as rf
 from shelfmark.operators import rules as r
 from shelfmark.operators import summaries as su
 from shelfmark.operators.groups import hot_keys, join_uneven, stored_with_heavy
-from shelfmark.session import ensure_checkpoint_dir
+from shelfmark.session import ensure_checkpoint_dir, scratch
+from shelfmark.sources import sinks
 
 
 def plan(df):
@@ -124,6 +125,39 @@ def test_columns_and_filters_reach_the_scan(spark, lines, tmp_path):
     assert "PartitionFilters: [isnotnull(Cluster" in text or "PartitionFilters: [Cluster" in text
 
 
+def test_scratch_owns_what_a_job_stores(spark, lines):
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")) / "tables"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    with scratch(spark):
+        kept, _ = stored_with_heavy(lines.limit(50), ["CustomerID"])
+        assert kept.count() == 50 and len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
+
+
+def test_a_model_counts_when_it_is_committed(spark, tmp_path):
+    """A version that was begun and never committed is not read, nor does it disturb."""
+    path = str(tmp_path / "model")
+    model = spark.createDataFrame([(1, "a"), (2, "b")], "Cluster int, name string")
+    sinks.save_table(model, path)
+    first = sinks.load_table(spark, path)
+    model.limit(1).write.parquet(f"{path}/versions/half")
+    assert sinks.load_table(spark, path).count() == 2
+    sinks.save_table(model.withColumn("name", F.lit("new")), path)
+    assert {r["name"] for r in sinks.load_table(spark, path).collect()} == {"new"}
+    assert {r["name"] for r in first.collect()} == {"a", "b"}
+
+
+def test_categories_of_texts_need_no_limit(spark):
+    lines = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "RED MUG").when(
+        F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("ITEM SIGN "), F.col("id"))).alias("Description"), "id")
+    got = c.with_category_of_texts(lines)
+    want = c.with_category(lines)
+    assert sorted(map(str, got.select("id", "CategoryExtraction").collect())) == sorted(
+        map(str, want.select("id", "CategoryExtraction").collect()))
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     ensure_checkpoint_dir(spark)
     first = spark.sparkContext.getCheckpointDir()

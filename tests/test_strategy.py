@@ -27,6 +27,22 @@ def test_strategy_matrix(lookup, cluster, metric):
     assert lookup.get((cluster, metric)) == EXPECTED[cluster][column]
 
 
+def test_plain_metrics_stand_in_where_none_is_scaled(spark):
+    rows = [(0, ["a"], ["b"], "r1", .9, .2, .1), (0, ["c"], ["d"], "r2", .1, .8, .3), (0, ["e"], ["f"], "r3", .1, .1, .2)]
+    plain = spark.createDataFrame(
+        [(*r, 0.0, 1.0) for r in rows], "Cluster int, antecedents array<string>, consequents array<string>, rule_id string, "
+        "support double, confidence double, lift double, leverage double, conviction double")
+    got = {r["Rule"]: r for r in strategy.business_rules(plain, top=2).collect()}
+    assert sorted((r["Key_Metric"], r["Key_Metric_Value"]) for r in got.values()) == [("confidence", .8), ("support", .9)]
+    assert {r["Anomaly_Score"] for r in got.values()} == {None}
+    some = plain.withColumn("lift_normalized", plain["lift"] * 100)
+    assert strategy.default_metrics(some) == ["lift_normalized", "support", "confidence"]
+    flags = some.selectExpr("*", "1 AS isolation_forest_anomaly", "0 AS lof_anomaly")
+    importance = spark.createDataFrame([(0, "lift", .9), (0, "support", .5)], "Cluster int, feature string, importance double")
+    best = strategy.business_rules(flags, importance, top=1).first()
+    assert best["Key_Metric"] == "lift_normalized" and best["Key_Metric_Value"] == pytest.approx(30)
+
+
 def test_no_other_metric_or_cluster_has_an_answer(lookup):
     assert {m for _, m in lookup} == {"support", "leverage", "conviction", "confidence", "lift"}
     assert {c for c, _ in lookup} == set(EXPECTED)
