@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import stages as s
-from checks.ctes import METRIC, Z
+from checks.ctes import Z, item_list, lof_tables
 from checks.registry import query, table_folder
 from shelfmark.operators import anomalies as a
 from shelfmark.operators import iforest, kmeans, shapley
 from shelfmark.operators.silhouette import silhouette
+from shelfmark.plans import anomalies as jobs
 from shelfmark.sources import sinks
 
 # (tree, node, feature, threshold, left, right, samples); paths follow from depth and samples
@@ -114,6 +115,68 @@ def _(spark, d):
         F.min("anomaly_score").alias("lowest"))
 
 
+@query("dashboard_cluster_fixed", "Cluster; Rule; support; confidence; lift; anomaly_score",
+       sql=f"""SELECT "Cluster", {item_list("a")} || ' → ' || {item_list("c")} AS "Rule",
+ round_even(support, 4) AS support, round_even(confidence, 4) AS confidence,
+ round_even(lift, 4) AS lift, round_even(anomaly_score, 4) AS anomaly_score
+FROM flagged JOIN counted USING ("Cluster") WHERE iso = 1 AND rules >= 10 AND "Cluster" = 0""", tables=FOREST)
+def _(spark, d):
+    return a.anomalous_only(jobs.detect_in_cluster(s.rules(spark, d), 0, forest(spark, d)).rules)
+
+
+def _by_cluster(i: int, column: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {c} THEN {v[i]}" for c, v in jobs.WORKFLOW.items()) + " END"
+
+
+# the workflow's own rate and number of neighbours in each cluster
+WORKFLOW = {
+    **FOREST, **lof_tables(_by_cluster(1, "grp")),
+    "thresholds": "SELECT \"Cluster\", CASE " + " ".join(
+        f'WHEN "Cluster" = {c} THEN quantile_cont(score, {v[0]})' for c, v in jobs.WORKFLOW.items()) + " END AS thr FROM scored GROUP BY 1",
+    "flagged": """
+SELECT s.*, CASE WHEN n.rules < 10 THEN 0 ELSE score - thr END AS anomaly_score,
+       (n.rules >= 10 AND score - thr < 0)::INTEGER AS iso, (n.rules >= 10 AND f.factor > 1.5)::INTEGER AS lof,
+       (n.rules >= 10 AND score - thr < 0 AND f.factor > 1.5)::INTEGER AS both_flags
+FROM scored s JOIN thresholds USING ("Cluster") JOIN counted n USING ("Cluster")
+JOIN factors f ON f.grp = s."Cluster" AND f.id = s.rule_id""",
+}
+
+
+def workflow(spark, d):
+    from checks.registry import once
+
+    return once(spark, d, "workflow_fixed", lambda: jobs.anomaly_workflow(s.rules(spark, d), forest=forest(spark, d)))
+
+
+@query("workflow_fixed_rules", "Cluster; rule_id; isolation_forest_anomaly<iso; lof_anomaly<lof; combined_anomaly<both_flags; anomaly_score:6",
+       "FROM flagged", tables=WORKFLOW)
+def _(spark, d):
+    return workflow(spark, d).rules
+
+
+@query("workflow_fixed_importance", f"Cluster; feature<{_NAMES}[i + 1]; importance:6<avg(abs(phi))",
+       'FROM shapley GROUP BY "Cluster", i', tables=WORKFLOW)
+def _(spark, d):
+    return workflow(spark, d).importance
+
+
+@query("isolation_forest_fit_consistent", "Cluster; trees<100; root_samples<least(256, count(*)); consistent<true",
+       'FROM prepared GROUP BY "Cluster"')
+def _(spark, d):
+    """Of every tree: the sample's size, children that split their parent's sample, paths by depth."""
+    nodes = s.forest(spark, d)
+    root = nodes.where("node = 0").groupBy("Cluster").agg(
+        F.count("*").cast("int").alias("trees"), F.max("samples").alias("root_samples"), F.min("samples").alias("least"))
+    inner = nodes.where("feature >= 0")
+    child = nodes.select("Cluster", "tree", F.col("node").alias("child"), F.col("samples").alias("part"))
+    parts = inner.select("Cluster", "tree", "node", "samples", F.explode(F.array("left", "right")).alias("child"))
+    split = parts.join(child, ["Cluster", "tree", "child"]).groupBy("Cluster", "tree", "node", "samples").agg(
+        F.sum("part").alias("parts"), F.min("part").alias("fewest"))
+    whole = split.groupBy("Cluster").agg(F.bool_and((F.col("parts") == F.col("samples")) & (F.col("fewest") > 0)).alias("split"))
+    return root.join(whole, "Cluster").select(
+        "Cluster", "trees", "root_samples", (F.col("split") & (F.col("least") == F.col("root_samples"))).alias("consistent"))
+
+
 @query("model_store_read_back", "Cluster; tree; node; feature; threshold:6; samples",
        'FROM (SELECT DISTINCT "Cluster" FROM prepared) JOIN nodes ON true', tables=FOREST)
 def _(spark, d):
@@ -123,19 +186,45 @@ def _(spark, d):
 
 
 # ---- segments ----
+AXES = ("recency_z", "frequency_z", "monetary_z")
+
+
+def _nearest_of(centres: list[list[float]]) -> str:
+    away = [" + ".join(f"({z} - ({x!r}::DOUBLE)) * ({z} - ({x!r}::DOUBLE))" for z, x in zip(AXES, c)) for c in centres]
+    listed = f"[{', '.join(away)}]"
+    return f"list_position({listed}, list_min({listed})) - 1"
+
+
+CENTRES = [[0.0, -0.5, -0.4], [1.6, -0.6, -0.5], [-0.7, 3.0, 2.5], [-0.8, 1.0, 6.0], [-0.6, 0.8, 0.7]]
+
+
+@query("segmentation_fixed", "Cluster_Name; customers; guests; recency:4; monetary:4",
+       sql="""SELECT CASE c WHEN 0 THEN 'Casual Buyers' WHEN 1 THEN 'Inactive Customers' WHEN 2 THEN 'Loyal High-Value Customers'
+ WHEN 3 THEN 'VIP/Wholesale Customers' ELSE 'Frequent Mid-to-High Value Customers' END AS "Cluster_Name", count(*) AS customers,
+ sum("IsGuest"::INTEGER)::BIGINT AS guests, round(avg("Recency"), 4) AS recency, round(avg("Monetary"), 4) AS monetary
+FROM (SELECT *, """ + _nearest_of(CENTRES) + """ AS c FROM scaled) GROUP BY 1""")
+def _(spark, d):
+    """The segmentation job with a stored model: scaling is fitted, centres are given."""
+    from shelfmark.operators.rfm import cluster_name
+
+    customers = s.customers(spark, d)
+    model = kmeans.SegmentModel(kmeans.fit_scaler(customers, kmeans.RFM), CENTRES, [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]])
+    named = model.predict_cluster(customers).withColumn("Cluster_Name", cluster_name(F.col("Cluster")))
+    return named.groupBy("Cluster_Name").agg(
+        F.count("*").alias("customers"), F.sum(F.col("IsGuest").cast("bigint")).alias("guests"),
+        F.avg("Recency").alias("recency"), F.avg("Monetary").alias("monetary"))
+
+
 def grid(k: int) -> list[list[float]]:
     """Fixed centres: the first k of a scattered list."""
     return [[-0.9 + 0.45 * (i * 3 % 7), -0.4 + 0.8 * (i * 5 % 4), -0.3 + 0.9 * (i * 2 % 5)] for i in range(k)]
 
 
 KS = range(2, 11)
-AXES = ("recency_z", "frequency_z", "monetary_z")
 
 
 def _nearest(k: int) -> str:
-    away = [" + ".join(f"({z} - ({x!r}::DOUBLE)) * ({z} - ({x!r}::DOUBLE))" for z, x in zip(AXES, c)) for c in grid(k)]
-    listed = f"[{', '.join(away)}]"
-    return f"list_position({listed}, list_min({listed})) - 1"
+    return _nearest_of(grid(k))
 
 
 GRID = {

@@ -69,19 +69,23 @@ def rate_analysis(spark: SparkSession, detected: DataFrame) -> DataFrame:
     return c.flags_at_rates(scored)
 
 
-def detect_in_cluster(rules: DataFrame, cluster: int) -> a.Detected:
-    """The dashboard's run: one cluster, fixed settings."""
+def detect_in_cluster(
+    rules: DataFrame, cluster: int, forest: DataFrame | None = None
+) -> a.Detected:
+    """The dashboard's run: one cluster, fixed settings; a stored ``forest`` instead of a new
+    one where given."""
     mine = a.preprocess_rules(rules.where(F.col("Cluster") == cluster))
-    return a.detect_anomalies(mine, uniform_params(mine, *DASHBOARD))
+    return a.detect_anomalies(mine, uniform_params(mine, *DASHBOARD), forest=forest)
 
 
-def anomaly_workflow(rules: DataFrame, seed: int = 42) -> Workflow:
-    """All clusters in one code path: what differs between them is a parameter table."""
+def anomaly_workflow(rules: DataFrame, seed: int = 42, forest: DataFrame | None = None) -> Workflow:
+    """All clusters in one code path: what differs between them is a parameter table. With a
+    stored ``forest`` none is grown."""
     spark = rules.sparkSession
     prepared = materialise(
         a.preprocess_rules(rules.where(F.col("Cluster").isin(list(WORKFLOW))))
     )
-    detected = a.detect_anomalies(prepared, workflow_params(spark), seed=seed)
+    detected = a.detect_anomalies(prepared, workflow_params(spark), seed=seed, forest=forest)
     scored = materialise(detected.rules)
     importance = materialise(
         shapley.feature_importance(scored, detected.forest, a.FEATURES)
