@@ -200,6 +200,7 @@ def count_keys(texts: DataFrame, longest: int, proposed: Filters, least_size: in
 def count_phrases(texts: DataFrame, longest: int, proposed: Filters, kept: Filters) -> DataFrame:
     """``lang, size, phrase, f`` of kept phrases and of those that the proposals miss; size 0 holds the
     number of words."""
+    # language and phrase in one text, which moves less than columns do; no phrase holds a tab
     def records(held: Words) -> Iterator[pa.RecordBatch]:
         texts = pa.array(held.texts, pa.binary())
         for lang, size, _, times, words in _counted(held, longest, proposed, kept):
@@ -207,13 +208,15 @@ def count_phrases(texts: DataFrame, longest: int, proposed: Filters, kept: Filte
                 continue
             parts = [texts.take(pa.array(w)) for w in words] or [pa.array([b""], pa.binary())]
             phrase = pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(times), pa.string()), pa.array(np.full(len(times), size, np.int32)),
-                 phrase.cast(pa.string()), pa.array(times)],
-                names=["lang", "size", "phrase", "f"])
-
-    rows = _over(texts, "lang string, size int, phrase string, f bigint", TEXT_AT_ONCE, records)
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
+            named = pc.binary_join_element_wise(pa.scalar(lang.encode(), pa.binary()), phrase, b"\t").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([named, pa.array(times)], names=["named", "f"])
+
+    counted = _over(texts, "named string, f bigint", TEXT_AT_ONCE, records).groupBy("named").agg(F.sum("f").alias("f"))
+    phrase = F.substring_index("named", "\t", -1)
+    split = counted.select(
+        F.left("named", F.length("named") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return split.select("lang", words.cast("int").alias("size"), "phrase", "f")
 
 
 def frequent_phrases(
