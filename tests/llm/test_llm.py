@@ -344,3 +344,43 @@ def test_pipeline_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
+
+
+def test_quality_scores_equal_a_plain_refit(spark):
+    """The normal equations and the isotonic steps once more, in plain numpy over all labelled rows."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.document_statistics(docs)
+    model = quality.fit(stats, labels)
+    held = {r["doc_id"]: np.array(r["stats"]) for r in stats.collect()}
+    known = [(r["doc_id"], float(r["quality"])) for r in labels.where("quality is not null").where(~quality.held_out(F.col("doc_id"))).collect()]
+    x, y = np.array([held[i] for i, _ in known]), np.array([v for _, v in known])
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale < 1e-9] = 1
+
+    def features(rows):
+        z = np.clip((rows - mean) / scale, -8, 8)
+        return np.hstack([np.cos(z @ model.directions + model.phases) * np.sqrt(2 / len(model.phases)), z, np.ones((len(z), 1))])
+
+    a = features(x)
+    penalty = np.full(a.shape[1], 1e-3 * len(y) / quality.FEATURES)
+    penalty[-1] = 1e-9
+    weights = np.linalg.solve(a.T @ a + np.diag(penalty), a.T @ y)
+    raw = a @ weights
+    cells = {}
+    for cell, r, v in zip(np.clip((raw + 1) / 3 * quality.BINS, 0, quality.BINS - 1).astype(int), raw, y):
+        cells.setdefault(cell, []).append((r, v))
+    blocks = [[(float(np.mean([r for r, _ in c])), float(np.mean([v for _, v in c])), len(c))] for _, c in sorted(cells.items())]
+    level = lambda b: sum(v * n for _, v, n in b) / sum(n for _, _, n in b)
+    i = 0
+    while i + 1 < len(blocks):  # merge neighbours that fall, and look back
+        if level(blocks[i]) >= level(blocks[i + 1]):
+            blocks[i : i + 2] = [blocks[i] + blocks[i + 1]]
+            i = max(i - 1, 0)
+        else:
+            i += 1
+    knots = [sum(r * n for r, _, n in b) / sum(n for _, _, n in b) for b in blocks]
+    ids = sorted(held)
+    want = np.clip(np.interp(features(np.array([held[i] for i in ids])) @ weights, knots, [level(b) for b in blocks]), 0, 1)
+    got = {r["doc_id"]: r["score"] for r in quality.score_statistics(stats, model).collect()}
+    np.testing.assert_allclose([got[i] for i in ids], want, atol=1e-5)
