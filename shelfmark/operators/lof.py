@@ -70,11 +70,12 @@ def lof_scores(
             ).alias("factor")
         )
     )
+    copies = points.select(by, "point", F.col("copies").alias("__n"))
     per_k = join_groups(factors, clamped, [by, "kk"]).groupBy(by, "point").agg(
         F.collect_list(F.struct("k", "factor")).alias("f")
     )
     return (
-        join_uneven(members, per_k, [by, "point"])
+        join_uneven(members, per_k, [by, "point"], counts=copies)
         .select(by, F.col("id").alias(row_id), F.explode("f").alias("f"))
         .select(by, row_id, "f.*")
     )

@@ -49,7 +49,8 @@ def distinct_points(
     points = materialise(
         vectors.groupBy(by, "x").agg(F.min("id").alias("point"), F.count(F.lit(1)).alias("copies"))
     )
-    members = join_uneven(vectors, points.select(by, "x", "point"), [by, "x"])
+    copies = points.select(by, "x", F.col("copies").alias("__n"))
+    members = join_uneven(vectors, points.select(by, "x", "point"), [by, "x"], counts=copies)
     members = members.select(by, "id", "point")
     return points, members
 
