@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,20 @@ def arrow_batches(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, which gives the memory it freed back to the system at the end of a task: a Python
+    worker waits for further tasks, and otherwise keeps what the largest of them needed."""
+    @wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, and the n+1 offsets into them; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):

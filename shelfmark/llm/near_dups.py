@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import U64, Rolling, chunks, flat_texts, mix, random_words
+from shelfmark.llm.common import U64, Rolling, chunks, flat_texts, mix, random_words, tidy
 from shelfmark.llm.components import components
 from shelfmark.session import materialise, stored
 
@@ -119,6 +119,7 @@ def band_values(coordinates: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, key, bands, coordinates`` for each row; the last three are null
     without words. ``coordinates`` holds 15 bits of each, for estimates."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, keys, bands, values = [], [], [], []
@@ -137,6 +138,7 @@ def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [class_key(s) if len(s) else None for s in shingle_sets(*flat_texts(batch.column(1)))]
@@ -151,6 +153,7 @@ def linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     left = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, two = (shingle_sets(*flat_texts(batch.column(i))) for i in (2, 3))
@@ -211,6 +214,7 @@ def link(docs: DataFrame, *, percent: int = 80, id_col: str = "doc_id", text_col
 
 def _own_shingles(texts: DataFrame) -> DataFrame:
     """``node, own``: how many shingles of each class no other class of ``texts`` has."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, s in zip(batch.column(0), shingle_sets(*flat_texts(batch.column(1)))):

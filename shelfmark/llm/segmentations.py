@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from shelfmark.llm.common import U64, mix, random_words
+from shelfmark.llm.common import U64, mix, random_words, tidy
 from shelfmark.llm.token_counts import MARK, pieces_of, run_pattern
 
 #: Characters of the texts that are searched at once, about; a longer text goes alone.
@@ -417,6 +417,7 @@ def sample_segmentations(
     docs: DataFrame, model: str, *, k: int = 2, sharpness: float = 1.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """``doc_id, sample, ids, n_pieces, log_p, inclusion, decoded`` for each text and sample (from 1)."""
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_for(model, sharpness)
         lattices = Lattices(vocabulary)
