@@ -40,8 +40,9 @@ from shelfmark.llm.token_counts import MARK, pieces_of, run_pattern
 
 #: Characters of the texts that are searched at once, about; a longer text goes alone.
 GROUP_CHARS = 1 << 19
-#: A task that has made lattices of more states than this begins them anew.
-MOST_STATES = 1 << 20
+#: A task that has made lattices of more states than this goes on with the first quarter: frequent
+#: runs are seen early.
+MOST_STATES = 3 << 19
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -50,6 +51,9 @@ def codes_of(text: str) -> np.ndarray:
 
 _PLACES = random_words(41, 64) | U64(1)
 
+#: What the number of a draw is multiplied by.
+_STEP = U64(0xD1B54A32D192ED03)
+
 #: Size of the tables that say whether a string may begin a piece; false hits cost time only.
 BEGUN_BITS = 18
 
@@ -123,15 +127,15 @@ class Numbers(dict):
 class Lattices:
     """The lattices of the runs seen so far, each made once: a state for each place of a run, edges
     ordered by the state they end in (``low`` to ``high``), with start, log weight, the log sum of
-    the paths through them, their number within the run, and their piece (a character that is no
-    piece: its code, negative); and the log sums of the paths to each state."""
+    the paths through them, and their piece (a character that is no piece: its code, negative); and
+    the log sums of the paths to each state."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.numbers = Numbers()
         self.room: dict[str, np.ndarray] = {}
         self.base = np.zeros(1, np.int64)
-        self.low = self.high = self.start = self.piece = self.inner = np.zeros(0, np.int64)
+        self.low = self.high = self.start = self.piece = np.zeros(0, np.int32)
         self.weight = self.through = self.sums = np.zeros(0)
 
     def numbered(self, runs: list[list[str]]) -> np.ndarray:
@@ -142,6 +146,16 @@ class Lattices:
             self._add(list(islice(self.numbers, known, None)))
         return found
 
+    def shorten(self, states: int) -> None:
+        """Forget the runs after the first that have so many states together."""
+        runs = int(np.searchsorted(self.base, states, "right")) - 1
+        states = int(self.base[runs])
+        edges = int(self.high[states - 1]) if states else 0
+        self.numbers = Numbers(islice(self.numbers.items(), runs))
+        self.base = self.base[: runs + 1]
+        for name, size in (("low", states), ("high", states), ("sums", states), ("start", edges), ("piece", edges), ("weight", edges), ("through", edges)):
+            setattr(self, name, getattr(self, name)[:size])
+
     def _add(self, runs: list[str]) -> None:
         vocabulary = self.vocabulary
         codes = codes_of("".join(runs))
@@ -201,10 +215,9 @@ class Lattices:
             top = np.maximum.reduceat(terms, begin)
             sums[here] = top + np.log(np.add.reduceat(np.exp(terms - top[group]), begin))
         states, edges = self.base[-1], len(self.start)
-        inner = np.arange(len(start)) - np.repeat(low[base[:-1]], high[base[1:] - 1] - low[base[:-1]])
         for name, more in (
             ("base", base[1:] + states), ("low", low + edges), ("high", high + edges), ("start", start + states), ("piece", piece),
-            ("inner", inner), ("weight", weight), ("through", sums[start] + weight), ("sums", sums),
+            ("weight", weight), ("through", sums[start] + weight), ("sums", sums),
         ):
             self._append(name, more)
 
@@ -227,7 +240,7 @@ class Search:
         self.byte_id = np.array([vocabulary.byte_id[b] for b in range(256)], np.int64)
         runs = [vocabulary.runs(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         self.run = lattices.numbered(runs)
-        for name in ("base", "low", "high", "start", "piece", "inner", "weight", "through", "sums"):
+        for name in ("base", "low", "high", "start", "piece", "weight", "through", "sums"):
             setattr(self, name, getattr(lattices, name))
         self.first = np.concatenate([[0], np.cumsum([len(rs) for rs in runs])]).astype(np.int64)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
@@ -258,10 +271,25 @@ class Search:
             return mix(self.key[text] + mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(path + 1)))
 
     @staticmethod
-    def _gumbel(seeds: np.ndarray, inner: np.ndarray) -> np.ndarray:
+    def _gumbel(seeds: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """A draw for each seed and number, in place: these arrays are the largest of the search."""
         with np.errstate(over="ignore"):
-            h = mix(seeds + inner.astype(U64) * U64(0xD1B54A32D192ED03))
-        return -np.log(-np.log(((h >> U64(12)).astype(np.float64) + 0.5) / float(1 << 52)))
+            h = number.astype(U64)
+            h *= _STEP
+            h += seeds
+            h ^= h >> U64(30)  # as common.mix
+            h *= U64(0xBF58476D1CE4E5B9)
+            h ^= h >> U64(27)
+            h *= U64(0x94D049BB133111EB)
+            h ^= h >> U64(31)
+        h >>= U64(12)
+        x = h.astype(np.float64)
+        x += 0.5
+        x /= float(1 << 52)
+        for _ in range(2):
+            np.log(x, out=x)
+            np.negative(x, out=x)
+        return x
 
     def roots(self) -> np.ndarray:
         """The perturbed value of each whole text: that of its first path."""
@@ -278,6 +306,8 @@ class Search:
         inner = np.zeros(len(owner))
         own = np.zeros(len(self.run))
         seeds, bottom = self._seeds(self.text[owner], self.place[owner], path), self.base[self.run[owner]]
+        with np.errstate(over="ignore"):  # edges draw by their numbers within the run, which begin at the first state's
+            seeds = seeds - self.low[bottom].astype(U64) * _STEP
         steps, step = [], 0
         while len(owner):
             more = np.flatnonzero(at > bottom)
@@ -285,25 +315,26 @@ class Search:
                 owner, at, inner, seeds, bottom = owner[more], at[more], inner[more], seeds[more], bottom[more]
             if not len(owner):
                 break
-            low = self.low[at]
+            low = self.low[at].astype(np.int64)
             counts = self.high[at] - low
             group = np.repeat(np.arange(len(owner)), counts)
             begin = np.cumsum(counts) - counts
             edge = (low - begin)[group] + np.arange(len(group))
-            drawn = self.through[edge] + self._gumbel(seeds[group], self.inner[edge])
+            drawn = self.through[edge] + self._gumbel(seeds[group], edge)
             top = np.maximum.reduceat(drawn, begin)
-            best = np.flatnonzero(drawn == top[group])
+            most = drawn == top[group]
+            best = np.flatnonzero(most)
             if len(best) > len(owner):
                 best = best[np.unique(group[best], return_index=True)[1]]
+                most[:] = False
+                most[best] = True
             taken = edge[best]
             weight = self.weight[taken]
-            other = np.ones(len(edge), bool)
-            other[best] = False
-            other = np.flatnonzero(other)
+            other = np.flatnonzero(~most)
             steps.append((owner, step, taken, group[other], edge[other], drawn[other], top, inner))
             own[owner] += weight
             inner = inner + weight
-            at = self.start[taken]
+            at = self.start[taken].astype(np.int64)
             step += 1
         # weight decided after each run: what is drawn for the later runs of the same text
         walked = np.zeros(len(self.run))
@@ -323,9 +354,10 @@ class Search:
         nearest = np.full((len(self.whole), k + 1), np.inf)
         for _, _, group, _, _, _, _, behind, text in waiting:
             if len(group):
-                texts = text[group]  # in order
-                begin = np.flatnonzero(np.diff(texts, prepend=-1))
-                mine = texts[begin]
+                first = np.flatnonzero(np.diff(text, prepend=-1))  # the texts are in order
+                begin = np.searchsorted(group, first)
+                some = begin < np.append(begin[1:], len(group))
+                begin, mine = begin[some], text[first[some]]
                 nearest[mine] = np.sort(np.column_stack([nearest[mine], np.minimum.reduceat(behind, begin)]), axis=1)[:, : k + 1]
         # those that k + 1 others of their text precede for certain are left out, with room for rounding
         reach = nearest[:, k] * (1 + 1e-6) + 1e-9
@@ -382,11 +414,11 @@ class Search:
         # an occurrence's steps are 0, 1, ... without gaps: the last drawn comes first
         drawn_of = np.bincount(owner, minlength=len(self.run))
         place = np.cumsum(drawn_of)[owner] - 1 - number
+        bounds = np.concatenate([[0], np.cumsum(drawn_of)])[self.first]
         owner = np.repeat(np.arange(len(self.run)), drawn_of)
         ordered = np.empty(len(edges), np.int64)
         ordered[place] = edges
         edges = ordered
-        bounds = np.searchsorted(self.text[owner], np.arange(len(self.whole) + 1)) if len(owner) else np.zeros(len(self.whole) + 1, np.int64)
         path_of: list = [None] * len(self.whole)
         for t in range(len(self.whole)):
             if value[t] == -math.inf:
@@ -430,7 +462,7 @@ def sample_segmentations(
             while a < len(texts):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + GROUP_CHARS, "right")))
                 if lattices.base[-1] > MOST_STATES:
-                    lattices = Lattices(vocabulary)
+                    lattices.shorten(MOST_STATES // 4)
                 yield _group(lattices, ids[a:b], keys[a:b] * 1_000_003 + seed, texts[a:b], k)
                 a = b
 
