@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from shelfmark.llm.common import U64, mix, random_words, tidy
-from shelfmark.llm.token_counts import MARK, pieces_of, run_pattern
+from shelfmark.llm.token_counts import MARK, pieces_of, run_families
 
 #: Characters of the texts that are searched at once, about; a longer text goes alone.
 GROUP_CHARS = 1 << 19
@@ -57,6 +57,12 @@ _STEP = U64(0xD1B54A32D192ED03)
 #: Size of the tables that say whether a string may begin a piece; false hits cost time only.
 BEGUN_BITS = 18
 
+#: The pieces of a length are found by so many high bits of their fingerprints.
+BUCKET_BITS = 16
+
+#: Kinds of characters besides the families: alone in a run, and the mark.
+ALONE, MARKED = 0, 1
+
 
 def fingerprints_of(strings: list[str], length: int) -> np.ndarray:
     """64-bit values of strings of ``length`` characters."""
@@ -73,7 +79,12 @@ class Vocabulary:
 
         held = SentencePieceProcessor(model_file=model)
         scores = pieces_of(model)
-        self.runs = run_pattern(scores).findall
+        families = run_families(scores)
+        #: the kind of each character: ALONE, MARKED or the number of its family
+        self.kind = np.full(0x110000, ALONE, np.min_scalar_type(len(families) + 2))
+        for number, members in enumerate(families, 2):
+            self.kind[codes_of("".join(members))] = number
+        self.kind[ord(MARK)] = MARKED
         ranked = sorted(scores, key=lambda p: (-scores[p], held.piece_to_id(p)))
         total = math.log(sum(1 / (r + 3) for r in range(len(ranked))))
         self.log_p = {p: sharpness * (-math.log(r + 3) - total) for r, p in enumerate(ranked)}
@@ -81,19 +92,19 @@ class Vocabulary:
         self.byte_id = {b: held.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.longest = max(map(len, ranked))
         out = {held.piece_to_id(p): p.replace(MARK, " ").encode() for p in ranked} | {i: bytes([b]) for b, i in self.byte_id.items()}
-        #: bytes of each identifier, end to end, with their starts and sizes
-        spelled = [out.get(i, b"") for i in range(max(out) + 1)]
-        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
-        self.n_bytes = np.array([len(x) for x in spelled], np.int64)
-        self.begin = np.cumsum(self.n_bytes) - self.n_bytes
-        #: by length: sorted fingerprints of the pieces, their log probabilities and identifiers
+        #: bytes of each identifier
+        self.bytes = pa.array([out.get(i, b"") for i in range(max(out) + 1)], pa.large_binary())
+        #: by length: sorted fingerprints of the pieces, where those with the same high bits begin,
+        #: the most that have them, log probabilities and identifiers
         self.tables = []
         for length in range(1, self.longest + 1):
             held_pieces = [p for p in ranked if len(p) == length]
             hashes = fingerprints_of(held_pieces, length)
             order = np.argsort(hashes)
+            first = np.searchsorted(hashes[order], np.arange(1 << BUCKET_BITS, dtype=U64) << U64(64 - BUCKET_BITS))
+            most = int(np.diff(first, append=len(hashes)).max())
             self.tables.append((
-                hashes[order], np.array([self.log_p[p] for p in held_pieces])[order], np.array([held.piece_to_id(p) for p in held_pieces], np.int64)[order]))
+                hashes[order], first.astype(np.int32), most, np.array([self.log_p[p] for p in held_pieces])[order], np.array([held.piece_to_id(p) for p in held_pieces], np.int64)[order]))
         #: by length: whether a longer piece may begin with a string, by the low bits of its fingerprint
         self.begun = []
         for length in range(1, self.longest + 1):
@@ -102,13 +113,34 @@ class Vocabulary:
             may[fingerprints_of(list(heads), length) & U64(len(may) - 1)] = True
             self.begun.append(may)
 
+    def split(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct runs in the order they appear, which of them each run of the texts is, and
+        the n+1 offsets of the texts among these."""
+        codes = codes_of("".join(MARK + t for t in texts if t))
+        codes = np.where(codes == ord(" "), np.uint32(ord(MARK)), codes)
+        bounds = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        kind = self.kind[codes]
+        begins = np.ones(len(codes) + 1, bool)  # the last one is the end
+        np.logical_and((kind[1:] != kind[:-1]) | (kind[1:] == ALONE), kind[:-1] != MARKED, out=begins[1:-1])
+        begins[bounds] = True
+        at = np.flatnonzero(begins)
+        runs = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 4), pa.py_buffer(codes)]).dictionary_encode()
+        _, offsets, data = runs.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(runs.dictionary) + 1] // 4 if len(runs.dictionary) else [0]
+        spelled = data.to_pybytes().decode("utf-32-le", "surrogatepass") if data is not None else ""
+        return [spelled[a:b] for a, b in pairwise(list(offsets))], runs.indices.to_numpy(), np.searchsorted(at, bounds)
+
     def decode(self, ids: np.ndarray) -> str:
-        ids = np.asarray(ids, np.int64)
-        sizes = self.n_bytes[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        text = self.bytes[np.repeat(self.begin[ids] - ends + sizes, sizes) + np.arange(total)].tobytes().decode(errors="replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decoded(ids, np.array([0, len(ids)]))[0]
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The text of each range of identifiers between two bounds."""
+        if not len(ids):
+            return [""] * (len(bounds) - 1)
+        _, offsets, data = self.bytes.take(pa.array(ids)).buffers()
+        ends = np.frombuffer(offsets, np.int64)[bounds].tolist()
+        data = memoryview(data) if data is not None else b""
+        return [str(data[a + (data[a : a + 1] == b" ") : b], "utf-8", "replace") for a, b in pairwise(ends)]
 
 
 @lru_cache(maxsize=2)
@@ -138,10 +170,10 @@ class Lattices:
         self.low = self.high = self.start = self.piece = np.zeros(0, np.int32)
         self.weight = self.through = self.sums = np.zeros(0)
 
-    def numbered(self, runs: list[list[str]]) -> np.ndarray:
-        """The numbers of all runs, whose lattices are then held."""
+    def numbered(self, runs: list[str]) -> np.ndarray:
+        """The numbers of the runs, whose lattices are then held."""
         known = len(self.numbers)
-        found = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(runs)), np.int64)
+        found = np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs))
         if len(self.numbers) > known:
             self._add(list(islice(self.numbers, known, None)))
         return found
@@ -165,12 +197,13 @@ class Lattices:
         of = np.repeat(np.arange(len(runs)), sizes)
         state = np.arange(len(codes)) + of  # the state before each character
         room = ends[of] - np.arange(len(codes)) if len(runs) else np.zeros(0, np.int64)
-        starts, stops, weights, pieces = [], [], [], []
+        n = int(base[-1])
+        parts, counted = [], np.zeros(n, np.int32)
         # the starts that some piece of this length or more may fit, with the sums of their fingerprints
         with np.errstate(over="ignore"):
             held = mix(codes.astype(U64) + U64(1))
         begun, partial = np.arange(len(codes)), np.zeros(len(codes), U64)
-        for length, (hashes, log_p, ids) in enumerate(vocabulary.tables, 1):
+        for length, (hashes, first, most, log_p, ids) in enumerate(vocabulary.tables, 1):
             if length > 1:
                 go_on = np.flatnonzero((room[begun] >= length) & vocabulary.begun[length - 2][mine & U64((1 << BEGUN_BITS) - 1)])
                 begun, partial = begun[go_on], partial[go_on]
@@ -182,26 +215,30 @@ class Lattices:
             if not len(hashes):
                 continue
             at = begun
-            slot = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
+            slot = first[mine >> U64(64 - BUCKET_BITS)]
+            for _ in range(most):
+                slot = np.minimum(slot, len(hashes) - 1)
+                slot += hashes[slot] < mine
+            slot = np.minimum(slot, len(hashes) - 1)
             known = hashes[slot] == mine
             if length == 1:
                 code = codes[at].astype(np.int64)
                 n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-                weights.append(np.where(known, log_p[slot], vocabulary.byte_p * n_bytes))
-                pieces.append(np.where(known, ids[slot], -code - 1))
+                weight, piece = np.where(known, log_p[slot], vocabulary.byte_p * n_bytes), np.where(known, ids[slot], -code - 1)
             else:
                 at, slot = at[known], slot[known]
-                weights.append(log_p[slot])
-                pieces.append(ids[slot])
-            starts.append(state[at])
-            stops.append(state[at] + length)
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-        stop = join(stops, np.int64)
-        order = np.argsort(stop, kind="stable")
-        start, weight, piece = join(starts, np.int64)[order], join(weights, float)[order], join(pieces, np.int64)[order]
-        n = int(base[-1])
-        bounds = np.searchsorted(stop[order], np.arange(n + 1))
-        low, high = bounds[:-1], bounds[1:]
+                weight, piece = log_p[slot], ids[slot]
+            start = state[at]
+            stop = start + length
+            # of one length, one edge at most ends in a state: it comes after the shorter ones there
+            parts.append((start, stop, counted[stop], weight, piece))
+            counted[stop] += 1
+        high = np.cumsum(counted)
+        low = high - counted
+        start, weight, piece = (np.empty(int(counted.sum()), kind) for kind in (np.int64, np.float64, np.int32))
+        for starts, stops, before, weights, pieces in parts:
+            edge = low[stops] + before
+            start[edge], weight[edge], piece[edge] = starts, weights, pieces
         sums = np.zeros(n)
         longest_first = np.argsort(-sizes, kind="stable")
         held = sizes[longest_first]
@@ -232,17 +269,33 @@ class Lattices:
         setattr(self, name, room[:size])
 
 
+def smallest_of(values: np.ndarray, bounds: np.ndarray, rank: int) -> np.ndarray:
+    """The ``rank``-th smallest value of each range between two bounds, infinite if it has fewer."""
+    out, sizes = np.full(len(bounds) - 1, np.inf), np.diff(bounds)
+    some = np.flatnonzero(sizes >= rank)
+    held = values[np.repeat(sizes >= rank, sizes)]
+    sizes = sizes[some]
+    begin = np.cumsum(sizes) - sizes
+    for left in range(rank if len(some) else 0, 0, -1):
+        least = np.minimum.reduceat(held, begin)
+        if left == 1:
+            out[some] = least
+        else:
+            hit = np.flatnonzero(held == np.repeat(least, sizes))
+            held[hit[np.unique(np.searchsorted(begin, hit, "right"), return_index=True)[1]]] = np.inf
+    return out
+
+
 class Search:
     """The search over a group of texts."""
 
     def __init__(self, lattices: Lattices, texts: list[str], keys: np.ndarray):
         vocabulary = lattices.vocabulary
         self.byte_id = np.array([vocabulary.byte_id[b] for b in range(256)], np.int64)
-        runs = [vocabulary.runs(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.run = lattices.numbered(runs)
+        runs, which, self.first = vocabulary.split(texts)
+        self.run = lattices.numbered(runs)[which]
         for name in ("base", "low", "high", "start", "piece", "weight", "through", "sums"):
             setattr(self, name, getattr(lattices, name))
-        self.first = np.concatenate([[0], np.cumsum([len(rs) for rs in runs])]).astype(np.int64)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.total = self.sums[self.base[self.run + 1] - 1] if len(self.run) else np.zeros(0)
         #: log sum of all runs of the text before this one
@@ -255,33 +308,40 @@ class Search:
 
     def pieces(self, path: np.ndarray) -> np.ndarray:
         """Identifiers of a path; characters that are no piece become their byte pieces."""
+        return self.spelled(path, np.zeros(1, np.int64))[0]
+
+    def spelled(self, path: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of paths end to end, and where the bounds between the paths lie among them."""
         found = self.piece[path]
-        if found.min(initial=0) >= 0:
-            return found
         unknown = np.flatnonzero(found < 0)
-        spelled = [chr(-p - 1).encode("utf-8", "surrogatepass") for p in found[unknown].tolist()]
+        if not len(unknown):
+            return found, bounds
+        codes, which = np.unique(found[unknown], return_inverse=True)
+        in_bytes = [chr(-c - 1).encode("utf-8", "surrogatepass") for c in codes.tolist()]
         times = np.ones(len(found), np.int64)
-        times[unknown] = [len(x) for x in spelled]
+        times[unknown] = np.array([len(x) for x in in_bytes])[which]
         out = np.repeat(found, times)
-        out[out < 0] = self.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]
-        return out
+        out[out < 0] = self.byte_id[np.frombuffer(b"".join([in_bytes[i] for i in which.tolist()]), np.uint8)]
+        return out, np.append(0, np.cumsum(times))[bounds]
 
     def _seeds(self, text: np.ndarray, place: np.ndarray, path: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix(self.key[text] + mix(place.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(path + 1)))
 
+    def _seeds_of_runs(self, owner: np.ndarray, path: int) -> np.ndarray:
+        """What the edges of runs draw by, less their numbers in all lattices times ``_STEP``: they
+        are numbered within the run, from the first state's."""
+        bottom = self.low[self.base[self.run[owner]]].astype(U64)
+        return self._seeds(self.text[owner], self.place[owner], path) - bottom * _STEP
+
     @staticmethod
-    def _gumbel(seeds: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """A draw for each seed and number, in place: these arrays are the largest of the search."""
-        with np.errstate(over="ignore"):
-            h = number.astype(U64)
-            h *= _STEP
-            h += seeds
-            h ^= h >> U64(30)  # as common.mix
-            h *= U64(0xBF58476D1CE4E5B9)
-            h ^= h >> U64(27)
-            h *= U64(0x94D049BB133111EB)
-            h ^= h >> U64(31)
+    def _gumbel(h: np.ndarray) -> np.ndarray:
+        """A draw for each number, in place: these arrays are the largest of the search."""
+        h ^= h >> U64(30)  # as common.mix
+        h *= U64(0xBF58476D1CE4E5B9)
+        h ^= h >> U64(27)
+        h *= U64(0x94D049BB133111EB)
+        h ^= h >> U64(31)
         h >>= U64(12)
         x = h.astype(np.float64)
         x += 0.5
@@ -294,82 +354,79 @@ class Search:
     def roots(self) -> np.ndarray:
         """The perturbed value of each whole text: that of its first path."""
         n = len(self.whole)
-        return self.whole + self._gumbel(self._seeds(np.arange(n), np.full(n, 1 << 40), 0), np.zeros(n, np.int64))
+        return self.whole + self._gumbel(self._seeds(np.arange(n), np.full(n, 1 << 40), 0))
 
     def complete(self, occurrence: np.ndarray, state: np.ndarray, value: np.ndarray, decided: np.ndarray, path: int, k: int) -> tuple:
         """Draw the rest of paths. ``occurrence, state``: runs to walk back through and where in
         their lattices; several runs of a text may be given, ``decided`` then counts only the
-        weight after the last of them (by text). Returns chosen edges (occurrence, step, edge) and
-        the siblings (occurrence, edge, perturbed value, step) that may be among a text's first
-        ``k + 1``."""
+        weight after the last of them (by text). Returns where each run's chosen edges end, these
+        edges from the start of the texts, and the siblings (occurrence, edge, perturbed value,
+        step) that may be among a text's first ``k + 1``."""
         owner, at = occurrence, state
         inner = np.zeros(len(owner))
-        own = np.zeros(len(self.run))
-        seeds, bottom = self._seeds(self.text[owner], self.place[owner], path), self.base[self.run[owner]]
-        with np.errstate(over="ignore"):  # edges draw by their numbers within the run, which begin at the first state's
-            seeds = seeds - self.low[bottom].astype(U64) * _STEP
-        steps, step = [], 0
-        while len(owner):
-            more = np.flatnonzero(at > bottom)
-            if len(more) < len(owner):
-                owner, at, inner, seeds, bottom = owner[more], at[more], inner[more], seeds[more], bottom[more]
-            if not len(owner):
-                break
-            low = self.low[at].astype(np.int64)
+        own, drawn_of = np.zeros(len(self.run)), np.zeros(len(self.run), np.int64)
+        seeds = self._seeds_of_runs(owner, path)
+        steps = []
+        while True:
+            low = self.low[at]
             counts = self.high[at] - low
-            group = np.repeat(np.arange(len(owner)), counts)
-            begin = np.cumsum(counts) - counts
-            edge = (low - begin)[group] + np.arange(len(group))
-            drawn = self.through[edge] + self._gumbel(seeds[group], edge)
-            top = np.maximum.reduceat(drawn, begin)
-            most = drawn == top[group]
-            best = np.flatnonzero(most)
-            if len(best) > len(owner):
-                best = best[np.unique(group[best], return_index=True)[1]]
-                most[:] = False
-                most[best] = True
-            taken = edge[best]
+            # those with most edges first, so that those with a j-th edge are the first ones; a finished run has none
+            most = int(counts.max(initial=0))
+            if not most:
+                break
+            with_more = len(counts) - np.cumsum(np.bincount(counts))
+            order = np.argsort((most - counts).astype(np.min_scalar_type(most)), kind="stable")[: with_more[0]]
+            owner, low, inner, seeds = owner[order], low[order].astype(np.int64), inner[order], seeds[order]
+            first = seeds + low.astype(U64) * _STEP
+            top = self._gumbel(first.copy())
+            top += self.through[low]
+            second, taken, more = np.full(len(low), -np.inf), low.copy(), np.zeros(1, U64)
+            for j, n in enumerate(with_more[1:most].tolist(), 1):
+                drawn = self._gumbel(first[:n] + (more := more + _STEP))
+                edge = low[:n] + j
+                drawn += self.through[edge]
+                np.copyto(taken[:n], edge, where=drawn > top[:n])
+                np.maximum(second[:n], np.minimum(top[:n], drawn), out=second[:n])
+                np.maximum(top[:n], drawn, out=top[:n])
             weight = self.weight[taken]
-            other = np.flatnonzero(~most)
-            steps.append((owner, step, taken, group[other], edge[other], drawn[other], top, inner))
+            steps.append((owner, low, top, second, inner, taken))
             own[owner] += weight
+            drawn_of[owner] += 1
             inner = inner + weight
-            at = self.start[taken].astype(np.int64)
-            step += 1
+            at = self.start[taken]
+        ends = np.cumsum(drawn_of)
+        if not steps:
+            return ends, np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 4
+        step = np.repeat(np.arange(len(steps)), [len(x[0]) for x in steps])
+        owner, low, top, second, inner, taken = map(np.concatenate, zip(*steps))
+        place = ends[owner] - 1 - step  # the last drawn comes first
+        edges, ordered = np.empty(len(place), np.int64), np.empty(len(place))
+        edges[place] = taken
         # weight decided after each run: what is drawn for the later runs of the same text
-        walked = np.zeros(len(self.run))
-        walked[occurrence] = own[occurrence]
-        running = np.cumsum(walked)
-        after = running[self.first[1:][self.text] - 1] - running if len(running) else running
+        running = np.cumsum(own)
+        after = running[self.first[1:][self.text] - 1] - running
+        least = value[self.text[owner]] - ((self.before + after + decided[self.text])[owner] + inner)
         # A sibling drawn at g takes -log(e^-goal + e^-g - e^-top), all shifted alike: the smaller the
-        # difference e^-g - e^-top (here in units of e^-goal), the earlier it comes.
-        chosen, waiting = [], []
-        for owner, number, taken, group, edge, drawn, top, inner in steps:
-            chosen.append((owner, np.full(len(owner), number), taken))
-            text = self.text[owner]
-            least = value[text] - (self.before[owner] + after[owner] + decided[text] + inner)
-            with np.errstate(over="ignore", invalid="ignore"):
-                behind = np.exp(least[group] - drawn) - np.exp(least - top)[group]
-            waiting.append((owner, number, group, edge, drawn, top, least, np.nan_to_num(behind, nan=np.inf), text))
-        nearest = np.full((len(self.whole), k + 1), np.inf)
-        for _, _, group, _, _, _, _, behind, text in waiting:
-            if len(group):
-                first = np.flatnonzero(np.diff(text, prepend=-1))  # the texts are in order
-                begin = np.searchsorted(group, first)
-                some = begin < np.append(begin[1:], len(group))
-                begin, mine = begin[some], text[first[some]]
-                nearest[mine] = np.sort(np.column_stack([nearest[mine], np.minimum.reduceat(behind, begin)]), axis=1)[:, : k + 1]
-        # those that k + 1 others of their text precede for certain are left out, with room for rounding
-        reach = nearest[:, k] * (1 + 1e-6) + 1e-9
-        siblings = []
-        for owner, number, group, edge, drawn, top, least, behind, text in waiting:
-            hold = np.flatnonzero(behind <= reach[text][group])
-            of = group[hold]
-            goal, g, z = value[text[of]], drawn[hold], top[of]
-            v = least[of] - g + np.log1p(-np.exp(np.minimum(g - z, -1e-12)))
-            siblings.append((owner[of], edge[hold], goal - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v))), np.full(len(hold), number)))
-        join = lambda parts, n: [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * n
-        return join(chosen, 3), join(siblings, 4)
+        # difference e^-g - e^-top (here in units of e^-goal), the earlier it comes. The first of a
+        # step is the second of its draws.
+        with np.errstate(over="ignore", invalid="ignore"):
+            behind = np.exp(least - second)
+            behind -= np.exp(least - top)
+            np.nan_to_num(behind, copy=False, nan=np.inf)
+            ordered[place] = behind
+            # those that k + 1 others of their text precede for certain are left out, with room for rounding
+            reach = smallest_of(ordered, np.append(0, ends)[self.first], k + 1) * (1 + 1e-6) + 1e-9
+        hold = np.flatnonzero(behind <= reach[self.text][owner])
+        counts = self.high[np.searchsorted(self.low, low[hold].astype(np.int32), "right") - 1] - low[hold]
+        of = np.repeat(hold, counts)
+        edge = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        other = np.flatnonzero(edge != taken[of])
+        of, edge = of[other], edge[other]
+        mine = owner[of]
+        g = self.through[edge] + self._gumbel(self._seeds_of_runs(mine, path) + edge.astype(U64) * _STEP)
+        goal = value[self.text[mine]]
+        v = least[of] - g + np.log1p(-np.exp(np.minimum(g - top[of], -1e-12)))
+        return ends, edges, [mine, edge, goal - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v))), step[of]]
 
     def paths(self, k: int) -> list[list[tuple[float, float, np.ndarray]]]:
         """For each text its paths in order: perturbed value, log weight, edges from the start of
@@ -377,7 +434,7 @@ class Search:
         n = len(self.whole)
         value = self.roots()
         every = np.arange(len(self.run))
-        chosen, siblings = self.complete(every, self.base[self.run + 1] - 1, value, np.zeros(n), 0, k)
+        *chosen, siblings = self.complete(every, self.base[self.run + 1] - 1, value, np.zeros(n), 0, k)
         found: list[list] = [[] for _ in range(n)]
         waiting: list[list] = [[] for _ in range(n)]
         self._settle(found, waiting, chosen, siblings, value, [None] * n, k)
@@ -397,35 +454,28 @@ class Search:
             decided, occurrence, state = np.zeros(n), [], []
             for t, head in enumerate(heads):
                 if head is not None:
-                    _, at, edge, _, _, owner_edges = head
+                    _, at, edge, owner_edges = head
                     # the runs before this one are drawn anew; this one from the sibling's start
                     earlier = np.arange(self.first[t], at)
                     occurrence.append(np.append(earlier, at))
                     state.append(np.append(self.base[self.run[earlier] + 1] - 1, self.start[edge]))
                     decided[t] = self.weight[owner_edges].sum()
             if occurrence:
-                chosen, siblings = self.complete(np.concatenate(occurrence), np.concatenate(state), value, decided, path, k)
+                *chosen, siblings = self.complete(np.concatenate(occurrence), np.concatenate(state), value, decided, path, k)
                 self._settle(found, waiting, chosen, siblings, value, heads, k)
         return found
 
-    def _settle(self, found: list, waiting: list, chosen: tuple, siblings: tuple, value: np.ndarray, heads: list, k: int) -> None:
+    def _settle(self, found: list, waiting: list, chosen: list, siblings: list, value: np.ndarray, heads: list, k: int) -> None:
         """Add the drawn paths, and the siblings that may still be among the first ``k + 1``."""
-        owner, number, edges = chosen
-        # an occurrence's steps are 0, 1, ... without gaps: the last drawn comes first
-        drawn_of = np.bincount(owner, minlength=len(self.run))
-        place = np.cumsum(drawn_of)[owner] - 1 - number
-        bounds = np.concatenate([[0], np.cumsum(drawn_of)])[self.first]
-        owner = np.repeat(np.arange(len(self.run)), drawn_of)
-        ordered = np.empty(len(edges), np.int64)
-        ordered[place] = edges
-        edges = ordered
+        ends, edges = chosen
+        bounds = np.concatenate([[0], ends])
         path_of: list = [None] * len(self.whole)
         for t in range(len(self.whole)):
             if value[t] == -math.inf:
                 continue
-            tail = heads[t][5] if heads[t] is not None else np.zeros(0, np.int64)
-            drawn = edges[bounds[t] : bounds[t + 1]]
-            path_of[t] = (owner[bounds[t] : bounds[t + 1]], drawn, tail)
+            tail = heads[t][3] if heads[t] is not None else np.zeros(0, np.int64)
+            drawn = edges[bounds[self.first[t]] : bounds[self.first[t + 1]]]
+            path_of[t] = (bounds[self.first[t]], drawn, tail)
             path = np.concatenate([drawn, tail]).astype(np.int64)
             found[t].append((float(value[t]), float(self.weight[path].sum()), path))
         at, edge, g, step = siblings
@@ -436,11 +486,11 @@ class Search:
         rank = np.arange(len(order)) - np.searchsorted(texts, texts)
         for i in order[rank <= k]:
             t = int(self.text[at[i]])
-            owners, drawn, tail = path_of[t]
+            begin, drawn, tail = path_of[t]
             # what stays of the path: all runs after this one, and this run's pieces after the branch
-            a, b = np.searchsorted(owners, at[i]), np.searchsorted(owners, at[i], "right")
+            b = int(ends[at[i]] - begin)
             kept = np.concatenate([[edge[i]], drawn[b - int(step[i]) : b], drawn[b:], tail]).astype(np.int64)
-            waiting[t].append((float(g[i]), int(at[i]), int(edge[i]), a, b, kept))
+            waiting[t].append((float(g[i]), int(at[i]), int(edge[i]), kept))
         for t in set(texts.tolist()):
             waiting[t] = sorted(waiting[t], key=lambda x: -x[0])[: k + 1]
 
@@ -473,21 +523,22 @@ def sample_segmentations(
 
     def _group(lattices: Lattices, names: pa.Array, keys: np.ndarray, texts: list[str], k: int) -> pa.RecordBatch:
         search = Search(lattices, texts, keys)
-        out = []
+        out, walked = [], []
         for row, (found, whole) in enumerate(zip(search.paths(k), search.whole)):
             *paths, last = found if len(found) > 1 or found[0][2] is None else [*found, (-math.inf, 0.0, None)]
             for number, (_, weight, path) in enumerate([p for p in paths if p[2] is not None], 1):
-                pieces = search.pieces(path)
                 log_p = weight - float(whole)
                 include = 0.0 if last[0] == -math.inf else math.log(-math.expm1(-math.exp(min(weight - last[0], 50.0))) or 5e-324)
-                out.append((row, number, pieces, len(pieces), log_p, include, lattices.vocabulary.decode(pieces)))
-        columns = list(zip(*out)) if out else [()] * 7
-        types = (pa.int32(), None, pa.int64(), pa.float64(), pa.float64(), pa.string())
-        spans = np.cumsum([0, *map(len, columns[2])]).astype(np.int32)
-        flat = np.concatenate([np.zeros(0, np.int64), *columns[2]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [names.take(pa.array(columns[0], pa.int64())),
-             *(pa.array(list(c), t) if t else pa.ListArray.from_arrays(spans, flat) for c, t in zip(columns[1:], types))], names=["doc_id", "sample", "ids", "n_pieces", "log_p", "inclusion", "decoded"])
+                out.append((row, number, log_p, include))
+                walked.append(path)
+        rows, numbers, log_p, inclusion = zip(*out) if out else [()] * 4
+        pieces, spans = search.spelled(np.concatenate([np.zeros(0, np.int64), *walked]), np.cumsum([0, *map(len, walked)]))
+        columns = {
+            "doc_id": names.take(pa.array(rows, pa.int64())), "sample": pa.array(numbers, pa.int32()),
+            "ids": pa.ListArray.from_arrays(spans.astype(np.int32), pieces.astype(np.int32)), "n_pieces": pa.array(np.diff(spans)),
+            "log_p": pa.array(log_p, pa.float64()), "inclusion": pa.array(inclusion, pa.float64()),
+            "decoded": pa.array(lattices.vocabulary.decoded(pieces, spans), pa.string())}
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     key = F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(key)
     return docs.select(F.col(id_col), key.alias("__key"), F.col(text_col)).mapInArrow(run, schema)

@@ -47,9 +47,8 @@ def pieces_of(model: str) -> dict[str, float]:
     return found
 
 
-def run_pattern(pieces: dict[str, float]) -> re.Pattern:
-    """Matches one run: marks, then characters of one family. Two characters are of a family if
-    pieces hold them side by side; a character without neighbours is a run alone."""
+def run_families(pieces: dict[str, float]) -> list[list[str]]:
+    """The characters of each family: two are of one if pieces hold them side by side."""
     family: dict[str, str] = {}
 
     def root(c: str) -> str:
@@ -64,7 +63,14 @@ def run_pattern(pieces: dict[str, float]) -> re.Pattern:
     members: dict[str, list[str]] = {}
     for c in family:
         members.setdefault(root(c), []).append(c)
-    classes = ["[" + "".join(map(re.escape, sorted(m))) + "]+" for m in members.values() if len(m) > 1 or m[0] * 2 in "".join(pieces)]
+    joined = "".join(pieces)
+    return [sorted(m) for m in members.values() if len(m) > 1 or m[0] * 2 in joined]
+
+
+def run_pattern(pieces: dict[str, float]) -> re.Pattern:
+    """Matches one run: marks, then characters of one family; a character without neighbours is a
+    run alone."""
+    classes = ["[" + "".join(map(re.escape, m)) + "]+" for m in run_families(pieces)]
     return re.compile(f"{MARK}*(?:{'|'.join([*sorted(classes, key=len, reverse=True), f'[^{MARK}]'])})|{MARK}+")
 
 
