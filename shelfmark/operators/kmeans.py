@@ -66,9 +66,9 @@ def find_optimal_clusters(
 ) -> tuple[int, DataFrame, dict[int, list[list[float]]]]:
     """Best k by silhouette (first on ties), the score of each k, and each k's centres.
 
-    ``metric="euclidean"`` is the exact score, whose work grows with the square of the
-    rows; all values of k share its one pass. ``"squaredEuclidean"`` is linear, the one to
-    ask for with many customers. The number of rows never decides.
+    ``metric="euclidean"`` is the exact score; all values of k share its one pass, whose work
+    grows almost as the rows in up to three features, with their square in more.
+    ``"squaredEuclidean"`` is linear. The number of rows never decides.
     """
     # every fit makes many short passes over the same points: keep them in memory, and let
     # a few fits fill each other's gaps
