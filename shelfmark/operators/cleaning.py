@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text
 from shelfmark.functions.categories import with_category
-from shelfmark.operators.groups import HeavyKeys, join_uneven
+from shelfmark.operators.groups import HeavyKeys, few_rows, join_uneven
+from shelfmark.session import stored
 
 
 def drop_missing_description(lines: DataFrame) -> DataFrame:
@@ -34,21 +38,32 @@ def merge_duplicates(lines: DataFrame, order_by: str = "seq") -> DataFrame:
     column takes its first non-null value in line order. Lines with a null key go.
 
     Partial aggregation runs before the shuffle, so a key repeated over a third of the
-    table still sends one row per map task.
+    table still sends one row per map task. Lines without a gap compete as one, which carries
+    their place in the order once; the columns of the other lines each carry their own.
     """
-    keys = ["InvoiceNo", "StockCode", "UnitPrice"]
-
-    def first(name: str):
-        present = F.when(F.col(name).isNotNull(), F.col(order_by))
-        return F.min_by(name, present).alias(name)
-
+    keys, values = ["InvoiceNo", "StockCode", "UnitPrice"], ["InvoiceDate", "CustomerID", "Country", "Description"]
+    at = F.col(order_by).alias("at")
+    whole = reduce(and_, [F.col(v).isNotNull() for v in values])
+    placed = F.col(order_by).isNotNull()
+
+    def first(name: str) -> Column:
+        alone, line = F.col(f"__{name}"), F.col("__line")
+        of_line = alone.isNull() | (line["at"] <= alone["at"])
+        return F.when(of_line, line[name]).otherwise(alone["value"]).alias(name)
+
+    candidates = {
+        "__line": F.when(placed & whole, F.struct(at, *values)),
+        **{
+            f"__{v}": F.when(placed & ~whole & F.col(v).isNotNull(), F.struct(at, F.col(v).alias("value")))
+            for v in values
+        },
+    }
     return (
         lines.dropna(subset=keys)
+        .select(*keys, "Quantity", *[c.alias(name) for name, c in candidates.items()])
         .groupBy(*keys)
-        .agg(
-            F.sum("Quantity").alias("Quantity"),
-            first("InvoiceDate"), first("CustomerID"), first("Country"), first("Description"),
-        )
+        .agg(F.sum("Quantity").alias("Quantity"), *[F.min(c).alias(c) for c in candidates])
+        .select(*keys, "Quantity", *[first(v) for v in values])
     )
 
 
@@ -119,12 +134,16 @@ def with_category_of_texts(
     heavy: HeavyKeys | None = None,
 ) -> DataFrame:
     """The category column, worked out once per distinct description and joined back, however
-    many there are: a frequent description is dealt to slices, and where the descriptions turn
-    out few the join becomes a broadcast by itself. ``lines`` should be a written table, whose
-    distinct texts are a pass of their own."""
+    many there are: the table of descriptions is written first, since few of them go to the lines,
+    which are then not shuffled; with many a frequent description is dealt to slices. ``lines``
+    should be a written table, whose distinct texts are a pass of their own."""
     texts = lines.select(description).where(F.col(description).isNotNull()).distinct()
-    known = with_category(texts, description, output)
-    joined = join_uneven(lines, known, [description], "left", heavy)
+    known = stored(with_category(texts, description, output))
+    few = few_rows(known)
+    if few is not None:
+        joined = lines.join(F.broadcast(few), [description], "left")
+    else:
+        joined = join_uneven(lines, known, [description], "left", heavy)
     return joined.withColumn(output, text.null_to_unknown(F.col(output)))
 
 

@@ -36,11 +36,16 @@ def join_groups(
     it is broadcast with its size known. A larger one is joined as the optimiser chooses;
     adaptive skew handling then splits an uneven group.
     """
-    found = per_group.limit(MAX_GROUPS + 1).toArrow()
+    known = few_rows(per_group)
+    return rows.join(per_group if known is None else F.broadcast(known), by, how)
+
+
+def few_rows(table: DataFrame) -> DataFrame | None:
+    """The table as read, if it has up to ``MAX_GROUPS`` rows of few bytes."""
+    found = table.limit(MAX_GROUPS + 1).toArrow()
     if found.num_rows > MAX_GROUPS or found.nbytes > MAX_GROUP_BYTES:
-        return rows.join(per_group, by, how)
-    known = rows.sparkSession.createDataFrame(found, schema=per_group.schema)
-    return rows.join(F.broadcast(known), by, how)
+        return None
+    return table.sparkSession.createDataFrame(found, schema=table.schema)
 
 
 def with_row_key(rows: DataFrame, on: list[str], into: str) -> DataFrame:

@@ -20,6 +20,9 @@ SETTINGS = {
 }
 
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def apply_settings(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
@@ -63,6 +66,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """A query planned inside drops its shuffle files when it ends. Spark otherwise keeps them
+    until the driver happens to collect its garbage, those of one table beside those of the next;
+    a written table needs them no longer."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it from there.
 
@@ -74,7 +93,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{folder}/tables/stored-{uuid.uuid4().hex}"
     if _OWNERS:
         _OWNERS[-1].append(path)
-    df.write.parquet(path)
+    with _shuffles_dropped(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,4 +105,5 @@ def materialise(df: DataFrame) -> DataFrame:
     executors that wrote it.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # planned anew, with the setting

@@ -52,12 +52,13 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    # the orders meet their customers first: the lines, many more, are shuffled once
+    placed = order.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        nation, F.col("c_nationkey") == F.col("n_nationkey")
     )
-    okey, pkey, lno = F.col("o_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    joined = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    # the line's own order key: what is derived from it alone can be filtered before the join
+    okey, pkey, lno = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
     product = (
         (okey % 5) * 9 + F.floor(F.sqrt((pkey % 81).cast("double")))
     ).cast("int")
