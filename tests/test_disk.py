@@ -54,3 +54,14 @@ def test_merged_lines_take_the_first_value_of_each_column(spark):
     assert got == {
         "1": (7, "d2", "a", "c2", "x2"), "2": (5, "d", "e", None, "y1"), "3": (5, None, None, None, None),
     }
+
+
+def test_neighbours_are_written_by_column(spark, monkeypatch):
+    """They are k rows per point and more, the largest tables of the factors."""
+    from shelfmark.operators import lof
+
+    written, write = [], lof.stored
+    monkeypatch.setattr(lof, "stored", lambda df: written.append(df.columns) or write(df))
+    rows = spark.createDataFrame([(0, f"r{i}", float(i * i)) for i in range(40)], "Cluster int, rule_id string, x double")
+    assert lof.lof(rows, ["x"], 3).where("lof_score < 0").count() == 40
+    assert any("near" in columns and "d" in columns for columns in written)
