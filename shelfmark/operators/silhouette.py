@@ -2,8 +2,8 @@
 
 It needs the sum of every point's distances to the points of each label. In up to three
 dimensions the sums come from a tree of cells (``operators/distance_sums.py``): near points one by
-one, far ones through a few nodes of their cell, right to 1e-9 of each distance, with work that
-grows as n log n. Equal points are one with a weight. Subtrees are the tasks: one pass packs their
+one, far ones through a few nodes of their cell, each interpolation right to 1e-9 of the distance,
+with work that grows as n log n. Equal points are one with a weight. Subtrees are the tasks: one pass packs their
 leaves and works out their cells' weights, another brings to each what its leaves need, which the
 boxes of the cells tell beforehand.
 
